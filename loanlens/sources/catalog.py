@@ -17,7 +17,7 @@ def profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     """
     parts = [
         df.agg(F.count(F.lit(1)).alias("ROW_COUNT")).select(
-            F.lit(name).alias("TABLE_NAME"), "ROW_COUNT", F.lit(len(df.columns)).alias("COLUMN_COUNT"))
+            F.lit(name).alias("TABLE_NAME"), "ROW_COUNT", F.lit(len(df.columns)).cast("bigint").alias("COLUMN_COUNT"))
         for name, df in tables.items()
     ]
     return reduce(DataFrame.unionByName, parts)
