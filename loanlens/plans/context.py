@@ -24,7 +24,7 @@ from . import clean, features, risk
 class LendingData:
     def __init__(self, spark: SparkSession, raw: Mapping[str, DataFrame]):
         self.spark = spark
-        self.raw = dict(raw)
+        self.raw = raw  # a plain dict or a lazily building mapping
 
     # ---- construction -----------------------------------------------------
     @classmethod

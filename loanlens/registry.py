@@ -10,7 +10,9 @@ comparison; the library functions themselves return full precision.
 
 from __future__ import annotations
 
+import os
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +37,19 @@ def _rounded(df: DataFrame, cols: list[str], digits: int = R6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
 
 
+_CONTEXTS: "weakref.WeakKeyDictionary[SparkSession, dict[str, LendingData]]" = weakref.WeakKeyDictionary()
+
+
 def ctx_for(spark: SparkSession, sf_dir: str) -> LendingData:
-    return LendingData.from_fixtures(spark, sf_dir)
+    """The session's ``LendingData`` for ``sf_dir``, built once per session.
+
+    Only lazy plan objects are kept (like tables registered once per session);
+    no data is cached, every query still reads the parquet files."""
+    per_session = _CONTEXTS.setdefault(spark, {})
+    key = os.path.abspath(sf_dir)
+    if key not in per_session:
+        per_session[key] = LendingData.from_fixtures(spark, sf_dir)
+    return per_session[key]
 
 
 def load_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -27,15 +28,17 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def read_tables(spark: SparkSession, directory: str, infer: bool = False,
-                names: list[str] | None = None) -> dict[str, DataFrame]:
+                names: list[str] | None = None) -> Mapping[str, DataFrame]:
     """Read the lending tables from ``directory`` (file names as in ``TABLE_FILES``).
 
     Tables with a declared schema use it unless ``infer`` is set; the others are
     always inferred.
     """
-    out = {}
-    for name in names or list(TABLE_FILES):
+    from .fixtures import LazyTables
+
+    def loader(name):
         schema = None if infer else SCHEMAS.get(name)
-        out[name] = read_table(spark, os.path.join(directory, TABLE_FILES[name]), schema=schema,
-                               infer=schema is None)
-    return out
+        return lambda: read_table(spark, os.path.join(directory, TABLE_FILES[name]), schema=schema,
+                                  infer=schema is None)
+
+    return LazyTables({name: loader(name) for name in names or list(TABLE_FILES)})

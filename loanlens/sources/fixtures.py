@@ -23,6 +23,7 @@ skew-join handling splits an oversized customer partition across tasks.
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,16 +138,39 @@ def bureau_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def load_fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All eight lending tables, lazily derived from ``sf_dir``."""
-    app = application_train(spark, sf_dir)
-    return {
-        "application_train": app,
-        "application_test": app.drop("TARGET"),
-        "bureau": bureau(spark, sf_dir),
-        "bureau_balance": bureau_balance(spark, sf_dir),
-        "previous_application": previous_application(spark, sf_dir),
-        "pos_cash_balance": _read(spark, sf_dir, "part"),
-        "installments_payments": installments_payments(spark, sf_dir),
-        "credit_card_balance": _read(spark, sf_dir, "supplier"),
-    }
+FIXTURE_LOADERS = {
+    "application_train": application_train,
+    "application_test": lambda spark, sf_dir: application_train(spark, sf_dir).drop("TARGET"),
+    "bureau": bureau,
+    "bureau_balance": bureau_balance,
+    "previous_application": previous_application,
+    "pos_cash_balance": lambda spark, sf_dir: _read(spark, sf_dir, "part"),
+    "installments_payments": installments_payments,
+    "credit_card_balance": lambda spark, sf_dir: _read(spark, sf_dir, "supplier"),
+}
+
+
+def load_fixture_tables(spark: SparkSession, sf_dir: str) -> "LazyTables":
+    """All eight lending tables derived from ``sf_dir``; each is built on first use."""
+    return LazyTables({name: (lambda fn=fn: fn(spark, sf_dir)) for name, fn in FIXTURE_LOADERS.items()})
+
+
+class LazyTables(Mapping):
+    """Read-only mapping name -> DataFrame whose plans are built on first access
+    (building a plan resolves files and schemas on the driver; a report that
+    needs one table should not pay for eight)."""
+
+    def __init__(self, loaders: dict):
+        self._loaders = dict(loaders)
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._loaders[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._loaders)
+
+    def __len__(self) -> int:
+        return len(self._loaders)
