@@ -1,70 +1,133 @@
 """Exact per-group median (``PERCENTILE_CONT(0.5)``) without gathering a group.
 
 Spark's exact ``percentile`` aggregate keeps a value -> count map per group and
-merges it in a single task, so a group holding a third of all rows would be
-collected whole.  This operator stays exact but never does that:
-
-1. One aggregate per group: row count ``n`` and an approximate bracket
-   ``[lo, hi]`` around the median from ``percentile_approx`` at ``0.5 -/+ m``
-   with ``m = 4 / accuracy``.  Its rank error is at most ``n / accuracy``, so
-   the values at ranks ``floor((n-1)/2)`` and ``ceil((n-1)/2)`` lie inside the
-   bracket (a deterministic guarantee, not a probabilistic one).
-2. One more aggregate (partial, map-side combined) tags every row as below,
-   inside or above the bracket and keeps distinct values only inside it:
-   per group that is one "below" row, one "above" row and the distinct values
-   of roughly ``8 n / accuracy`` rows.
-3. A running count over that small histogram locates the two middle ranks;
-   the median is their linear interpolation.
-
-Only step 3 orders rows of one group in one task, and it sees the bracket, not
-the group.  Raise ``accuracy`` for very large groups.
+merges it in one task, so a group holding a third of all rows (with many
+distinct values) would be collected whole.  This operator is a radix select:
+
+* every value is mapped to its order-preserving 64-bit key (IEEE-754 bits,
+  computed with built-in column arithmetic, no UDF);
+* the two middle ranks ``floor((n-1)/2)`` and ``ceil((n-1)/2)`` are located 16
+  bits at a time: level ``l`` counts rows per (group, target, next 16-bit digit)
+  among the rows whose first ``16*(l-1)`` bits match the target's prefix found
+  so far, then a running count over at most 65,536 digits picks the digit that
+  holds the remaining rank;
+* after four levels the whole key - hence the value - is known.
+
+Every level is an exact partial (map-side combined) aggregate, so the result is
+deterministic even when tasks are recomputed, and no task ever orders more than
+65,536 rows of one group.  Cost: four aggregations over the (key, value) rows;
+levels 2-4 keep only the rows of the candidate buckets after a join with a
+table of two rows per group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_DIGIT_BITS = 16
+_LEVELS = 4
+_MASK = (1 << _DIGIT_BITS) - 1
+_TWO52 = float(2 ** 52)
+_MIN_NORMAL = 2.0 ** -1022
+
+
+def sortable_key(v: Column) -> Column:
+    """Signed 64-bit key whose order equals the order of the finite double ``v``
+    (+0.0 and -0.0 share key 0; +/-inf map past every finite value)."""
+    a = F.abs(v)
+    e0 = F.floor(F.log2(a))
+    # correct the float log2 by at most one in either direction
+    e1 = F.when(F.pow(F.lit(2.0), e0) > a, e0 - 1).otherwise(e0)
+    e = F.when(F.pow(F.lit(2.0), e1 + 1) <= a, e1 + 1).otherwise(e1)
+    mant = ((a / F.pow(F.lit(2.0), e) - 1.0) * _TWO52).cast("long")  # exact: scaling by powers of two
+    normal_bits = F.shiftleft((e + 1023).cast("long"), 52).bitwiseOR(mant)
+    subnormal_bits = (a * (2.0 ** 1022) * _TWO52).cast("long")
+    inf_bits = F.lit(2047 << 52).cast("long")
+    bits = (F.when(a == 0, F.lit(0).cast("long"))
+            .when(F.isnan(a) | (a == float("inf")), inf_bits)
+            .when(a < _MIN_NORMAL, subnormal_bits)
+            .otherwise(normal_bits))
+    return F.when(v < 0, -bits).otherwise(bits)
+
+
+def _digit(u: Column, level: int) -> Column:
+    shift = 64 - _DIGIT_BITS * level
+    return F.shiftrightunsigned(u, shift).bitwiseAND(F.lit(_MASK))
+
+
+def _prefix(u: Column, level: int) -> Column:
+    """The first ``16 * (level - 1)`` bits of the unsigned key."""
+    return F.shiftrightunsigned(u, 64 - _DIGIT_BITS * (level - 1))
+
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out_name: str = "MEDIAN",
-                 accuracy: int = 10000) -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, out_name: str = "MEDIAN") -> DataFrame:
     """One row per group of ``keys``: ``out_name`` = exact median of ``value``
-    (NULL values ignored; groups with only NULL values are absent)."""
+    (linear interpolation of the two middle values, like PERCENTILE_CONT(0.5)).
+    NULL and NaN values are ignored; groups without values are absent."""
     keys = list(keys)
-    margin = 4.0 / accuracy
-    base = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-
-    stats = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)], accuracy).alias("__br"),
-    ).select(*keys, "__n", F.col("__br")[0].alias("__lo"), F.col("__br")[1].alias("__hi"))
-
-    v = F.col("__v")
-    tag = F.when(v < F.col("__lo"), 0).when(v > F.col("__hi"), 2).otherwise(1)
-    hist = (
-        base.join(stats, keys)
-        .withColumn("__t", tag)
-        .groupBy(*keys, "__n", "__t", F.when(F.col("__t") == 1, v).alias("__vv"))
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
+    v = F.col(value).cast("double")
+    base = (df.select(*keys, v.alias("__v"))
+            .filter(F.col("__v").isNotNull() & ~F.isnan(F.col("__v")))
+            # flip the sign bit: unsigned order of __u == order of the values
+            .withColumn("__u", sortable_key(F.col("__v")).bitwiseXOR(F.lit(-(1 << 63)))))
 
-    w = Window.partitionBy(*keys).orderBy("__t", "__vv").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # level 1: histogram of the top digit per group -> n, the two target ranks
+    hist = base.groupBy(*keys, _digit(F.col("__u"), 1).alias("__d")).agg(F.count(F.lit(1)).alias("__c"))
+    grp = Window.partitionBy(*keys)
+    hist = hist.withColumn("__n", F.sum("__c").over(grp))
     n = F.col("__n")
-    r1 = F.floor((n - 1) / 2) + 1  # 1-based ranks of the two middle values
-    r2 = F.ceil((n - 1) / 2) + 1
-    cum = F.col("__cum")
-    first = cum - F.col("__c")
-
-    def holds(r):
-        return (first < r) & (r <= cum)
-
-    picked = (
-        hist.withColumn("__cum", F.sum("__c").over(w))
-        .filter(holds(r1) | holds(r2))
-        .groupBy(*keys)
-        .agg(F.min("__vv").alias("__a"), F.max("__vv").alias("__b"), F.first("__n").alias("__n"))
+    targets = F.array(
+        F.struct(F.lit(1).alias("t"), (F.floor((n - 1) / 2) + 1).alias("r")),
+        F.struct(F.lit(2).alias("t"), (F.ceil((n - 1) / 2) + 1).alias("r")),
+    )
+    hist = (hist.withColumn("__tr", F.explode(targets))
+            .select(*keys, "__n", F.col("__tr.t").alias("__t"), F.col("__tr.r").alias("__r"), "__d", "__c"))
+    cands = _pick(hist, keys).select(*keys, "__n", "__t", F.col("__d").alias("__p"), "__r")
+
+    # levels 2..4: refine each target's prefix by one digit
+    for level in range(2, _LEVELS + 1):
+        rows = _join_on_keys(base, cands, keys).filter(_prefix(F.col("__u"), level) == F.col("__p"))
+        hist = rows.groupBy(*keys, "__n", "__t", "__p", "__r", _digit(F.col("__u"), level).alias("__d")).agg(
+            F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__val"))
+        picked = _pick(hist, keys + ["__t"])
+        if level < _LEVELS:
+            cands = picked.select(*keys, "__n", "__t",
+                                  F.shiftleft(F.col("__p"), _DIGIT_BITS).bitwiseOR(F.col("__d")).alias("__p"),
+                                  "__r")
+        else:
+            cands = picked.select(*keys, "__n", "__t", "__val")
+
+    # both middle values are known: interpolate
+    out = cands.groupBy(*keys).agg(
+        F.max(F.when(F.col("__t") == 1, F.col("__val"))).alias("__a"),
+        F.max(F.when(F.col("__t") == 2, F.col("__val"))).alias("__b"),
+        F.first("__n").alias("__n"),
     )
     frac = ((F.col("__n") - 1) % 2) * 0.5
-    return picked.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * frac).alias(out_name))
+    return out.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * frac).alias(out_name))
+
+
+def _join_on_keys(rows: DataFrame, cands: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on the group keys, NULL-safe (a NULL key is a group too)."""
+    renamed = cands.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+                           *[c for c in cands.columns if c not in keys])
+    cond = None
+    for i, k in enumerate(keys):
+        c = rows[k].eqNullSafe(renamed[f"__k{i}"])
+        cond = c if cond is None else cond & c
+    return rows.join(renamed, cond).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
+def _pick(hist: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Per (``part`` + target): the digit whose running count covers the
+    remaining rank ``__r``; ``__r`` becomes the rank inside that digit."""
+    w = (Window.partitionBy(*part, *([] if "__t" in part else ["__t"])).orderBy("__d")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cum = F.sum("__c").over(w)
+    h = hist.withColumn("__cum", cum)
+    before = F.col("__cum") - F.col("__c")
+    return (h.filter((before < F.col("__r")) & (F.col("__r") <= F.col("__cum")))
+            .withColumn("__r", F.col("__r") - before))

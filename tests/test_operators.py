@@ -63,7 +63,7 @@ def test_exact_median_matches_numpy(spark, seed):
         rows += [(g, float(x)) for x in rng.normal(100, 20, n)]
     rows.append(("two", None))
     df = spark.createDataFrame(rows, "g string, v double")
-    got = _as_dict(exact_median(df, ["g"], "v", "m", accuracy=1000), "g", "m")
+    got = _as_dict(exact_median(df, ["g"], "v", "m"), "g", "m")
     by_group = {}
     for g, v in rows:
         if v is not None:
@@ -74,6 +74,16 @@ def test_exact_median_matches_numpy(spark, seed):
         assert got[g] == pytest.approx(want[g], rel=1e-12, abs=1e-9), g
 
 
+def test_exact_median_signs_zeros_extremes_and_null_key(spark):
+    vals = {"neg": [-5.5, -1e-300, -0.0, 0.0, 2.0, 3.0], "tiny": [5e-324, 1e-310, 2.2250738585072014e-308],
+            "big": [1e308, -1e308, 7.0], None: [1.0, 2.0, 3.0, 4.0]}
+    rows = [(g, x) for g, xs in vals.items() for x in xs]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = _as_dict(exact_median(df, ["g"], "v"), "g", "MEDIAN")
+    want = {g: _percentile_cont(xs) for g, xs in vals.items()}
+    assert got == want
+
+
 def test_exact_median_all_null_group_absent(spark):
     df = spark.createDataFrame([("a", None), ("b", 1.0)], "g string, v double")
     assert _as_dict(exact_median(df, ["g"], "v"), "g", "MEDIAN") == {"b": 1.0}
