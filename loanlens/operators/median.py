@@ -6,18 +6,18 @@ distinct values) would be collected whole.  This operator is a radix select:
 
 * every value is mapped to its order-preserving 64-bit key (IEEE-754 bits,
   computed with built-in column arithmetic, no UDF);
-* the two middle ranks ``floor((n-1)/2)`` and ``ceil((n-1)/2)`` are located 16
-  bits at a time: level ``l`` counts rows per (group, target, next 16-bit digit)
-  among the rows whose first ``16*(l-1)`` bits match the target's prefix found
-  so far, then a running count over at most 65,536 digits picks the digit that
-  holds the remaining rank;
-* after four levels the whole key - hence the value - is known.
+* the two middle ranks ``floor((n-1)/2)`` and ``ceil((n-1)/2)`` are located one
+  digit at a time (digits of 22, 21 and 21 bits): a level counts rows per
+  (group, target, next digit) among the rows whose leading bits match the
+  target's prefix found so far, then a running count over at most 2**22 digit
+  values picks the digit that holds the remaining rank;
+* after three levels the whole key - hence the value - is known.
 
 Every level is an exact partial (map-side combined) aggregate, so the result is
 deterministic even when tasks are recomputed, and no task ever orders more than
-65,536 rows of one group.  Cost: four aggregations over the (key, value) rows;
-levels 2-4 keep only the rows of the candidate buckets after a join with a
-table of two rows per group.
+2**22 histogram rows of one group, whatever the group's size.  Cost: three
+aggregations over the (key, value) rows; levels 2-3 keep only the rows of the
+candidate buckets after a join with a table of two rows per group.
 """
 
 from __future__ import annotations
@@ -27,9 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_DIGIT_BITS = 16
-_LEVELS = 4
-_MASK = (1 << _DIGIT_BITS) - 1
+_DIGITS = (22, 21, 21)  # bits per level, most significant first; sums to 64
 _TWO52 = float(2 ** 52)
 _MIN_NORMAL = 2.0 ** -1022
 
@@ -54,13 +52,14 @@ def sortable_key(v: Column) -> Column:
 
 
 def _digit(u: Column, level: int) -> Column:
-    shift = 64 - _DIGIT_BITS * level
-    return F.shiftrightunsigned(u, shift).bitwiseAND(F.lit(_MASK))
+    """Digit ``level`` (1-based) of the unsigned key."""
+    shift = 64 - sum(_DIGITS[:level])
+    return F.shiftrightunsigned(u, shift).bitwiseAND(F.lit((1 << _DIGITS[level - 1]) - 1))
 
 
 def _prefix(u: Column, level: int) -> Column:
-    """The first ``16 * (level - 1)`` bits of the unsigned key."""
-    return F.shiftrightunsigned(u, 64 - _DIGIT_BITS * (level - 1))
+    """The bits of the unsigned key before digit ``level``."""
+    return F.shiftrightunsigned(u, 64 - sum(_DIGITS[:level - 1]))
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out_name: str = "MEDIAN") -> DataFrame:
@@ -87,15 +86,16 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out_name: str =
             .select(*keys, "__n", F.col("__tr.t").alias("__t"), F.col("__tr.r").alias("__r"), "__d", "__c"))
     cands = _pick(hist, keys).select(*keys, "__n", "__t", F.col("__d").alias("__p"), "__r")
 
-    # levels 2..4: refine each target's prefix by one digit
-    for level in range(2, _LEVELS + 1):
+    # levels 2..: refine each target's prefix by one digit
+    last = len(_DIGITS)
+    for level in range(2, last + 1):
         rows = _join_on_keys(base, cands, keys).filter(_prefix(F.col("__u"), level) == F.col("__p"))
         hist = rows.groupBy(*keys, "__n", "__t", "__p", "__r", _digit(F.col("__u"), level).alias("__d")).agg(
             F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__val"))
         picked = _pick(hist, keys + ["__t"])
-        if level < _LEVELS:
+        if level < last:
             cands = picked.select(*keys, "__n", "__t",
-                                  F.shiftleft(F.col("__p"), _DIGIT_BITS).bitwiseOR(F.col("__d")).alias("__p"),
+                                  F.shiftleft(F.col("__p"), _DIGITS[level - 1]).bitwiseOR(F.col("__d")).alias("__p"),
                                   "__r")
         else:
             cands = picked.select(*keys, "__n", "__t", "__val")
