@@ -395,6 +395,9 @@ WIDE_ROUNDED = ["AVG_CREDIT_AMOUNT", "TOTAL_DEBT", "AVG_CREDIT_UTILIZATION", "AV
 BODIES["risk_wide"] = "SELECT * REPLACE (" + ", ".join(
     f"round({c}, {R6}) + 0.0 AS {c}" for c in WIDE_ROUNDED) + ") FROM wide"
 
+# the sink round trip must give back the wide table unchanged
+BODIES["save_gold"] = BODIES["risk_wide"]
+
 BODIES["risk_slim"] = f"SELECT * REPLACE (round(TOTAL_DEBT, {R6}) AS TOTAL_DEBT) FROM slim"
 
 BODIES["stage_counts"] = """

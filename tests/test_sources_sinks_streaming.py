@@ -82,3 +82,21 @@ def test_streaming_refresh_matches_batch_cleaner(spark):
     want = LendingData(spark, {"application_train": raw}).application
     assert 0 < n1 < got.count()
     assert _rows(got.select(*want.columns)) == _rows(want)
+
+
+def test_gold_build_bucketed_removes_key_exchanges(spark):
+    from loanlens.plans import pipeline
+
+    ctx = LendingData.from_fixtures(spark, SF001)
+    names = pipeline.build_tables(ctx, "loanlens_gold_t", buckets=4)
+    assert set(names) == {"application_train", "bureau", "bureau_balance", "previous_application",
+                          "installments_payments", "master_dataset"}
+    back = pipeline.from_tables(spark, "loanlens_gold_t")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force shuffle joins to see the layout
+    try:
+        plan = back.wide._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(SK_ID_CURR" not in plan
+        assert _rows(reports.risk_score(back)) == _rows(reports.risk_score(ctx))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert spark.table(names["master_dataset"]).count() == ctx.wide.count()
