@@ -62,11 +62,17 @@ def _prefix(u: Column, level: int) -> Column:
     return F.shiftrightunsigned(u, 64 - sum(_DIGITS[:level - 1]))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, out_name: str = "MEDIAN") -> DataFrame:
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, out_name: str = "MEDIAN",
+                 stats: dict[str, str] | None = None) -> DataFrame:
     """One row per group of ``keys``: ``out_name`` = exact median of ``value``
     (linear interpolation of the two middle values, like PERCENTILE_CONT(0.5)).
-    NULL and NaN values are ignored; groups without values are absent."""
+    NULL and NaN values are ignored; groups without values are absent.
+
+    ``stats`` optionally adds group statistics of the same values, read off the
+    first-level histogram at no extra pass: ``{"N": "count", "S": "sum",
+    "LO": "min", "HI": "max", "MEAN": "avg"}`` (any subset, any names)."""
     keys = list(keys)
+    stats = dict(stats or {})
     v = F.col(value).cast("double")
     base = (df.select(*keys, v.alias("__v"))
             .filter(F.col("__v").isNotNull() & ~F.isnan(F.col("__v")))
@@ -74,40 +80,53 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out_name: str =
             .withColumn("__u", sortable_key(F.col("__v")).bitwiseXOR(F.lit(-(1 << 63)))))
 
     # level 1: histogram of the top digit per group -> n, the two target ranks
-    hist = base.groupBy(*keys, _digit(F.col("__u"), 1).alias("__d")).agg(F.count(F.lit(1)).alias("__c"))
+    hist = base.groupBy(*keys, _digit(F.col("__u"), 1).alias("__d")).agg(
+        F.count(F.lit(1)).alias("__c"), F.sum("__v").alias("__s1"), F.min("__v").alias("__lo1"),
+        F.max("__v").alias("__hi1"))
     grp = Window.partitionBy(*keys)
-    hist = hist.withColumn("__n", F.sum("__c").over(grp))
+    hist = hist.withColumns({
+        "__n": F.sum("__c").over(grp),
+        "__stats": F.struct(F.sum("__s1").over(grp).alias("sum"), F.min("__lo1").over(grp).alias("min"),
+                            F.max("__hi1").over(grp).alias("max")),
+    })
     n = F.col("__n")
     targets = F.array(
         F.struct(F.lit(1).alias("t"), (F.floor((n - 1) / 2) + 1).alias("r")),
         F.struct(F.lit(2).alias("t"), (F.ceil((n - 1) / 2) + 1).alias("r")),
     )
     hist = (hist.withColumn("__tr", F.explode(targets))
-            .select(*keys, "__n", F.col("__tr.t").alias("__t"), F.col("__tr.r").alias("__r"), "__d", "__c"))
-    cands = _pick(hist, keys).select(*keys, "__n", "__t", F.col("__d").alias("__p"), "__r")
+            .select(*keys, "__n", "__stats", F.col("__tr.t").alias("__t"), F.col("__tr.r").alias("__r"), "__d",
+                    "__c"))
+    # per-group values (n, stats) ride along with the candidates: no join back
+    cands = _pick(hist, keys).select(*keys, "__n", "__stats", "__t", F.col("__d").alias("__p"), "__r")
 
     # levels 2..: refine each target's prefix by one digit
     last = len(_DIGITS)
     for level in range(2, last + 1):
         rows = _join_on_keys(base, cands, keys).filter(_prefix(F.col("__u"), level) == F.col("__p"))
-        hist = rows.groupBy(*keys, "__n", "__t", "__p", "__r", _digit(F.col("__u"), level).alias("__d")).agg(
+        hist = rows.groupBy(*keys, "__n", "__stats", "__t", "__p", "__r",
+                            _digit(F.col("__u"), level).alias("__d")).agg(
             F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__val"))
         picked = _pick(hist, keys + ["__t"])
         if level < last:
-            cands = picked.select(*keys, "__n", "__t",
+            cands = picked.select(*keys, "__n", "__stats", "__t",
                                   F.shiftleft(F.col("__p"), _DIGITS[level - 1]).bitwiseOR(F.col("__d")).alias("__p"),
                                   "__r")
         else:
-            cands = picked.select(*keys, "__n", "__t", "__val")
+            cands = picked.select(*keys, "__n", "__stats", "__t", "__val")
 
     # both middle values are known: interpolate
     out = cands.groupBy(*keys).agg(
         F.max(F.when(F.col("__t") == 1, F.col("__val"))).alias("__a"),
         F.max(F.when(F.col("__t") == 2, F.col("__val"))).alias("__b"),
         F.first("__n").alias("__n"),
+        F.first("__stats").alias("__stats"),
     )
     frac = ((F.col("__n") - 1) % 2) * 0.5
-    return out.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * frac).alias(out_name))
+    pick = {"count": F.col("__n"), "sum": F.col("__stats.sum"), "min": F.col("__stats.min"),
+            "max": F.col("__stats.max"), "avg": F.col("__stats.sum") / F.col("__n")}
+    return out.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * frac).alias(out_name),
+                      *[pick[kind].alias(name) for name, kind in stats.items()])
 
 
 def _join_on_keys(rows: DataFrame, cands: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -84,6 +84,14 @@ def test_exact_median_signs_zeros_extremes_and_null_key(spark):
     assert got == want
 
 
+def test_exact_median_group_stats(spark):
+    rows = [("a", 1.0), ("a", 4.0), ("a", 10.0), ("b", -2.0), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    out = {r.g: tuple(r)[1:] for r in exact_median(
+        df, ["g"], "v", "M", stats={"N": "count", "S": "sum", "LO": "min", "HI": "max", "A": "avg"}).collect()}
+    assert out == {"a": (4.0, 3, 15.0, 1.0, 10.0, 5.0), "b": (-2.0, 1, -2.0, -2.0, -2.0, -2.0)}
+
+
 def test_exact_median_all_null_group_absent(spark):
     df = spark.createDataFrame([("a", None), ("b", 1.0)], "g string, v double")
     assert _as_dict(exact_median(df, ["g"], "v"), "g", "MEDIAN") == {"b": 1.0}
