@@ -31,14 +31,18 @@ BUCKET_KEY = {"bureau_balance": "SK_ID_BUREAU"}
 
 def build_tables(ctx: LendingData, database: str, fmt: str = "parquet", buckets: int | None = None,
                  include_master: bool = True) -> dict[str, str]:
-    """Write the five cleaned tables (and the wide master table); returns name -> qualified table."""
+    """Write the five cleaned tables, then the wide master table computed from the
+    *written* cleaned tables (the lineage is cut there: the master does not redo
+    the cleaning, and a lost executor only recomputes from the saved tables).
+    Returns name -> qualified table."""
     out = {}
     for key, df in ctx.silver().items():
         bucket = (buckets, BUCKET_KEY.get(key, "SK_ID_CURR")) if buckets else None
         out[key] = save(df, SILVER_TABLES[key], fmt=fmt, database=database, bucket_by=bucket)
     if include_master:
         bucket = (buckets, "SK_ID_CURR") if buckets else None
-        out[MASTER_TABLE] = save(ctx.wide, MASTER_TABLE, fmt=fmt, database=database, bucket_by=bucket)
+        saved = from_tables(ctx.spark, database)
+        out[MASTER_TABLE] = save(saved.wide, MASTER_TABLE, fmt=fmt, database=database, bucket_by=bucket)
     return out
 
 
