@@ -20,9 +20,18 @@ RECOMMENDED = {
 }
 
 
+# On a cluster: let AQE size coalesced partitions by bytes (not by maximum
+# parallelism), and split a skewed join partition once it is 5x the median.
+CLUSTER = {
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+}
+
+
 def tune(spark: SparkSession, overrides: dict[str, str] | None = None) -> SparkSession:
-    """Apply ``RECOMMENDED`` (and ``overrides``) for keys the session leaves unset."""
-    for k, v in {**RECOMMENDED, **(overrides or {})}.items():
+    """Apply ``RECOMMENDED`` and ``CLUSTER`` (and ``overrides``) for keys the
+    session leaves unset; settings the cluster already chose are kept."""
+    for k, v in {**RECOMMENDED, **CLUSTER, **(overrides or {})}.items():
         if spark.conf.get(k, None) in (None, ""):
             spark.conf.set(k, v)
     return spark

@@ -50,3 +50,27 @@ def test_share_report_reads_input_once(spark):
 def test_exec_summary_is_one_aggregate(spark):
     opt = _optimized(E.queries()["exec_summary"](spark, SF01))
     assert "Union" not in opt
+
+
+@pytest.mark.parametrize("key", ["features_bureau", "features_previous", "features_payment", "risk_matrix"])
+def test_aggregates_combine_map_side(spark, key):
+    # a partial aggregate runs before the exchange: hot keys are pre-combined per task
+    plan = _plan(E.queries()[key](spark, SF01))
+    assert re.search(r"HashAggregate\(keys=\[[^\]]*\], functions=\[partial_", plan), key
+
+
+def test_hot_applicant_rollup_exact(spark):
+    from pyspark.sql import functions as F
+
+    from loanlens.plans import reports
+    from tests.helpers import lending
+
+    hot = [dict(SK_ID_CURR=1, SK_ID_BUREAU=i, CREDIT_ACTIVE="Active" if i % 2 else "Closed",
+                AMT_CREDIT_SUM=float(i), AMT_CREDIT_SUM_DEBT=1.0) for i in range(3000)]
+    cold = [dict(SK_ID_CURR=2 + i, SK_ID_BUREAU=10000 + i) for i in range(6000)]
+    ctx = lending(spark, app=[dict(SK_ID_CURR=k) for k in range(1, 6002)], bureau=hot + cold)
+    f = {r.SK_ID_CURR: r for r in ctx.bureau_features.filter(F.col("SK_ID_CURR") <= 2).collect()}
+    assert (f[1].BUREAU_CREDIT_COUNT, f[1].ACTIVE_CREDIT_COUNT, f[1].TOTAL_DEBT) == (3000, 1500, 3000.0)
+    assert f[1].AVG_CREDIT_AMOUNT == sum(range(3000)) / 3000
+    hist = {r.CREDIT_HISTORY_LEVEL: r.CUSTOMER_COUNT for r in reports.history_impact(ctx).collect()}
+    assert hist == {"Very Extensive (10+)": 1, "Limited History (1-2)": 6000}
