@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.sinks import save
 from .context import LendingData
@@ -30,19 +31,33 @@ BUCKET_KEY = {"bureau_balance": "SK_ID_BUREAU"}
 
 
 def build_tables(ctx: LendingData, database: str, fmt: str = "parquet", buckets: int | None = None,
-                 include_master: bool = True) -> dict[str, str]:
+                 include_master: bool = True, row_counts: dict[str, int] | None = None) -> dict[str, str]:
     """Write the five cleaned tables, then the wide master table computed from the
     *written* cleaned tables (the lineage is cut there: the master does not redo
     the cleaning, and a lost executor only recomputes from the saved tables).
-    Returns name -> qualified table."""
+    Returns name -> qualified table.
+
+    Pass a dict as ``row_counts`` to receive the row count of every written table.
+    The counts are ``observe`` metrics gathered by the write jobs themselves, so
+    no extra count job runs."""
     out = {}
+    observed: dict[str, Observation] = {}
+
+    def write(key: str, df: DataFrame, table: str, bucket) -> str:
+        if row_counts is not None:
+            observed[key] = Observation(f"rows_{key}")
+            df = df.observe(observed[key], F.count(F.lit(1)).alias("rows"))
+        return save(df, table, fmt=fmt, database=database, bucket_by=bucket)
+
     for key, df in ctx.silver().items():
         bucket = (buckets, BUCKET_KEY.get(key, "SK_ID_CURR")) if buckets else None
-        out[key] = save(df, SILVER_TABLES[key], fmt=fmt, database=database, bucket_by=bucket)
+        out[key] = write(key, df, SILVER_TABLES[key], bucket)
     if include_master:
         bucket = (buckets, "SK_ID_CURR") if buckets else None
         saved = from_tables(ctx.spark, database)
-        out[MASTER_TABLE] = save(saved.wide, MASTER_TABLE, fmt=fmt, database=database, bucket_by=bucket)
+        out[MASTER_TABLE] = write(MASTER_TABLE, saved.wide, MASTER_TABLE, bucket)
+    if row_counts is not None:
+        row_counts.update({k: o.get["rows"] for k, o in observed.items()})
     return out
 
 

@@ -88,7 +88,11 @@ def test_gold_build_bucketed_removes_key_exchanges(spark):
     from loanlens.plans import pipeline
 
     ctx = LendingData.from_fixtures(spark, SF001)
-    names = pipeline.build_tables(ctx, "loanlens_gold_t", buckets=4)
+    counts = {}
+    names = pipeline.build_tables(ctx, "loanlens_gold_t", buckets=4, row_counts=counts)
+    assert counts["application_train"] == ctx.application.count()
+    assert counts["master_dataset"] == counts["application_train"]
+    assert counts["previous_application"] == ctx.previous.count()
     assert set(names) == {"application_train", "bureau", "bureau_balance", "previous_application",
                           "installments_payments", "master_dataset"}
     back = pipeline.from_tables(spark, "loanlens_gold_t")
