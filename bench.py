@@ -33,7 +33,7 @@ def main() -> None:
     import tempfile
 
     scratch = tempfile.mkdtemp(prefix="loanlens-bench-")
-    spark = local_session(cpus=CPUS, shuffle_partitions=max(8, CPUS * 2), app="loanlens-bench",
+    spark = local_session(cpus=CPUS, shuffle_partitions=CPUS, app="loanlens-bench",
                           extra={"spark.sql.warehouse.dir": os.path.join(scratch, "warehouse"),
                                  "spark.checkpoint.dir": os.path.join(scratch, "checkpoints")})
     only = [a for a in sys.argv[1:]]
