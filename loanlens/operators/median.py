@@ -11,7 +11,9 @@ distinct values) would be collected whole.  This operator is a radix select:
   (group, target, next digit) among the rows whose leading bits match the
   target's prefix found so far, then a running count over at most 2**22 digit
   values picks the digit that holds the remaining rank;
-* after three levels the whole key - hence the value - is known.
+* after three levels the whole key - hence the value - is known.  When the
+  first-level bucket holding a middle rank has at most 2**22 rows (the usual
+  case), its distinct values are ordered directly instead: two passes, not three.
 
 Every level is an exact partial (map-side combined) aggregate, so the result is
 deterministic even when tasks are recomputed, and no task ever orders more than
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _DIGITS = (22, 21, 21)  # bits per level, most significant first; sums to 64
+_SMALL_BUCKET = 1 << 22  # a level-1 bucket this small is resolved by sorting its values
 _TWO52 = float(2 ** 52)
 _MIN_NORMAL = 2.0 ** -1022
 
@@ -63,14 +66,19 @@ def _prefix(u: Column, level: int) -> Column:
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out_name: str = "MEDIAN",
-                 stats: dict[str, str] | None = None) -> DataFrame:
+                 stats: dict[str, str] | None = None, small_bucket: int = _SMALL_BUCKET) -> DataFrame:
     """One row per group of ``keys``: ``out_name`` = exact median of ``value``
     (linear interpolation of the two middle values, like PERCENTILE_CONT(0.5)).
     NULL and NaN values are ignored; groups without values are absent.
 
     ``stats`` optionally adds group statistics of the same values, read off the
     first-level histogram at no extra pass: ``{"N": "count", "S": "sum",
-    "LO": "min", "HI": "max", "MEAN": "avg"}`` (any subset, any names)."""
+    "LO": "min", "HI": "max", "MEAN": "avg"}`` (any subset, any names).
+
+    ``small_bucket`` (at most 2**22) is the largest first-level bucket that is
+    resolved by ordering its values; larger ones take the digit levels."""
+    if not 0 <= small_bucket <= _SMALL_BUCKET:
+        raise ValueError("small_bucket must be between 0 and 2**22")
     keys = list(keys)
     stats = dict(stats or {})
     v = F.col(value).cast("double")
@@ -98,9 +106,21 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out_name: str =
             .select(*keys, "__n", "__stats", F.col("__tr.t").alias("__t"), F.col("__tr.r").alias("__r"), "__d",
                     "__c"))
     # per-group values (n, stats) ride along with the candidates: no join back
-    cands = _pick(hist, keys).select(*keys, "__n", "__stats", "__t", F.col("__d").alias("__p"), "__r")
-
-    # levels 2..: refine each target's prefix by one digit
+    cands = _pick(hist, keys).select(*keys, "__n", "__stats", "__t", F.col("__d").alias("__p"), "__r",
+                                     F.col("__c").alias("__bucket"))
+
+    # Fast path: a level-1 bucket of at most 2**22 rows is finished in one pass by
+    # ordering its distinct values (same per-task bound as a histogram level).
+    small = cands.filter(F.col("__bucket") <= small_bucket).drop("__bucket")
+    rows = _join_on_keys(base, small, keys).filter(_prefix(F.col("__u"), 2) == F.col("__p"))
+    # inside one level-1 bucket the sign bit is fixed, so signed order of __u is value order
+    hist = rows.groupBy(*keys, "__n", "__stats", "__t", "__r", F.col("__u").alias("__d")).agg(
+        F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__val"))
+    found = [_pick(hist, keys + ["__t"]).select(*keys, "__n", "__stats", "__t", "__val")]
+
+    # Larger buckets: refine the prefix digit by digit (levels 2..).  When no
+    # bucket is that large the join input is empty and AQE prunes this branch.
+    cands = cands.filter(F.col("__bucket") > small_bucket).drop("__bucket")
     last = len(_DIGITS)
     for level in range(2, last + 1):
         rows = _join_on_keys(base, cands, keys).filter(_prefix(F.col("__u"), level) == F.col("__p"))
@@ -113,7 +133,8 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out_name: str =
                                   F.shiftleft(F.col("__p"), _DIGITS[level - 1]).bitwiseOR(F.col("__d")).alias("__p"),
                                   "__r")
         else:
-            cands = picked.select(*keys, "__n", "__stats", "__t", "__val")
+            found.append(picked.select(*keys, "__n", "__stats", "__t", "__val"))
+    cands = found[0].unionByName(found[1])
 
     # both middle values are known: interpolate
     out = cands.groupBy(*keys).agg(

@@ -52,8 +52,8 @@ def _percentile_cont(values):
     return float(np.percentile(np.asarray(values, dtype=float), 50, method="linear"))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_exact_median_matches_numpy(spark, seed):
+@pytest.mark.parametrize("seed,small_bucket", [(1, 1 << 22), (2, 0), (3, 40)])
+def test_exact_median_matches_numpy(spark, seed, small_bucket):
     rng = np.random.default_rng(seed)
     rows = []
     # a hot group holding most rows, with many ties; small odd/even groups; NULL values
@@ -63,7 +63,8 @@ def test_exact_median_matches_numpy(spark, seed):
         rows += [(g, float(x)) for x in rng.normal(100, 20, n)]
     rows.append(("two", None))
     df = spark.createDataFrame(rows, "g string, v double")
-    got = _as_dict(exact_median(df, ["g"], "v", "m"), "g", "m")
+    # small_bucket=0 forces the digit levels everywhere; 40 mixes both paths
+    got = _as_dict(exact_median(df, ["g"], "v", "m", small_bucket=small_bucket), "g", "m")
     by_group = {}
     for g, v in rows:
         if v is not None:
@@ -74,12 +75,13 @@ def test_exact_median_matches_numpy(spark, seed):
         assert got[g] == pytest.approx(want[g], rel=1e-12, abs=1e-9), g
 
 
-def test_exact_median_signs_zeros_extremes_and_null_key(spark):
+@pytest.mark.parametrize("small_bucket", [1 << 22, 0])
+def test_exact_median_signs_zeros_extremes_and_null_key(spark, small_bucket):
     vals = {"neg": [-5.5, -1e-300, -0.0, 0.0, 2.0, 3.0], "tiny": [5e-324, 1e-310, 2.2250738585072014e-308],
             "big": [1e308, -1e308, 7.0], None: [1.0, 2.0, 3.0, 4.0]}
     rows = [(g, x) for g, xs in vals.items() for x in xs]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = _as_dict(exact_median(df, ["g"], "v"), "g", "MEDIAN")
+    got = _as_dict(exact_median(df, ["g"], "v", small_bucket=small_bucket), "g", "MEDIAN")
     want = {g: _percentile_cont(xs) for g, xs in vals.items()}
     assert got == want
 
