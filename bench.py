@@ -55,11 +55,11 @@ def main() -> None:
     # end-to-end bronze -> silver -> gold build: five cleaned tables + the wide master table
     build = None
     if not only:
-        from loanlens.plans import pipeline
+        from loanlens.plans import gold
         from loanlens.plans.context import LendingData
 
         t0 = time.perf_counter()
-        pipeline.build_tables(LendingData.from_fixtures(spark, SF_DIR), "bench_gold")
+        gold.build_tables(LendingData.from_fixtures(spark, SF_DIR), "bench_gold")
         build = round(time.perf_counter() - t0, 3)
         print(f"{'build_gold (write 6 tables)':28s} {build:7.3f}s", file=sys.stderr)
 

@@ -1,6 +1,7 @@
-"""Invariants of the pipeline and equivalence of the rewrites (KPI fusion,
-share of total by window, one-aggregate completeness) with the literal
-UNION ALL / scalar-subquery form run as Spark SQL over the registered views."""
+"""Invariants of the cleaned, rolled-up and reported tables, and equivalence
+of the rewrites (KPI fusion, share of total by window, one-aggregate
+completeness) with the literal UNION ALL / scalar-subquery form run as Spark
+SQL over the registered views."""
 
 import pytest
 from pyspark.sql import functions as F

@@ -35,7 +35,7 @@ def test_csv_tables_typed_and_inferred(spark):
     inferred = LendingData.from_csv(spark, d, infer=True)
     t = dict(inferred.raw["application_train"].dtypes)
     assert t["SK_ID_CURR"] in ("int", "bigint") and t["AMT_CREDIT"] == "double" and t["CODE_GENDER"] == "string"
-    # the whole pipeline runs on the CSV-read tables and agrees with the parquet-derived one
+    # the whole chain runs on the CSV-read tables and agrees with the parquet-derived one
     a = _rows(reports.risk_score(typed))
     b = _rows(reports.risk_score(LendingData(spark, raw)))
     assert a == b
@@ -85,17 +85,17 @@ def test_streaming_refresh_matches_batch_cleaner(spark):
 
 
 def test_gold_build_bucketed_removes_key_exchanges(spark):
-    from loanlens.plans import pipeline
+    from loanlens.plans import gold
 
     ctx = LendingData.from_fixtures(spark, SF001)
     counts = {}
-    names = pipeline.build_tables(ctx, "loanlens_gold_t", buckets=4, row_counts=counts)
+    names = gold.build_tables(ctx, "loanlens_gold_t", buckets=4, row_counts=counts)
     assert counts["application_train"] == ctx.application.count()
     assert counts["master_dataset"] == counts["application_train"]
     assert counts["previous_application"] == ctx.previous.count()
     assert set(names) == {"application_train", "bureau", "bureau_balance", "previous_application",
                           "installments_payments", "master_dataset"}
-    back = pipeline.from_tables(spark, "loanlens_gold_t")
+    back = gold.from_tables(spark, "loanlens_gold_t")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force shuffle joins to see the layout
     try:
         plan = back.wide._jdf.queryExecution().executedPlan().toString()
