@@ -39,6 +39,10 @@ def test_csv_tables_typed_and_inferred(spark):
     a = _rows(reports.risk_score(typed))
     b = _rows(reports.risk_score(LendingData(spark, raw)))
     assert a == b
+    # ... and on the inferred types as well
+    assert _rows(reports.risk_score(inferred)) == a
+    assert _rows(reports.salary_by_profession(inferred, min_count=1)) == \
+        _rows(reports.salary_by_profession(typed, min_count=1))
     # profiled-only tables are read with inference
     assert inferred.raw["pos_cash_balance"].count() == raw["pos_cash_balance"].count()
 
