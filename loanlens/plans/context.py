@@ -102,9 +102,14 @@ class LendingData:
             "installments_payments": self.installments,
         }
 
-    def register_views(self, prefix: str = "") -> None:
-        """Temp views for SQL users; the wide and slim tables get two names."""
+    def register_views(self, prefix: str = "", master: str | None = None) -> None:
+        """Temp views for SQL users: the five cleaned tables under their table
+        names, ``risk_wide`` and ``risk_slim``; with ``master="wide"`` or
+        ``"slim"`` also ``master_risk_data`` for SQL written against that name
+        (the wide table for the first sample queries, the slim one afterwards)."""
         for name, df in self.silver().items():
             df.createOrReplaceTempView(f"{prefix}{name}")
         self.wide.createOrReplaceTempView(f"{prefix}risk_wide")
         self.slim.createOrReplaceTempView(f"{prefix}risk_slim")
+        if master is not None:
+            {"wide": self.wide, "slim": self.slim}[master].createOrReplaceTempView(f"{prefix}master_risk_data")

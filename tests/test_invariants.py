@@ -117,3 +117,16 @@ def test_stage_counts_match_frames(ctx):
     assert got["application_train_clean"] == ctx.application.count()
     assert got["master_dataset"] == ctx.wide.count()
     assert got["prev_app_features"] == ctx.previous_features.count()
+
+
+def test_sql_on_registered_views_matches_reports(spark, ctx):
+    ctx.register_views("v_", master="wide")
+    by_age = spark.sql("""SELECT AGE_GROUP, COUNT(*) AS CUSTOMER_COUNT, ROUND(AVG(TARGET) * 100, 2) AS DEFAULT_RATE
+                          FROM v_master_risk_data GROUP BY AGE_GROUP""")
+    assert _set(by_age) == _set(reports.demo_by_age(ctx))
+    ctx.register_views("v_", master="slim")
+    matrix = spark.sql("""SELECT AGE_GROUP, INCOME_CATEGORY, COUNT(*) AS CUSTOMER_COUNT,
+                                 ROUND(AVG(TARGET) * 100, 2) AS DEFAULT_RATE, ROUND(AVG(AMT_CREDIT), 0) AS AVG_LOAN_SIZE,
+                                 CAST(ROUND(AVG(CREDIT_INCOME_RATIO), 2) AS DOUBLE) AS AVG_CREDIT_RATIO
+                          FROM v_master_risk_data GROUP BY AGE_GROUP, INCOME_CATEGORY HAVING COUNT(*) >= 100""")
+    assert _set(matrix) == _set(reports.risk_matrix(ctx))
