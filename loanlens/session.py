@@ -28,10 +28,28 @@ CLUSTER = {
 }
 
 
-def tune(spark: SparkSession, overrides: dict[str, str] | None = None) -> SparkSession:
+def shuffle_partitions_for(shuffle_bytes: int, cores: int, target_bytes: int = 128 << 20) -> int:
+    """Initial shuffle partition count giving each reducer about ``target_bytes``
+    (AQE then coalesces small ones), never fewer than the cluster's cores.
+
+    Example: the roll-ups of a 100 TB input shuffle roughly one partial row per
+    applicant and mapper; for ~2 TB of shuffle data on 4,000 cores this gives
+    16,384 partitions of ~128 MB, which fit an executor's memory without spilling."""
+    wanted = -(-int(shuffle_bytes) // int(target_bytes))
+    return max(int(cores), wanted)
+
+
+def tune(spark: SparkSession, overrides: dict[str, str] | None = None,
+         shuffle_bytes: int | None = None) -> SparkSession:
     """Apply ``RECOMMENDED`` and ``CLUSTER`` (and ``overrides``) for keys the
-    session leaves unset; settings the cluster already chose are kept."""
-    for k, v in {**RECOMMENDED, **CLUSTER, **(overrides or {})}.items():
+    session leaves unset; settings the cluster already chose are kept.  With
+    ``shuffle_bytes`` (the expected size of the largest shuffle), the initial
+    shuffle partition count is sized by :func:`shuffle_partitions_for`."""
+    sizing = {}
+    if shuffle_bytes:
+        n = shuffle_partitions_for(shuffle_bytes, spark.sparkContext.defaultParallelism)
+        sizing = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n)}
+    for k, v in {**RECOMMENDED, **CLUSTER, **sizing, **(overrides or {})}.items():
         if spark.conf.get(k, None) in (None, ""):
             spark.conf.set(k, v)
     return spark
