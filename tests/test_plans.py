@@ -74,3 +74,13 @@ def test_hot_applicant_rollup_exact(spark):
     assert f[1].AVG_CREDIT_AMOUNT == sum(range(3000)) / 3000
     hist = {r.CREDIT_HISTORY_LEVEL: r.CUSTOMER_COUNT for r in reports.history_impact(ctx).collect()}
     assert hist == {"Very Extensive (10+)": 1, "Limited History (1-2)": 6000}
+
+
+LIMIT_IS_THE_FEATURE = {"top_occupations", "rejection_reasons", "preview"}
+
+
+@pytest.mark.parametrize("key", sorted(E.queries()))
+def test_row_limits_only_where_they_are_the_feature(spark, key):
+    opt = _optimized(E.queries()[key](spark, SF01))
+    has_limit = "GlobalLimit" in opt or "LocalLimit" in opt
+    assert has_limit == (key in LIMIT_IS_THE_FEATURE), key
