@@ -108,3 +108,16 @@ def test_gold_build_bucketed_removes_key_exchanges(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert spark.table(names["master_dataset"]).count() == ctx.wide.count()
+
+
+def test_dashboard_refresh_writes_every_report(spark):
+    from loanlens.plans import dashboard
+
+    ctx = LendingData.from_fixtures(spark, SF001)
+    names = ["risk_score", "salary_by_profession", "default_kpis", "approval_by_size", "completeness"]
+    out = dashboard.refresh(ctx, "loanlens_dash_t", names=names)
+    for name in names:
+        written = spark.table(out[f"report_{name}"])
+        direct = dashboard.REPORT_FUNCTIONS[name](ctx)
+        assert _rows(written) == _rows(direct), name
+    assert set(dashboard.REPORT_FUNCTIONS) >= set(reports.REPORTS)
