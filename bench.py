@@ -44,23 +44,34 @@ def main() -> None:
         QUERIES[key](spark, SF_DIR).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t0
 
-    run("risk_score")  # JVM / code-cache warm-up
-    times = {}
+    times, errors = {}, {}
+    try:
+        run("risk_score")  # JVM / code-cache warm-up
+    except Exception as exc:
+        errors["warm_up"] = f"{type(exc).__name__}: {exc}"[:300]
     for k in keys:
-        run(k)
-        samples = [run(k) for _ in range(REPS)]
+        try:
+            run(k)
+            samples = [run(k) for _ in range(REPS)]
+        except Exception as exc:  # keep measuring the others; report the failure
+            errors[k] = f"{type(exc).__name__}: {exc}"[:300]
+            print(f"{k:28s} FAILED {errors[k]}", file=sys.stderr)
+            continue
         times[k] = round(statistics.median(samples), 4)
         print(f"{k:28s} {times[k]:7.3f}s", file=sys.stderr)
 
     # end-to-end bronze -> silver -> gold build: five cleaned tables + the wide master table
     build = None
-    if not only:
+    if not only and os.environ.get("BENCH_BUILD", "1") != "0":
         from loanlens.plans import gold
         from loanlens.plans.context import LendingData
 
         t0 = time.perf_counter()
-        gold.build_tables(LendingData.from_fixtures(spark, SF_DIR), "bench_gold")
-        build = round(time.perf_counter() - t0, 3)
+        try:
+            gold.build_tables(LendingData.from_fixtures(spark, SF_DIR), "bench_gold")
+            build = round(time.perf_counter() - t0, 3)
+        except Exception as exc:
+            errors["build_gold"] = f"{type(exc).__name__}: {exc}"[:300]
         print(f"{'build_gold (write 6 tables)':28s} {build:7.3f}s", file=sys.stderr)
 
     m = re.search(r"sf([0-9.]+)", SF_DIR)
@@ -74,6 +85,8 @@ def main() -> None:
         "reps": REPS,
         "build_gold_sec": build,
     }
+    if errors:
+        out["errors"] = errors
     print(json.dumps(out))
     spark.stop()
 
