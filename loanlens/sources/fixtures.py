@@ -154,8 +154,12 @@ FIXTURE_LOADERS = {
 
 
 def load_fixture_tables(spark: SparkSession, sf_dir: str) -> "LazyTables":
-    """All eight lending tables derived from ``sf_dir``; each is built on first use."""
-    return LazyTables({name: (lambda fn=fn: fn(spark, sf_dir)) for name, fn in FIXTURE_LOADERS.items()})
+    """All eight lending tables derived from ``sf_dir``; each is built on first use
+    (application_test reuses the application_train plan without TARGET)."""
+    loaders = {name: (lambda fn=fn: fn(spark, sf_dir)) for name, fn in FIXTURE_LOADERS.items()}
+    loaders["application_test"] = lambda: tables["application_train"].drop("TARGET")
+    tables = LazyTables(loaders)  # the lambda above resolves ``tables`` when first called
+    return tables
 
 
 class LazyTables(Mapping):
