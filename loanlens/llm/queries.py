@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from loanlens.llm import line_dedup, mixing, url_filter
+from loanlens.llm import bpe, line_dedup, mixing, topk_search, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.op3,
+    "op4_bpe": bpe.op4,
     "op6_mixing": mixing.op6,
     "op7_line_dedup": line_dedup.op7,
+    "op9_topk_search": topk_search.op9,
 }
 
 ORACLES = {
     "op3_url_filter": url_filter.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op9_topk_search": topk_search.ORACLE,
 }
