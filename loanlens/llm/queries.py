@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from loanlens.llm import bpe, line_dedup, mixing, topk_search, url_filter
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loanlens.llm import bpe, line_dedup, mixing, quality, topk_search, url_filter
+from loanlens.llm.shared import ship
+
+
+def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    run.__doc__ = f.__doc__
+    return run
+
 
 QUERIES = {
-    "op3_url_filter": url_filter.op3,
-    "op4_bpe": bpe.op4,
-    "op6_mixing": mixing.op6,
-    "op7_line_dedup": line_dedup.op7,
-    "op9_topk_search": topk_search.op9,
+    "op1_quality": _query(quality.op1),
+    "op3_url_filter": _query(url_filter.op3),
+    "op4_bpe": _query(bpe.op4),
+    "op6_mixing": _query(mixing.op6),
+    "op7_line_dedup": _query(line_dedup.op7),
+    "op9_topk_search": _query(topk_search.op9),
 }
 
 ORACLES = {

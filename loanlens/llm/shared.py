@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,16 +28,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def empty_safe_max(df: DataFrame, column: str, default: int = 0) -> int:
-    return df.agg(F.max(column)).first()[0] or default
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def columns_of(df: DataFrame, *names: str) -> list[Column]:
-    return [F.col(f"`{n}`") for n in names]
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_loanlens_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
+    sc.addPyFile(archive)
+    sc._loanlens_shipped = True
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
