@@ -4,7 +4,7 @@ The target model counts the hashed n-grams (1 and 2 tokens) of documents labelle
 model those of all documents.  A document's log importance weight is the sum of
 log(target / raw) over its n-grams; the k highest weights plus Gumbel noise are a sample
 without replacement in proportion to the weights.  k is the number of documents whose weight
-reaches the cut that tells the labelled documents apart best.
+reaches the cut that parts labelled good and bad documents.
 """
 
 from __future__ import annotations

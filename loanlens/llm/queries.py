@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.llm import bpe, line_dedup, mixing, quality, topk_search, url_filter
+from loanlens.llm import bpe, embedding_dedup, line_dedup, mixing, quality, topk_search, toxicity, url_filter
 from loanlens.llm.shared import ship
 
 
@@ -23,13 +23,16 @@ QUERIES = {
     "op1_quality": _query(quality.op1),
     "op3_url_filter": _query(url_filter.op3),
     "op4_bpe": _query(bpe.op4),
+    "op5_embedding_dedup": _query(embedding_dedup.op5),
     "op6_mixing": _query(mixing.op6),
     "op7_line_dedup": _query(line_dedup.op7),
     "op9_topk_search": _query(topk_search.op9),
+    "op10_toxicity": _query(toxicity.op10),
 }
 
 ORACLES = {
     "op3_url_filter": url_filter.ORACLE,
+    "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_topk_search": topk_search.ORACLE,
 }
