@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.llm import bpe, embedding_dedup, line_dedup, mixing, quality, topk_search, toxicity, url_filter
+from loanlens.llm import bpe, embedding_dedup, line_dedup, mixing, quality, substring_dedup, topk_search, toxicity, url_filter
 from loanlens.llm.shared import ship
 
 
@@ -21,6 +21,7 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 QUERIES = {
     "op1_quality": _query(quality.op1),
+    "op2_substring_dedup": _query(substring_dedup.op2),
     "op3_url_filter": _query(url_filter.op3),
     "op4_bpe": _query(bpe.op4),
     "op5_embedding_dedup": _query(embedding_dedup.op5),
@@ -31,6 +32,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op3_url_filter": url_filter.ORACLE,
     "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
