@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.llm import bpe, embedding_dedup, line_dedup, mixing, quality, substring_dedup, topk_search, toxicity, url_filter
+from loanlens.llm import bpe, embedding_dedup, line_dedup, mixing, ngram_join, quality, substring_dedup, topk_search, toxicity, url_filter
 from loanlens.llm.shared import ship
 
 
@@ -27,6 +27,7 @@ QUERIES = {
     "op5_embedding_dedup": _query(embedding_dedup.op5),
     "op6_mixing": _query(mixing.op6),
     "op7_line_dedup": _query(line_dedup.op7),
+    "op8_ngram_join": _query(ngram_join.op8),
     "op9_topk_search": _query(topk_search.op9),
     "op10_toxicity": _query(toxicity.op10),
 }
@@ -36,5 +37,6 @@ ORACLES = {
     "op3_url_filter": url_filter.ORACLE,
     "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
     "op9_topk_search": topk_search.ORACLE,
 }
