@@ -20,6 +20,8 @@ from loanlens.llm.shared import materialize
 
 #: Rows in a block of the index, and queries in a block: a score array of 8,192 x 512 numbers.
 ROWS, QUERIES = 8192, 512
+#: Rows whose scores are worked out together.
+TILE = 256
 
 
 def weights(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
@@ -48,7 +50,7 @@ def weights(vectors: DataFrame, key: str, vector: str, scale: float) -> DataFram
 
 
 def accumulate(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows (ties to the smaller key) of each query: query_id, vec_id, score."""
+    """Each query's k best rows (ties to the smaller key), or k + 1 of them: query_id, vec_id, score."""
     rows = rows.sort_values("key", ignore_index=True)
     keys, n, m = rows["key"].to_numpy(), len(rows), len(queries)
     if not n or not m:
@@ -64,36 +66,53 @@ def accumulate(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFram
         cut = np.flatnonzero(np.diff(term)) + 1
         return {int(t[0]): (o, w) for t, o, w in zip(np.split(term, cut), np.split(owner, cut), np.split(weight, cut)) if len(t)}
 
+    def spread(at: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size, np.int64)
+        out[at] = weight
+        return out
+
     of_rows, of_queries = postings(rows), postings(queries)
+    # a list with most of the places is added as a whole line, zeros included: no scattered writes
+    of_queries = {t: (slice(None), spread(q, w, m)) if 2 * len(q) > m else (q, w) for t, (q, w) in of_queries.items()}
     # the narrowest numbers that hold every sum; beyond 64 bits Python's own, clipped at the end
     bound = sum(int(np.abs(of_rows[t][1]).max()) * int(np.abs(w).max()) for t, (_, w) in of_queries.items() if t in of_rows)
     kind = np.int32 if bound < 2**31 else np.int64 if bound < 2**63 else object
     score = np.zeros((n, m), kind)
-    for t, (q, qw) in of_queries.items():
-        if t in of_rows:
+    for low in range(0, n, TILE):  # a tile of scores stays in the processor's cache while all terms add to it
+        tile = score[low: low + TILE]
+        for t, (q, qw) in of_queries.items():
+            if t not in of_rows:
+                continue
             r, rw = of_rows[t]
-            part = np.multiply.outer(rw.astype(kind), qw.astype(kind))
-            if len(q) == m:
-                score[r] += part
+            a, z = np.searchsorted(r, (low, low + TILE))
+            rows_at, rows_w = r[a:z] - low, rw[a:z]
+            if 2 * len(rows_at) > len(tile):
+                rows_at, rows_w = slice(None), spread(rows_at, rows_w, len(tile))
+            part = np.multiply.outer(rows_w.astype(kind), qw.astype(kind))
+            if isinstance(q, slice):
+                tile[rows_at] += part
             else:
-                score[np.ix_(r, q)] += part
+                tile[rows_at if isinstance(rows_at, slice) else rows_at[:, None], q] += part
     if kind is object:
         score = np.clip(score, -(2**63) + 1, 2**63 - 1).astype(np.int64)
     score = np.ascontiguousarray(score.T)
-    out = []
+    asked, found, value = [], [], []
     for i, query in enumerate(queries["key"].to_numpy()):
         s = score[i]
         own = np.searchsorted(keys, query)
-        other = np.arange(n) if own == n or keys[own] != query else np.delete(np.arange(n), own)
-        s = s[other]
-        if len(s) > k:
-            least = np.partition(s, len(s) - k)[len(s) - k]
+        has_own = own < n and keys[own] == query
+        take = min(n, k + has_own)  # the query's own row may be among the best
+        if n > take:
+            least = np.partition(s, n - take)[n - take]
             above = np.flatnonzero(s > least)
-            best = np.concatenate([above, np.flatnonzero(s == least)[: k - len(above)]])
+            best = np.concatenate([above, np.flatnonzero(s == least)[: take - len(above)]])
         else:
-            best = np.arange(len(s))
-        out.append(pd.DataFrame({"query_id": query, "vec_id": keys[other[best]], "score": s[best].astype(np.int64)}))
-    return pd.concat(out, ignore_index=True)
+            best = np.arange(n)
+        best = best[keys[best] != query]
+        asked.append(np.full(len(best), query))
+        found.append(keys[best])
+        value.append(s[best].astype(np.int64))
+    return pd.DataFrame({"query_id": np.concatenate(asked), "vec_id": np.concatenate(found), "score": np.concatenate(value)})
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding", scale: float = 64.0, rows: int = ROWS, queries: int = QUERIES) -> DataFrame:
