@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from loanlens.llm.shared import materialize
 from loanlens.llm.text import Words, pieces
@@ -25,13 +26,15 @@ SHARE = 1.5
 EPOCHS = 2
 #: At most so many slots; the block length follows from it, so the schedule stays this small at any input.
 SLOTS = 1 << 20
+#: A word, for Java's patterns.
+WORD = r"[^\x20\x09-\x0D]+"
 _CHUNK = 4096  # slots ranked together
 _CELLS = 4096  # cells of [0, 1) in which slots meet sources
 _ROWS = 4096  # documents of one source whose positions one group works out, about
 _PHI = 0.6180339887498949
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def word_count(text: pa.Array) -> pa.Array:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in each text; null: 0."""
     batch = pa.RecordBatch.from_arrays([text], ["t"])
@@ -48,7 +51,8 @@ class Mix:
     block: int
 
 
-def _source_key(source: str):
+def source_key(source: str):
+    """A source's name without null: the null source is one source."""
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit(""))
 
 
@@ -121,7 +125,7 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     their own; no rows give an empty schedule.
     """
     spark = docs.sparkSession
-    sizes = docs.select(F.col(f"`{key}`").alias("_key"), _source_key(source).alias("_src"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`")).alias("_size"))
+    sizes = docs.select(F.col(f"`{key}`").alias("_key"), source_key(source).alias("_src"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`")).alias("_size"))
     sizes = materialize(sizes)
     sources, budget = plan_sources(sizes, weights, share, epochs)
     block = max(1, -(-int(budget) // slots))
@@ -148,7 +152,29 @@ def schedule(mix: Mix, epochs: int = EPOCHS) -> DataFrame:
     stood = stood.withColumn("b", F.col("a") + F.col("size"))
     blocks = stood.select("*", F.explode(F.sequence(F.floor(F.col("a") / t), F.floor((F.col("b") - 1) / t))).alias("rank"))
     overlap = F.least("b", (F.col("rank") + 1) * t) - F.greatest("a", F.col("rank") * t)
-    return blocks.join(mix.slots, ["_src", "rank"]).select("slot", "_key", "_src", "start", "size", overlap.alias("words"))
+    from_word = F.greatest("a", F.col("rank") * t) - F.col("a")
+    return blocks.join(mix.slots, ["_src", "rank"]).select("slot", "_key", "_src", "start", "size", "epoch", from_word.alias("from_word"), overlap.alias("words"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The mix as rows of ``docs``: one for each document and epoch in which the schedule takes words of it.
+
+    A document is taken whole but for the one that a source's last block ends in: of that, the
+    words taken are joined by one space.  Rows that agree in key, source and size are taken in
+    order of their texts.  Documents not taken, or without words, are left out.
+    """
+    mix = plan(docs, key, source, text)
+    name = lambda k, s, n: F.concat_ws("|", F.coalesce(k.cast("string"), F.lit("")), n.cast("string"), s)
+    taken = schedule(mix).groupBy("_src", "start", "_key", "size", "epoch").agg(F.min("from_word").alias("from"), F.sum("words").alias("words"))
+    taken = taken.withColumn("_name", name(F.col("_key"), F.col("_src"), F.col("size")))
+    nth = F.dense_rank().over(Window.partitionBy("_name").orderBy("start"))
+    taken = materialize(taken.withColumn("nth", nth).groupBy("_name").agg(F.collect_list(F.struct("nth", "epoch", "from", "words", "size")).alias("_taken")))
+    named = docs.withColumn("_name", name(F.col(f"`{key}`"), source_key(source), word_count(F.col(f"`{text}`"))))
+    joined = named.join(taken, "_name").withColumn("_nth", F.row_number().over(Window.partitionBy("_name").orderBy(text)))
+    each = joined.withColumn("_piece", F.explode(F.filter("_taken", lambda x: x["nth"] == F.col("_nth"))))
+    words = F.slice(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0)), (F.col("_piece.from") + 1).cast("int"), F.col("_piece.words").cast("int"))
+    left = F.when(F.col("_piece.words") == F.col("_piece.size"), F.col(f"`{text}`")).otherwise(F.array_join(words, " "))
+    return each.select(*[left.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

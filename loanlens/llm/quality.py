@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from loanlens.llm.shared import materialize
 from loanlens.llm.text import SPACE, Hasher, Words, mix, pieces
@@ -198,7 +199,7 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return docs.limit(0)
     ratio = model.ratio
 
-    @F.arrow_udf("double")
+    @F.arrow_udf(DoubleType())
     def weight(text: pa.Array) -> pa.Array:
         out = []
         for part in pieces(pa.RecordBatch.from_arrays([text], ["text"]), "text"):

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from loanlens.llm.shared import Bits, materialize
 from loanlens.llm.text import Hasher, Words, binaries, pieces, signed
@@ -207,7 +208,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", le
             for part in pieces(batch, "text"):
                 yield finish(part, [np.asarray(x.values) if x.is_valid else None for x in part.column("places")])
 
-    @F.arrow_udf("boolean")
+    @F.arrow_udf(BooleanType())
     def may_lose(h: pa.Array) -> pa.Array:
         return pa.array(touched.value.test(np.asarray(h, np.int64).view(np.uint64)))
 
