@@ -5,11 +5,11 @@ before frequent; a document's prefix is so long that a similar document must sha
 in it.  Rare tokens are indexed alone.  Frequent tokens fall into classes and are indexed as
 pairs inside a class; since one shared token of a class is then invisible, the prefix is
 extended by one token for each class it touches.  Documents that share an index entry are
-candidates, and candidates are verified on their whole sets.
-
-Only components are asked for, so candidates that are already connected are not verified:
-entries first pair their documents with one of them, then documents of different components
-with each other, which leaves no link between components unseen.
+candidates.  A candidate pair is dropped when the parities of its tokens' hash buckets differ
+in more places than two similar sets can differ in tokens; the others hold their documents
+together as a group.  Entries first pair their documents with a few of them, then documents of
+different groups with each other, so that large groups need few pairs and no candidate is
+missed.  Each group is then verified on the whole sets, each of which is sent once.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +28,13 @@ from loanlens.llm.text import Hasher, Roller, Words, mix, pieces, signed
 #: Words in a shingle; similarity (in hundredths) from which documents are linked.
 SHINGLE, PERCENT = 5, 80
 #: A token in more prefixes than this is frequent.
-FREQUENT = 16
-#: Star rounds before all pairs of different components are verified, at most.
-ROUNDS = 6
+FREQUENT = 8
+#: Longs of parity bits that a document is sketched with.
+SKETCH = 16
+#: Rounds in which the documents of an entry meet some of them, and with how many.
+ROUNDS, CENTERS = 2, 3
+#: Tokens that a verifying task holds of one side, about; larger groups are split.
+BLOCK = 1 << 21
 #: Prefix tokens of a class that one pair of frequent tokens is drawn from, about.
 _CLASS = 8
 
@@ -86,6 +91,15 @@ def index_entries(h: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np
     return rare, np.concatenate(entries) if entries else h[:0]
 
 
+def parities(flat: np.ndarray, n: np.ndarray) -> pa.Array:
+    """For each document (n of the tokens in a row): whether each of 64 * SKETCH hash buckets holds an odd number of its tokens."""
+    width = 64 * SKETCH
+    bucket = np.repeat(np.arange(len(n)) * width, n) + (mix(flat) % np.uint64(width)).astype(np.int64)
+    odd = (np.bincount(bucket, minlength=len(n) * width) & 1).astype(np.uint8)
+    longs = np.packbits(odd.reshape(len(n), width), axis=1).view(np.int64).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH), pa.array(longs))
+
+
 def _each(docs: DataFrame, size: int, schema: str, emit, only=None) -> DataFrame:
     """Run ``emit(key, sets)`` -> arrays on pieces of (doc, text); ``only``: Bits of hashed keys to look at."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -119,22 +133,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
                 ends = np.cumsum(n)
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 a, b = (r.spans(flat, ends - n, ends) for r in _SETS)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n), pa.array(signed(a)), pa.array(signed(b))], ["doc", "n", "a", "b"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n), pa.array(signed(a)), pa.array(signed(b)), parities(flat, n)], ["doc", "n", "a", "b", "sketch"])
 
-    listed = materialize(rows.mapInArrow(keyed, "doc long, n long, a long, b long"))
+    listed = materialize(rows.mapInArrow(keyed, "doc long, n long, a long, b long, sketch array<long>"))
     sets = listed.where("doc IS NOT NULL AND n > 0")
     firsts = materialize(sets.groupBy("n", "a", "b").agg(F.min("doc").alias("rep")))
     copies = sets.join(firsts, ["n", "a", "b"]).where("doc <> rep").select("doc", "rep")
     # one document for each set goes on (and a few copies, as Bits may take one for another)
     reps = spark.sparkContext.broadcast(Bits.build(firsts.select(F.xxhash64("rep").alias("h")), "h"))
     known = rows.where("doc IS NOT NULL").withColumn("h", F.xxhash64("doc"))
-    links = similar(known, reps, size, percent, frequent)
+    links = similar(known, reps, listed.where("doc IS NOT NULL").select("doc", "n", "sketch"), size, percent, frequent)
     parts = components(copies.unionByName(links.select(F.col("x").alias("doc"), F.col("y").alias("rep"))), "doc", "rep")
     out = listed.join(parts, listed["doc"] == parts["node"], "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
-def similar(known: DataFrame, reps, size: int, percent: int, frequent: int) -> DataFrame:
+def similar(known: DataFrame, reps, sketches: DataFrame, size: int, percent: int, frequent: int) -> DataFrame:
     """Enough verified links (x, y) between documents that their components are those of all links."""
     spark = known.sparkSession
 
@@ -178,52 +192,93 @@ def similar(known: DataFrame, reps, size: int, percent: int, frequent: int) -> D
     index = _each(known, size, "doc long, entry long, n long", entries, reps)
     index = materialize(index)
 
-    linked = spark.createDataFrame([], "x long, y long")
-    parts = None
+    # 4. groups: components of the candidates that the sketches allow
+    edges = spark.createDataFrame([], "x long, y long")
+    parts = spark.createDataFrame([], "node long, component long")
+    fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
     for round_ in range(ROUNDS + 1):
-        now = index if parts is None else index.join(parts.withColumnRenamed("node", "doc"), "doc", "left")
-        now = now.withColumn("part", F.col("doc") if parts is None else F.coalesce("component", "doc")).select("entry", "doc", "n", "part")
-        # entries whose documents are not all connected
-        open_ = now.groupBy("entry").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min(F.struct(F.xxhash64("doc", F.lit(round_)), "doc", "n", "part")).alias("center")).where("p < q")
-        open_ = materialize(open_.select("entry", F.col("center.doc").alias("y"), F.col("center.n").alias("yn"), F.col("center.part").alias("y_part")))
+        now = index.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("entry", "doc", "n", F.coalesce("component", "doc").alias("part"))
+        # entries whose documents are not all in one group
+        seen = F.struct("doc", "n", "part")
+        centers = F.array(*[F.min_by(seen, F.xxhash64("doc", F.lit(round_ * CENTERS + i))) for i in range(CENTERS)])
+        open_ = materialize(now.groupBy("entry").agg(F.min("part").alias("p"), F.max("part").alias("q"), centers.alias("centers")).where("p < q").select("entry", "centers"))
         now = materialize(now.join(open_, "entry"))
-        fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-        sizes = now.groupBy("entry", "part").agg(F.count("*").alias("c")).groupBy("entry").agg(F.sum("c").alias("all"), F.max_by("part", F.struct("c", "part")).alias("main"), F.max("c").alias("c"))
-        sizes = materialize(sizes)
-        stars, crossed = sizes.agg(F.sum("all"), F.sum((F.col("all") - F.col("c")) * F.col("all"))).first()
-        if stars is None:
-            break
-        last = round_ == ROUNDS or crossed <= 4 * stars
-        if last:  # every pair of different components: those outside an entry's main one with all others
-            main = now.drop("y", "yn", "y_part").join(sizes.select("entry", "main"), "entry")
+        if round_ < ROUNDS:
+            pairs = now.select("doc", "n", "part", F.explode(F.array_distinct("centers")).alias("c")).select("doc", "n", "part", F.col("c.doc").alias("y"), F.col("c.n").alias("yn"), F.col("c.part").alias("y_part"))
+        else:  # all pairs of different groups: those outside an entry's main one with all others
+            sizes = now.groupBy("entry", "part").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
+            main = now.drop("centers").join(materialize(sizes), "entry")
             minor = main.where("part <> main").select("entry", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("part").alias("y_part"))
-            pairs = main.join(minor, "entry").where((F.col("part") != F.col("y_part")) & ((F.col("part") == F.col("main")) | (F.col("doc") < F.col("y"))) & fits("n", "yn"))
-        else:
-            pairs = now.where((F.col("part") != F.col("y_part")) & fits("n", "yn"))
-        pairs = materialize(pairs.select(F.least("doc", "y").alias("x"), F.greatest("doc", "y").alias("y")).distinct())
-        linked = materialize(linked.unionByName(verified(known, pairs, size, percent)))
-        if last:
-            break
-        parts = components(linked, "x", "y")
-    return linked
-
-
-def verified(known: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar."""
+            pairs = main.join(minor, "entry").where((F.col("part") == F.col("main")) | (F.col("doc") < F.col("y")))
+        pairs = pairs.where((F.col("part") != F.col("y_part")) & fits("n", "yn")).select(F.least("doc", "y").alias("x"), F.greatest("doc", "y").alias("y")).distinct()
+        edges = materialize(edges.unionByName(possible(pairs, sketches, percent)))
+        parts = materialize(components(edges, "x", "y"))
+    return verified(known, parts.join(sketches.select(F.col("doc").alias("node"), "n"), "node"), size, percent)
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches allow the similarity.
+
+    Each token of one set alone flips one parity bit, so the sets differ in as many tokens as
+    the sketches do in bits, at least.
+    """
+    for side in ("x", "y"):
+        pairs = pairs.join(sketches.select(F.col("doc").alias(side), F.col("n").alias(f"{side}n"), F.col("sketch").alias(f"{side}s")), side)
+    bits = F.aggregate(F.zip_with("xs", "ys", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, b: total + b)
+    return pairs.where(bits * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)).select("x", "y").distinct()
+
+
+def connect(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (x, y) that hold the similar documents of a group together: a star for each component.
+
+    A document is compared with those that nothing has reached yet, by counting, so the work
+    ends as soon as all are reached.
+    """
+    doc = group["doc"].to_numpy()
+    sets = [np.frombuffer(t, np.uint64) for t in group["tokens"]]
+    n = np.array([len(t) for t in sets])
+    at = np.concatenate([[0], np.cumsum(n)])
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(token, kind="stable")
+    owner = np.repeat(np.arange(len(doc)), n)[order]
+    start = np.concatenate([[0], np.cumsum(np.bincount(token))])
+    root = np.full(len(doc), -1)
+    for seed in range(len(doc)):
+        if root[seed] >= 0:
+            continue
+        root[seed], queue = seed, [seed]
+        while queue and (root < 0).any():
+            d = queue.pop()
+            own = token[at[d]:at[d + 1]]
+            size = start[own + 1] - start[own]
+            ends = np.cumsum(size)
+            shared = np.bincount(owner[np.arange(ends[-1]) + np.repeat(start[own] - (ends - size), size)], minlength=len(doc))
+            near = np.flatnonzero((root < 0) & (shared * 100 >= (n[d] + n - shared) * percent))
+            root[near] = seed
+            queue += near.tolist()
+    found = root != np.arange(len(doc))
+    return pd.DataFrame({"x": doc[found], "y": doc[root[found]]})
+
+
+def verified(known: DataFrame, parts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (x, y) inside groups (node, component, n) that connect what similar whole sets connect.
+
+    A group whose sets are too large for one task is dealt into blocks, and each pair of blocks
+    is a task.
+    """
     spark = known.sparkSession
-    wanted = pairs.select(F.col("x").alias("doc")).unionByName(pairs.select(F.col("y").alias("doc"))).distinct()
-    wanted = spark.sparkContext.broadcast(Bits.build(wanted.select(F.xxhash64("doc").alias("h")), "h"))
+    blocks = parts.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = parts.join(materialize(blocks), "component").select(F.col("node").alias("doc"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    dealt = materialize(dealt.distinct())
+    wanted = spark.sparkContext.broadcast(Bits.build(dealt.select(F.xxhash64("doc").alias("h")), "h"))
 
     def whole(doc, sets):
-        n = np.array([len(s) for s in sets], np.int64)
-        at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        return [pa.array(doc), pa.ListArray.from_arrays(pa.array(at), pa.array(signed(np.concatenate([*sets, np.zeros(0, np.uint64)]))))]
-
-    sets = _each(known, size, "doc long, tokens array<long>", whole, wanted)
-    one = pairs.join(sets.select(F.col("doc").alias("x"), F.col("tokens").alias("s")), "x")
-    both = one.join(sets.select(F.col("doc").alias("y"), F.col("tokens").alias("t")), "y")
-    common = F.size(F.array_intersect("s", "t"))
-    return both.where(common * 100 >= (F.size("s") + F.size("t") - common) * percent).select("x", "y").distinct()
+        return [pa.array(doc), pa.array([s.tobytes() for s in sets], pa.binary())]
+
+    sets = _each(known, size, "doc long, tokens binary", whole, wanted).where(F.length("tokens") > 0)
+    placed = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = placed.select("doc", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return sets.join(placed, "doc").groupBy("component", "i", "j").applyInPandas(lambda g: connect(g, percent), "x long, y long").where("x <> y").distinct()
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,16 +43,50 @@ def ship(spark: SparkSession) -> None:
     sc._loanlens_shipped = True
 
 
+#: Edges that one task contracts at once.
+_EDGES = 1 << 18
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) -> one star for each component of every run of _EDGES edges that the task reads."""
+
+    def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = at[: len(u)], at[len(u):]
+        root = np.arange(len(nodes))
+        while True:
+            low = np.minimum(root[a], root[b])
+            before = root.copy()
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[b], low)
+            root = root[root]
+            if (root == before).all():
+                break
+        own = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], ["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append((np.asarray(batch.column("u"), np.int64), np.asarray(batch.column("v"), np.int64)))
+        n += batch.num_rows
+        if n >= _EDGES:
+            yield stars(*(np.concatenate(x) for x in zip(*held)))
+            held, n = [], 0
+    if n:
+        yield stars(*(np.concatenate(x) for x in zip(*held)))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Connected components of undirected edges: (node, component = smallest node reachable).
+    """Connected components of undirected edges (longs): (node, component = smallest node reachable).
 
-    Large-star / small-star rounds until the edge set is one star for each component.  Only
-    minima are aggregated (combined before the shuffle), never neighbour lists, and the minima
-    are written before they are joined, so that AQE can split the edges of a hot node.
-    Every node of ``edges`` has one row; no edges give no rows.
+    Tasks first contract the edges they hold; then large-star / small-star rounds go on until
+    the edge set is one star for each component.  Only minima are aggregated (combined before
+    the shuffle), never neighbour lists, and the minima are written before they are joined, so
+    that AQE can split the edges of a hot node.  Every node of ``edges`` has one row; no edges
+    give no rows.
     """
-    low, high = F.least(a, b), F.greatest(a, b)
-    edges = materialize(edges.where(F.col(a) != F.col(b)).select(high.alias("u"), low.alias("v")).distinct())
+    own = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    edges = materialize(own.mapInArrow(_contract, "u long, v long"))
     last = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -59,7 +95,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         last = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m")))
-        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().mapInArrow(_contract, "u long, v long"))
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         edges = materialize(joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct())

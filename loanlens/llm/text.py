@@ -23,7 +23,7 @@ LOWER[ord("A"):ord("Z") + 1] += 32
 
 _U = np.uint64
 #: Text bytes handled at once; a longer document is handled alone, whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
