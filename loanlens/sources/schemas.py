@@ -1,9 +1,11 @@
 """Explicit schemas of the lending tables.
 
 Reading CSV with an explicit schema avoids the extra pass that ``inferSchema``
-launches over every file; inference stays available as an option.  Only the
-columns the analytics use are declared for the five analysed tables; the three
-profiled-only tables have no fixed columns and are read with inference.
+launches over every file; inference stays available as an option.  Types are
+declared by column name, for the columns that the analytics use; a file's other
+columns are kept as text.  Day counts are doubles: files write them both as
+``-1180`` and as ``-1180.0``.  The three profiled-only tables have no declared
+columns and are read with inference.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
 L, I, D, S = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType()
 
 APPLICATION_TRAIN = _schema(
-    ("SK_ID_CURR", L), ("TARGET", I), ("CODE_GENDER", S), ("DAYS_BIRTH", I), ("DAYS_EMPLOYED", I),
+    ("SK_ID_CURR", L), ("TARGET", I), ("CODE_GENDER", S), ("DAYS_BIRTH", D), ("DAYS_EMPLOYED", D),
     ("AMT_INCOME_TOTAL", D), ("AMT_CREDIT", D), ("AMT_ANNUITY", D), ("NAME_CONTRACT_TYPE", S),
     ("NAME_INCOME_TYPE", S), ("NAME_EDUCATION_TYPE", S), ("NAME_FAMILY_STATUS", S),
     ("OCCUPATION_TYPE", S), ("CNT_CHILDREN", I),
@@ -39,16 +41,16 @@ APPLICATION_TRAIN = _schema(
 APPLICATION_TEST = T.StructType([f for f in APPLICATION_TRAIN.fields if f.name != "TARGET"])
 BUREAU = _schema(
     ("SK_ID_CURR", L), ("SK_ID_BUREAU", L), ("CREDIT_ACTIVE", S), ("CREDIT_TYPE", S),
-    ("AMT_CREDIT_SUM", D), ("AMT_CREDIT_SUM_DEBT", D), ("DAYS_CREDIT", I),
+    ("AMT_CREDIT_SUM", D), ("AMT_CREDIT_SUM_DEBT", D), ("DAYS_CREDIT", D),
 )
 BUREAU_BALANCE = _schema(("SK_ID_BUREAU", L), ("MONTHS_BALANCE", I), ("STATUS", S))
 PREVIOUS_APPLICATION = _schema(
     ("SK_ID_CURR", L), ("SK_ID_PREV", L), ("NAME_CONTRACT_STATUS", S), ("CODE_REJECT_REASON", S),
-    ("AMT_APPLICATION", D), ("AMT_CREDIT", D), ("DAYS_DECISION", I),
+    ("AMT_APPLICATION", D), ("AMT_CREDIT", D), ("DAYS_DECISION", D),
 )
 INSTALLMENTS_PAYMENTS = _schema(
     ("SK_ID_CURR", L), ("SK_ID_PREV", L), ("AMT_INSTALMENT", D), ("AMT_PAYMENT", D),
-    ("DAYS_INSTALMENT", I), ("DAYS_ENTRY_PAYMENT", I),
+    ("DAYS_INSTALMENT", D), ("DAYS_ENTRY_PAYMENT", D),
 )
 
 SCHEMAS: dict[str, T.StructType | None] = {

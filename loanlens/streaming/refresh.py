@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import clean
+from ..sources.csv import by_header
 from ..sources.schemas import SCHEMAS
 
 CLEANERS = {
@@ -30,11 +31,16 @@ CLEANERS = {
 
 
 def cleaned_stream(spark: SparkSession, table: str, source_dir: str, fmt: str = "csv",
-                   max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming DataFrame of the cleaned rows of new ``table`` files in ``source_dir``."""
-    reader = spark.readStream.schema(SCHEMAS[table]).format(fmt)
+                   max_files_per_trigger: int | None = None, mode: str = "FAILFAST") -> DataFrame:
+    """Streaming DataFrame of the cleaned rows of new ``table`` files in ``source_dir``.
+
+    CSV types are taken by name from the header of the files already there; a file
+    with another header, or a value that does not fit, stops the query (``mode``).
+    """
+    schema = by_header(spark, source_dir, SCHEMAS[table]) if fmt == "csv" else SCHEMAS[table]
+    reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", "true")
+        reader = reader.option("header", "true").option("enforceSchema", "false").option("mode", mode)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return CLEANERS[table](reader.load(source_dir))

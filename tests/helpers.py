@@ -17,7 +17,7 @@ def rows(schema, defaults, overrides):
     out = []
     for o in overrides:
         r = {**defaults, **o}
-        out.append(tuple(r.get(f.name) for f in schema.fields))
+        out.append(tuple(float(r[f.name]) if f.dataType.typeName() == "double" and r.get(f.name) is not None else r.get(f.name) for f in schema.fields))
     return out
 
 
