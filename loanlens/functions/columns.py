@@ -77,11 +77,6 @@ def all_of(*preds: Column) -> Column:
     return reduce(lambda a, b: a & b, preds) if preds else F.lit(True)
 
 
-def any_of(*preds: Column) -> Column:
-    """Disjunction of predicates (``FALSE`` when none given)."""
-    return reduce(lambda a, b: a | b, preds) if preds else F.lit(False)
-
-
 def not_null(*cols: str) -> Column:
     """All named columns are non-NULL."""
     return all_of(*[F.col(c).isNotNull() for c in cols])

@@ -6,12 +6,11 @@ Design notes for scale
 * Every grouping here is a plain ``groupBy().agg()`` so Spark runs a partial
   (map-side) HashAggregate before the exchange: a key that holds a third of all
   rows is pre-combined on every mapper and never reaches one task whole.
-* Shares of total compute the total from the *grouped* rows with a window sum
-  (``total="window"``) - one scan, no second pass and no cross join.  The
-  window has no partition, but it only sees one row per group (band labels,
-  categories: a handful of rows).  For high-cardinality keys pass
-  ``total="subquery"``: the total becomes an uncorrelated scalar subquery
-  (``DataFrame.scalar``), evaluated once, at the cost of a second scan.
+* Shares of total take the total from the *grouped* rows, as a scalar subquery
+  over their sum: it reads the same exchange as the report itself, so the input
+  is scanned once, and no task holds all groups, however many there are.
+  ``total="window"`` computes it with an unpartitioned window instead (one task
+  sees every group: for a handful of bands only).
 * Several metrics over one table are one aggregate followed by ``inline`` of an
   array of structs (one scan, one exchange) instead of a UNION ALL of k
   aggregates (k scans, k exchanges).
@@ -52,14 +51,13 @@ def share(
     pct_name: str = "PERCENTAGE",
     aggs: AggBuilder | None = None,
     digits: int = 2,
-    total: str = "window",
+    total: str = "scalar",
 ) -> DataFrame:
     """Group, count and express each group's count as a percent of a total.
 
     ``where`` is the outer filter: only those rows are counted and aggregated.
     ``total_where`` is the predicate of the denominator: ``SAME`` (default) =
-    ``where``; ``ALL_ROWS`` (``None``) = every row of ``df``; or a Column that
-    must be implied by ``where`` (a wider set).
+    ``where``; ``ALL_ROWS`` (``None``) = every row of ``df``; or any Column.
 
     ``aggs`` builds the other aggregates; it receives ``only`` and must wrap each
     aggregated input in it (``F.avg(only(F.col("x")))``) so that, when the
@@ -74,28 +72,27 @@ def share(
         base = df if where is None else df.filter(where)
         grouped = base.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name), *build(_identity))
         all_col = count_name
-        denom_df = base
     else:
-        base = df if total_where is None else df.filter(total_where)
-        kept = where if where is not None else F.lit(True)
+        kept = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+        in_total = F.lit(True) if total_where is None else F.coalesce(total_where, F.lit(False))
+        base = df if total_where is None or where is None else df.filter(kept | in_total)
 
         def only(c: Column) -> Column:
             return F.when(kept, c)
 
         grouped = base.groupBy(*keys).agg(
             F.count_if(kept).alias(count_name),
-            F.count(F.lit(1)).alias("__all"),
+            F.count_if(in_total).alias("__all"),
             *build(only),
         )
         all_col = "__all"
-        denom_df = base
 
     if total == "window":
         tot = F.sum(all_col).over(Window.partitionBy())
-    elif total == "subquery":
-        tot = denom_df.select(F.count(F.lit(1))).scalar()
+    elif total == "scalar":
+        tot = grouped.select(F.sum(all_col)).scalar()
     else:
-        raise ValueError("total must be 'window' or 'subquery'")
+        raise ValueError("total must be 'scalar' or 'window'")
     out = grouped.withColumn(pct_name, share_pct(F.col(count_name), tot, digits))
     if all_col != count_name:
         out = out.filter(F.col(count_name) > 0).drop(all_col)

@@ -4,25 +4,22 @@ Spark's exact ``percentile`` aggregate keeps a value -> count map per group and
 merges it in one task, so a group holding a third of all rows (with many
 distinct values) would be collected whole.  This operator is a radix select:
 
+* the rows are first counted by (group, value), combined before the shuffle, so
+  that a value shared by any number of rows is one row from then on; all later
+  steps read that one exchange;
 * every value is mapped to its order-preserving 64-bit key (IEEE-754 bits,
   computed with built-in column arithmetic, no UDF);
 * the two middle ranks ``floor((n-1)/2)`` and ``ceil((n-1)/2)`` are located one
-  digit at a time (digits of 22, 21 and 21 bits): a level counts rows per
-  (group, target, next digit) among the rows whose leading bits match the
+  digit at a time (digits of 22, 21 and 21 bits): a level adds up the counts per
+  (group, target, next digit) among the values whose leading bits match the
   target's prefix found so far, then a running count over at most 2**22 digit
   values picks the digit that holds the remaining rank;
-* after three levels the whole key - hence the value - is known.  When the
-  first-level bucket holding a middle rank has at most 2**22 rows (the usual
-  case), its distinct values are ordered directly instead: two passes, not three.
+* after three levels the whole key - hence the value - is known.
 
-Every level is an exact partial (map-side combined) aggregate, so the result is
-deterministic even when tasks are recomputed, and no task ever orders more than
-2**22 histogram rows of one group, whatever the group's size.  The levels are
-written as one Spark SQL statement over the prepared (key, value) rows: the
-plan is analysed once instead of once per DataFrame call, which halves the
-driver time of building it.  Cost: two or three aggregations over the
-(key, value) rows; the later levels keep only the rows of the candidate
-buckets, after a join with a table of two rows per group.
+There is one path for all sizes, the result is deterministic when tasks are
+recomputed, and no task orders more than 2**22 histogram rows of one group,
+whatever the group's size.  The levels are one Spark SQL statement: the plan is
+analysed once instead of once per DataFrame call.
 """
 
 from __future__ import annotations
@@ -33,14 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _DIGITS = (22, 21, 21)  # bits per level, most significant first; sums to 64
-_SMALL_BUCKET = 1 << 22  # a level-1 bucket this small is resolved by sorting its values
 _TWO52 = float(2 ** 52)
 _MIN_NORMAL = 2.0 ** -1022
 
 
 def sortable_key(v: Column) -> Column:
-    """Signed 64-bit key whose order equals the order of the finite double ``v``
-    (+0.0 and -0.0 share key 0; +/-inf map past every finite value)."""
+    """Signed 64-bit key whose order equals the engine's order of doubles
+    (+0.0 and -0.0 share key 0; +/-inf past every finite value, NaN past all)."""
     a = F.abs(v)
     e0 = F.floor(F.log2(a))
     # correct the float log2 by at most one in either direction
@@ -51,45 +47,38 @@ def sortable_key(v: Column) -> Column:
     subnormal_bits = (a * (2.0 ** 1022) * _TWO52).cast("long")
     inf_bits = F.lit(2047 << 52).cast("long")
     bits = (F.when(a == 0, F.lit(0).cast("long"))
-            .when(F.isnan(a) | (a == float("inf")), inf_bits)
+            .when(F.isnan(a), inf_bits + 1)
+            .when(a == float("inf"), inf_bits)
             .when(a < _MIN_NORMAL, subnormal_bits)
             .otherwise(normal_bits))
     return F.when(v < 0, -bits).otherwise(bits)
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out_name: str = "MEDIAN",
-                 stats: dict[str, str] | None = None, small_bucket: int = _SMALL_BUCKET) -> DataFrame:
+                 stats: dict[str, str] | None = None) -> DataFrame:
     """One row per group of ``keys``: ``out_name`` = exact median of ``value``
     (linear interpolation of the two middle values, like PERCENTILE_CONT(0.5)).
-    NULL and NaN values are ignored; groups without values are absent.
+    NULL values are ignored, NaN counts as the largest value as in the engine's
+    own aggregates; groups without values are absent.
 
     ``stats`` optionally adds group statistics of the same values, read off the
-    first-level histogram at no extra pass: ``{"N": "count", "S": "sum",
-    "LO": "min", "HI": "max", "MEAN": "avg"}`` (any subset, any names).
-
-    ``small_bucket`` (at most 2**22) is the largest first-level bucket that is
-    resolved by ordering its values; larger ones take the digit levels."""
-    if not 0 <= small_bucket <= _SMALL_BUCKET:
-        raise ValueError("small_bucket must be between 0 and 2**22")
+    counts at no extra pass: ``{"N": "count", "S": "sum", "LO": "min",
+    "HI": "max", "MEAN": "avg"}`` (any subset, any names)."""
     keys = list(keys)
     stats = dict(stats or {})
-    v = F.col(value).cast("double")
-    base = (df.select(*keys, v.alias("__v"))
-            .filter(F.col("__v").isNotNull() & ~F.isnan(F.col("__v")))
-            # flip the sign bit: unsigned order of __u == order of the values
-            .withColumn("__u", sortable_key(F.col("__v")).bitwiseXOR(F.lit(-(1 << 63)))))
-
-    # The levels as one SQL statement over ``base``: the plan is analysed once
-    # instead of once per DataFrame call (this chain has about forty of them).
-    out = df.sparkSession.sql(_radix_sql(keys, small_bucket), base=base)
-    frac = ((F.col("__n") - 1) % 2) * 0.5
+    counted = (df.select(*keys, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+               .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+               # flip the sign bit: unsigned order of __u == order of the values
+               .withColumn("__u", sortable_key(F.col("__v")).bitwiseXOR(F.lit(-(1 << 63)))))
+    out = df.sparkSession.sql(_radix_sql(keys), counted=counted)
+    a, b = F.col("__a"), F.col("__b")
+    middle = F.when((F.col("__n") % 2 == 1) | (a == b), a).otherwise(a + (b - a) * 0.5)
     pick = {"count": F.col("__n"), "sum": F.col("__stats.sum"), "min": F.col("__stats.min"),
             "max": F.col("__stats.max"), "avg": F.col("__stats.sum") / F.col("__n")}
-    return out.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * frac).alias(out_name),
-                      *[pick[kind].alias(name) for name, kind in stats.items()])
+    return out.select(*keys, middle.alias(out_name), *[pick[kind].alias(name) for name, kind in stats.items()])
 
 
-def _radix_sql(keys: Sequence[str], small_bucket: int) -> str:
+def _radix_sql(keys: Sequence[str]) -> str:
     d1, d2, d3 = _DIGITS
     k = ", ".join(f"`{c}`" for c in keys)
     bk = ", ".join(f"b.`{c}`" for c in keys)
@@ -98,9 +87,9 @@ def _radix_sql(keys: Sequence[str], small_bucket: int) -> str:
     hit = "__cum - __c < __r AND __r <= __cum"
     return f"""
 WITH h1 AS (
-  SELECT {k}, shiftrightunsigned(__u, {d2 + d3}) AS __d, count(1) AS __c,
-         sum(__v) AS __s, min(__v) AS __lo, max(__v) AS __hi
-  FROM {{base}} GROUP BY {k}, shiftrightunsigned(__u, {d2 + d3})
+  SELECT {k}, shiftrightunsigned(__u, {d2 + d3}) AS __d, sum(__c) AS __c,
+         sum(__v * __c) AS __s, min(__v) AS __lo, max(__v) AS __hi
+  FROM {{counted}} GROUP BY {k}, shiftrightunsigned(__u, {d2 + d3})
 ),
 h1n AS (
   SELECT h1.*, sum(__c) OVER (PARTITION BY {k}) AS __n,
@@ -114,23 +103,13 @@ h1t AS (
                              named_struct('t', 2, 'r', ceil((__n - 1) / 2) + 1))) x AS tr
 ),
 c1 AS (
-  SELECT {k}, __n, __stats, __t, __d AS __p, __r - (__cum - __c) AS __r, __c AS __bucket
+  SELECT {k}, __n, __stats, __t, __d AS __p, __r - (__cum - __c) AS __r
   FROM (SELECT h1t.*, {run} AS __cum FROM h1t) WHERE {hit}
 ),
-fs AS (
-  SELECT {bk}, c.__n, c.__stats, c.__t, c.__r, b.__u AS __d, count(1) AS __c, min(b.__v) AS __val
-  FROM {{base}} b JOIN c1 c
-    ON {on} AND shiftrightunsigned(b.__u, {d2 + d3}) = c.__p AND c.__bucket <= {small_bucket}
-  GROUP BY {bk}, c.__n, c.__stats, c.__t, c.__r, b.__u
-),
-fv AS (
-  SELECT {k}, __n, __stats, __t, __val FROM (SELECT fs.*, {run} AS __cum FROM fs) WHERE {hit}
-),
 l2 AS (
   SELECT {bk}, c.__n, c.__stats, c.__t, c.__p, c.__r,
-         shiftrightunsigned(b.__u, {d3}) & {(1 << d2) - 1} AS __d, count(1) AS __c
-  FROM {{base}} b JOIN c1 c
-    ON {on} AND shiftrightunsigned(b.__u, {d2 + d3}) = c.__p AND c.__bucket > {small_bucket}
+         shiftrightunsigned(b.__u, {d3}) & {(1 << d2) - 1} AS __d, sum(b.__c) AS __c
+  FROM {{counted}} b JOIN c1 c ON {on} AND shiftrightunsigned(b.__u, {d2 + d3}) <=> c.__p
   GROUP BY {bk}, c.__n, c.__stats, c.__t, c.__p, c.__r, shiftrightunsigned(b.__u, {d3}) & {(1 << d2) - 1}
 ),
 c2 AS (
@@ -138,15 +117,11 @@ c2 AS (
   FROM (SELECT l2.*, {run} AS __cum FROM l2) WHERE {hit}
 ),
 l3 AS (
-  SELECT {bk}, c.__n, c.__stats, c.__t, c.__r, b.__u & {(1 << d3) - 1} AS __d, count(1) AS __c,
-         min(b.__v) AS __val
-  FROM {{base}} b JOIN c2 c ON {on} AND shiftrightunsigned(b.__u, {d3}) = c.__p
-  GROUP BY {bk}, c.__n, c.__stats, c.__t, c.__r, b.__u & {(1 << d3) - 1}
-),
-lv AS (
-  SELECT {k}, __n, __stats, __t, __val FROM (SELECT l3.*, {run} AS __cum FROM l3) WHERE {hit}
+  SELECT {bk}, c.__n, c.__stats, c.__t, c.__r, b.__u AS __d, sum(b.__c) AS __c, min(b.__v) AS __val
+  FROM {{counted}} b JOIN c2 c ON {on} AND shiftrightunsigned(b.__u, {d3}) <=> c.__p
+  GROUP BY {bk}, c.__n, c.__stats, c.__t, c.__r, b.__u
 ),
-vals AS (SELECT * FROM fv UNION ALL SELECT * FROM lv)
+vals AS (SELECT {k}, __n, __stats, __t, __val FROM (SELECT l3.*, {run} AS __cum FROM l3) WHERE {hit})
 SELECT {k}, max(CASE WHEN __t = 1 THEN __val END) AS __a, max(CASE WHEN __t = 2 THEN __val END) AS __b,
        first(__n) AS __n, first(__stats) AS __stats
 FROM vals GROUP BY {k}

@@ -69,38 +69,27 @@ def test_having_threshold_cuts_groups(ctx):
     assert reports.education_employment(ctx, min_count=600).agg(F.min("CUSTOMER_COUNT")).first()[0] >= 600
 
 
-def test_kpi_fusion_equals_union_all(spark, ctx):
-    literal = spark.sql("""
-        SELECT 'OVERALL_DEFAULT_RATE' AS METRIC, CAST(ROUND(AVG(TARGET) * 100, 2) AS DOUBLE) AS VALUE, '%' AS UNIT,
-               COUNT(*) AS TOTAL_CUSTOMERS FROM t_risk_slim
-        UNION ALL SELECT 'AVG_LOAN_AMOUNT', ROUND(AVG(AMT_CREDIT), 0), 'USD', COUNT(*) FROM t_risk_slim
-        UNION ALL SELECT 'AVG_INCOME', ROUND(AVG(AMT_INCOME_TOTAL), 0), 'USD', COUNT(*) FROM t_risk_slim
-        UNION ALL SELECT 'AVG_CREDIT_INCOME_RATIO', ROUND(AVG(CREDIT_INCOME_RATIO), 2), 'X', COUNT(*) FROM t_risk_slim
-    """)
-    assert _set(reports.default_kpis(ctx)) == _set(literal)
-
-
-def test_share_by_window_equals_scalar_subquery(spark, ctx):
-    literal = spark.sql("""
-        SELECT NAME_CONTRACT_TYPE AS LOAN_TYPE, COUNT(*) AS APPLICATION_COUNT,
-               ROUND(AVG(AMT_CREDIT), 0) AS AVG_LOAN_AMOUNT,
-               CAST(ROUND(COUNT(*) * 100.0 / (SELECT COUNT(*) FROM t_application_train), 2) AS DOUBLE) AS PERCENTAGE
-        FROM t_application_train WHERE NAME_CONTRACT_TYPE IS NOT NULL GROUP BY NAME_CONTRACT_TYPE
-    """)
-    assert _set(reports.loan_purpose(ctx)) == _set(literal)
-    literal_v1 = spark.sql("""
-        SELECT CASE WHEN a BETWEEN 18 AND 25 THEN '18-25 (Young Adults)'
-                    WHEN a BETWEEN 26 AND 35 THEN '26-35 (Young Professionals)'
-                    WHEN a BETWEEN 36 AND 45 THEN '36-45 (Established Adults)'
-                    WHEN a BETWEEN 46 AND 55 THEN '46-55 (Middle-aged)'
-                    WHEN a BETWEEN 56 AND 65 THEN '56-65 (Pre-retirement)'
-                    ELSE '65+ (Senior Citizens)' END AS AGE_GROUP,
-               COUNT(*) AS CUSTOMER_COUNT,
-               CAST(ROUND(COUNT(*) * 100.0 / (SELECT COUNT(*) FROM t_application_train), 2) AS DOUBLE) AS PERCENTAGE
-        FROM (SELECT CAST(FLOOR(ABS(DAYS_BIRTH) / 365.25) AS BIGINT) AS a FROM t_application_train
-              WHERE DAYS_BIRTH IS NOT NULL) GROUP BY 1
-    """)
-    assert _set(reports.age_distribution(ctx)) == _set(literal_v1)
+def test_kpi_fusion_equals_separate_aggregates(spark):
+    from loanlens.operators.aggregate import kpi_long
+
+    df = spark.createDataFrame([(1, 2.0), (3, 6.0), (None, 4.0)], "a int, b double")
+    fused = kpi_long(df.agg(F.avg("a").alias("x"), F.sum("b").alias("y")), [("A", F.col("x"), {"U": "%"}), ("B", F.col("y"), {"U": "EUR"})])
+    apart = spark.createDataFrame([("A", 2.0, "%"), ("B", 12.0, "EUR")], "METRIC string, VALUE double, U string")
+    assert _set(fused) == _set(apart)
+
+
+def test_share_totals(spark):
+    from loanlens.operators.aggregate import ALL_ROWS, share
+
+    df = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3), (None, 4), ("y", None)], "k string, v int")
+    for total in ("scalar", "window"):
+        plain = {r.k: (r.COUNT, r.PERCENTAGE) for r in share(df, ["k"], total=total).collect()}
+        assert plain == {"x": (2, 40.0), "y": (2, 40.0), None: (1, 20.0)}
+        of_all = share(df, ["k"], where=F.col("v") > 1, total_where=ALL_ROWS, total=total)
+        assert {r.k: (r.COUNT, r.PERCENTAGE) for r in of_all.collect()} == {"x": (1, 20.0), "y": (1, 20.0), None: (1, 20.0)}
+        # a total that does not contain all counted rows
+        other = share(df, ["k"], where=F.col("v") > 1, total_where=F.col("v") < 4, total=total)
+        assert {r.k: (r.COUNT, r.PERCENTAGE) for r in other.collect()} == {"x": (1, 33.33), "y": (1, 33.33), None: (1, 33.33)}
 
 
 def test_completeness_equals_per_column_counts(spark, ctx):
