@@ -1,8 +1,9 @@
 """Silver layer: the five cleaners (bronze DataFrame -> cleaned DataFrame).
 
 Each is a short chain of filters and one projection.  The filters are simple
-comparisons, so Catalyst pushes them below the fixture joins and into the
-parquet scans; the derived columns are computed once in the same projection.
+comparisons on input columns, so on saved raw tables Catalyst pushes them into
+the parquet scans (on the test fixtures, which compute those columns, only their
+null tests get there).
 """
 
 from __future__ import annotations

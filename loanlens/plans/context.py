@@ -3,9 +3,8 @@
 The chain ``load -> clean_* -> *_features -> risk_wide / risk_slim -> report`` is
 a set of pure DataFrame functions; this object only remembers each frame so a
 report asks for ``ctx.slim`` instead of rebuilding the chain.  Nothing here runs
-a job.  ``persist_slim()`` optionally writes the slim table to the shared
-checkpoint folder (a reliable checkpoint: it survives executor loss and cuts the
-lineage) when many reports will read it.
+a job.  ``persist_slim()`` optionally writes the slim table to the shared folder
+(it survives executor loss and cuts the lineage) when many reports will read it.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.csv import read_tables
 from ..sources.fixtures import load_fixture_tables
-from ..sources.sinks import checkpoint_dir
+from ..sources.sinks import scratch_path
 from . import clean, features, risk
 
 
@@ -33,9 +32,9 @@ class LendingData:
         return cls(spark, load_fixture_tables(spark, sf_dir))
 
     @classmethod
-    def from_csv(cls, spark: SparkSession, directory: str, infer: bool = False) -> "LendingData":
+    def from_csv(cls, spark: SparkSession, directory: str, infer: bool = False, mode: str = "FAILFAST") -> "LendingData":
         """The eight headed CSV files of ``directory``."""
-        return cls(spark, read_tables(spark, directory, infer=infer))
+        return cls(spark, read_tables(spark, directory, infer=infer, mode=mode))
 
     # ---- silver -----------------------------------------------------------
     @cached_property
@@ -86,10 +85,12 @@ class LendingData:
         return risk.risk_scored(self.slim)
 
     def persist_slim(self) -> DataFrame:
-        """Materialize the slim table once in the shared checkpoint folder and use
-        that copy from now on (reliable checkpoint, never a local one)."""
-        checkpoint_dir(self.spark)
-        self.__dict__["slim"] = self.slim.checkpoint(eager=True)
+        """Write the slim table once as parquet in the shared folder and read that
+        copy from now on: reports prune its columns and see its size."""
+        path = scratch_path(self.spark, "slim")
+        schema = self.slim.schema
+        self.slim.write.mode("overwrite").parquet(path)
+        self.__dict__["slim"] = self.spark.read.schema(schema).parquet(path)
         self.__dict__.pop("scored", None)
         return self.slim
 

@@ -1,11 +1,12 @@
 """Bronze -> silver -> gold build: write the cleaned tables and the wide master
 table, and read them back as a ``LendingData`` for the reports.
 
-With ``buckets=n`` every table keyed by SK_ID_CURR is written bucketed and
-sorted by it (bureau_balance by SK_ID_BUREAU).  Reports over the saved tables
-then aggregate and join on SK_ID_CURR without any exchange: the roll-ups run
-per bucket and the application-to-roll-up joins are bucket-to-bucket.  This is
-the Spark counterpart of indexing the tables on SK_ID_CURR.
+With ``buckets=n`` the tables with one row per SK_ID_CURR (the application and
+the master table) are written bucketed and sorted by it, so a join on the key
+never shuffles them.  The child tables are not: an applicant may hold any share
+of their rows, a bucket is read by one task, and unbucketed they are combined
+on every mapper before the exchange.  This is the Spark counterpart of indexing
+the tables on SK_ID_CURR.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ SILVER_TABLES = {
     "installments_payments": "installments_payments",
 }
 MASTER_TABLE = "master_dataset"
-BUCKET_KEY = {"bureau_balance": "SK_ID_BUREAU"}
+ONE_ROW_PER_APPLICANT = {"application_train", MASTER_TABLE}
 
 
 def build_tables(ctx: LendingData, database: str, fmt: str = "parquet", buckets: int | None = None,
@@ -50,11 +51,11 @@ def build_tables(ctx: LendingData, database: str, fmt: str = "parquet", buckets:
         return save(df, table, fmt=fmt, database=database, bucket_by=bucket)
 
     for key, df in ctx.silver().items():
-        bucket = (buckets, BUCKET_KEY.get(key, "SK_ID_CURR")) if buckets else None
+        bucket = (buckets, "SK_ID_CURR") if buckets and key in ONE_ROW_PER_APPLICANT else None
         out[key] = write(key, df, SILVER_TABLES[key], bucket)
     if include_master:
         bucket = (buckets, "SK_ID_CURR") if buckets else None
-        saved = from_tables(ctx.spark, database)
+        saved = from_silver(ctx.spark, _saved_silver(ctx.spark, database))
         out[MASTER_TABLE] = write(MASTER_TABLE, saved.wide, MASTER_TABLE, bucket)
     if row_counts is not None:
         row_counts.update({k: o.get["rows"] for k, o in observed.items()})
@@ -71,6 +72,13 @@ def from_silver(spark: SparkSession, silver: Mapping[str, DataFrame]) -> Lending
     return ctx
 
 
+def _saved_silver(spark: SparkSession, database: str) -> dict[str, DataFrame]:
+    return {k: spark.table(f"`{database}`.`{v}`") for k, v in SILVER_TABLES.items()}
+
+
 def from_tables(spark: SparkSession, database: str) -> LendingData:
-    """Reports over the saved silver tables of ``database``."""
-    return from_silver(spark, {k: spark.table(f"`{database}`.`{v}`") for k, v in SILVER_TABLES.items()})
+    """Reports over the saved tables of ``database``: the silver ones, and the wide table if it was saved."""
+    ctx = from_silver(spark, _saved_silver(spark, database))
+    if spark.catalog.tableExists(f"`{database}`.`{MASTER_TABLE}`"):
+        ctx.__dict__["wide"] = spark.table(f"`{database}`.`{MASTER_TABLE}`")
+    return ctx

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,12 +14,16 @@ def save(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "overwrite"
     ``fmt`` is any format on the classpath (parquet by default; ``delta`` when
     its package is installed, which then also honours ``overwriteSchema``).
     ``bucket_by=(n, key)`` buckets and sorts the table by ``key`` so later joins
-    and aggregations on that key read it co-partitioned, without an exchange.
+    on that key read it co-partitioned, without an exchange.  The rows are dealt to
+    ``n`` tasks by the key first, so that each bucket is one file.  A bucket is read
+    by one task: bucket only tables with one row per key.
     """
     spark = df.sparkSession
     if database:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     qualified = f"`{database}`.`{name}`" if database else f"`{name}`"
+    if bucket_by:
+        df = df.repartition(bucket_by[0], bucket_by[1])
     writer = df.write.format(fmt).mode(mode)
     if fmt == "delta":
         writer = writer.option("overwriteSchema", "true")
@@ -33,11 +36,16 @@ def save(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "overwrite"
     return qualified
 
 
+def buckets_for(table_bytes: int, target: int = 512 << 20) -> int:
+    """Number of buckets that gives files of about ``target`` bytes."""
+    return max(1, -(-table_bytes // target))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
 
-    It is read from the session; only when the session names none (local tests)
-    is a private folder created and registered.
+    It is read from the session; only where the session names none, and runs on
+    one machine, it is a folder under the warehouse.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,13 +53,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="loanlens-ckpt-")
+        configured = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the shared checkpoint folder (for written intermediates)."""
-    return os.path.join(checkpoint_dir(spark), *parts)
+    """A path under the configured folder for written intermediates; the same one each time, to be overwritten."""
+    checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "checkpoints")
+    return os.path.join(base, "loanlens", spark.sparkContext.applicationId, *parts)

@@ -2,13 +2,16 @@
 reliable checkpoint of the slim table, and the streaming silver refresh."""
 
 import os
+import re
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from loanlens import LendingData
 from loanlens.plans import reports
-from loanlens.sources import TABLE_FILES, checkpoint_dir, save
+from loanlens.sources import TABLE_FILES, buckets_for, checkpoint_dir, save
 from loanlens.sources.fixtures import load_fixture_tables
 from loanlens.streaming import start_silver_refresh
 
@@ -30,7 +33,7 @@ def test_csv_tables_typed_and_inferred(spark):
     d = tempfile.mkdtemp(prefix="csv-")
     raw = _write_csv_tables(spark, d)
     typed = LendingData.from_csv(spark, d)
-    assert typed.raw["bureau"].dtypes == raw["bureau"].dtypes
+    assert dict(typed.raw["bureau"].dtypes) == dict(raw["bureau"].dtypes) | {"DAYS_CREDIT": "double"}
     assert _rows(typed.raw["bureau"]) == _rows(raw["bureau"])
     inferred = LendingData.from_csv(spark, d, infer=True)
     t = dict(inferred.raw["application_train"].dtypes)
@@ -47,11 +50,65 @@ def test_csv_tables_typed_and_inferred(spark):
     assert inferred.raw["pos_cash_balance"].count() == raw["pos_cash_balance"].count()
 
 
+def _write_lines(folder, name, lines):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+HEADER = "SK_ID_CURR,TARGET,NAME_CONTRACT_TYPE,CODE_GENDER,FLAG_OWN_CAR,CNT_CHILDREN,AMT_INCOME_TOTAL,AMT_CREDIT,AMT_ANNUITY," \
+    "NAME_INCOME_TYPE,NAME_EDUCATION_TYPE,NAME_FAMILY_STATUS,DAYS_BIRTH,DAYS_EMPLOYED,OCCUPATION_TYPE,EXT_SOURCE_1"
+ROW = "7,1,Cash loans,F,Y,0,120000.0,300000.0,9000.5,Working,Higher,Married,-12000.0,-1180.0,Core staff,0.25"
+
+
+def test_csv_columns_by_header_name(spark):
+    d = tempfile.mkdtemp(prefix="csv-")
+    _write_lines(d, "application_train.csv", [HEADER, ROW])
+    got = LendingData.from_csv(spark, d).raw["application_train"]
+    assert got.columns == HEADER.split(",")
+    r = got.first()
+    assert (r.CODE_GENDER, r.AMT_INCOME_TOTAL, r.DAYS_BIRTH, r.DAYS_EMPLOYED) == ("F", 120000.0, -12000.0, -1180.0)
+    assert (r.FLAG_OWN_CAR, r.EXT_SOURCE_1) == ("Y", "0.25")
+    assert LendingData.from_csv(spark, d).application.count() == 1
+
+
+def test_wide_table_keeps_undeclared_columns(spark):
+    d = tempfile.mkdtemp(prefix="csv-")
+    _write_csv_tables(spark, d)
+    extra = os.path.join(d, "more")
+    _write_lines(extra, TABLE_FILES["application_train"], [HEADER, ROW])
+    ctx = LendingData.from_csv(spark, d)
+    ctx.raw._built["application_train"] = LendingData.from_csv(spark, extra).raw["application_train"]
+    wide = ctx.wide
+    assert {"FLAG_OWN_CAR", "EXT_SOURCE_1", "BUREAU_CREDIT_COUNT"} <= set(wide.columns)
+    assert wide.first().FLAG_OWN_CAR == "Y"
+
+
+def test_csv_faults_are_not_silent(spark):
+    d = tempfile.mkdtemp(prefix="csv-")
+    _write_lines(d, "application_train.csv", [HEADER.replace("DAYS_BIRTH", "BORN"), ROW])
+    with pytest.raises(ValueError, match="DAYS_BIRTH"):
+        LendingData.from_csv(spark, d).raw["application_train"]
+    d = tempfile.mkdtemp(prefix="csv-")
+    _write_lines(d, "application_train.csv", [HEADER, ROW, ROW.replace("120000.0", "plenty")])
+    with pytest.raises(Exception, match="(?i)malformed|plenty|parse"):
+        LendingData.from_csv(spark, d).raw["application_train"].collect()
+    assert LendingData.from_csv(spark, d, mode="PERMISSIVE").raw["application_train"].where("AMT_INCOME_TOTAL IS NULL").count() == 1
+    d = tempfile.mkdtemp(prefix="csv-")
+    folder = os.path.join(d, "application_train.csv")
+    _write_lines(folder, "part-1.csv", [HEADER, ROW])
+    turned = lambda line: ",".join(reversed(line.split(",")))
+    _write_lines(folder, "part-2.csv", [turned(HEADER), turned(ROW)])
+    with pytest.raises(Exception, match="(?i)header"):
+        LendingData.from_csv(spark, d).raw["application_train"].collect()
+
+
 def test_save_bucketed_round_trip(spark):
     ctx = LendingData.from_fixtures(spark, SF001)
-    name = save(ctx.bureau_features, "bureau_features_t", database="loanlens_test", bucket_by=(4, "SK_ID_CURR"))
+    name = save(ctx.bureau_features.repartition(7), "bureau_features_t", database="loanlens_test", bucket_by=(4, "SK_ID_CURR"))
     back = spark.table(name)
     assert back.count() == ctx.bureau_features.count()
+    assert len(back.inputFiles()) == 4  # one file per bucket
     # bucketed by the join key: aggregating on it needs no exchange
     plan = back.groupBy("SK_ID_CURR").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
@@ -60,14 +117,20 @@ def test_save_bucketed_round_trip(spark):
     assert spark.table(name).columns == ["SK_ID_CURR"]
 
 
-def test_persist_slim_uses_reliable_checkpoint(spark):
+def test_buckets_follow_bytes():
+    assert [buckets_for(b) for b in (0, 1, 512 << 20, (512 << 20) + 1, 100 << 40)] == [1, 1, 1, 2, 204800]
+
+
+def test_persist_slim_is_read_back_pruned(spark):
     ctx = LendingData.from_fixtures(spark, SF001)
-    before = _rows(reports.risk_score(ctx))
+    before = _rows(reports.risk_matrix(ctx))
     ctx.persist_slim()
     assert checkpoint_dir(spark)
-    plan = ctx.slim._jdf.queryExecution().optimizedPlan().toString()
-    assert "LogicalRDD" in plan  # lineage cut
-    assert _rows(reports.risk_score(ctx)) == before
+    df = reports.risk_matrix(ctx)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    schema = re.search(r"ReadSchema: struct<([^>]*)", plan).group(1)
+    assert "orders" not in plan and "CODE_GENDER" not in schema and "AMT_CREDIT" in schema
+    assert _rows(df) == before
 
 
 def test_streaming_refresh_matches_batch_cleaner(spark):
@@ -88,26 +151,42 @@ def test_streaming_refresh_matches_batch_cleaner(spark):
     assert _rows(got.select(*want.columns)) == _rows(want)
 
 
-def test_gold_build_bucketed_removes_key_exchanges(spark):
+def test_gold_build_buckets_tables_with_one_row_per_applicant(spark):
     from loanlens.plans import gold
 
     ctx = LendingData.from_fixtures(spark, SF001)
     counts = {}
-    names = gold.build_tables(ctx, "loanlens_gold_t", buckets=4, row_counts=counts)
+    names = gold.build_tables(ctx, "loanlens_gold_t", buckets=8, row_counts=counts)
     assert counts["application_train"] == ctx.application.count()
     assert counts["master_dataset"] == counts["application_train"]
     assert counts["previous_application"] == ctx.previous.count()
     assert set(names) == {"application_train", "bureau", "bureau_balance", "previous_application",
                           "installments_payments", "master_dataset"}
+    assert len(spark.table(names["application_train"]).inputFiles()) == 8
     back = gold.from_tables(spark, "loanlens_gold_t")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force shuffle joins to see the layout
     try:
-        plan = back.wide._jdf.queryExecution().executedPlan().toString()
-        assert "Exchange hashpartitioning(SK_ID_CURR" not in plan
+        plan = back.slim._jdf.queryExecution().executedPlan().toString()
+        # the application is not shuffled; the child tables are combined before their exchange
+        assert "Bucketed: true" in plan and "partial_count" in plan
+        assert plan.count("Exchange hashpartitioning(SK_ID_CURR") == 2
         assert _rows(reports.risk_score(back)) == _rows(reports.risk_score(ctx))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert spark.table(names["master_dataset"]).count() == ctx.wide.count()
+    assert "master_dataset" in back.wide._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_saved_raw_tables_take_the_range_filters(spark):
+    raw = load_fixture_tables(spark, SF001)["application_train"]
+    path = os.path.join(tempfile.mkdtemp(prefix="raw-"), "application_train")
+    raw.write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    try:
+        plan = LendingData(spark, {"application_train": spark.read.parquet(path)}).application._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert re.search(r"PushedFilters: .*GreaterThanOrEqual\(AMT_INCOME_TOTAL,10000.0\)", plan)
 
 
 def test_dashboard_refresh_writes_every_report(spark):
