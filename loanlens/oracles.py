@@ -1,324 +1,297 @@
 """Independent SQL oracle (DuckDB dialect) for every registered query.
 
-Each statement derives the lending tables from the benchmark views with the
-same fixture mapping as ``loanlens.sources.fixtures``, applies the cleaning,
-roll-up and report logic written out literally in SQL (not generated from the
-band tables, so a wrong threshold on one side shows up as a mismatch), and
-aliases every output column exactly like the Spark result.
-
-Type alignment with Spark: counts are BIGINT, ratios and averages DOUBLE,
-whole years BIGINT; decimal literals are cast to DOUBLE where DuckDB would keep
-a DECIMAL.
+The lending tables are derived from the benchmark views with the mapping of FIXTURES.md
+section 2, and cleaned and rolled up in common table expressions.  The reports are built from
+their specification by a few helpers: count by key, share of a total, rate by group.  The
+bands are stated once, as plain ladders, and apart from ``functions/bands.py``, so that a wrong
+threshold on one side shows up as a mismatch.
+
+Types follow Spark: counts are BIGINT, ratios and averages DOUBLE, whole years BIGINT.  Row
+order is not part of a result unless the report cuts rows.  ``+ 0.0`` after a round turns
+DuckDB's -0.0 into the 0.0 that Spark returns.
 """
 
 from __future__ import annotations
 
 import re
 
+R6 = 6  # digits kept of unrounded doubles in table-level checks
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES - bands and scores: (bound, label) in order, and the label of the rest.
+# ---------------------------------------------------------------------------
+
+WIDE_AGE = [(25, "Young (18-25)"), (35, "Young Professional (26-35)"), (45, "Established Adult (36-45)"),
+            (55, "Middle-aged (46-55)"), (65, "Pre-retirement (56-65)")], "Senior (65+)"
+AGE_DISTRIBUTION = [((18, 25), "18-25 (Young Adults)"), ((26, 35), "26-35 (Young Professionals)"),
+                    ((36, 45), "36-45 (Established Adults)"), ((46, 55), "46-55 (Middle-aged)"),
+                    ((56, 65), "56-65 (Pre-retirement)")], "65+ (Senior Citizens)"
+SLIM_AGE = [((18, 30), "Young (18-30)"), ((31, 45), "Prime (31-45)"), ((46, 60), "Mature (46-60)")], "Senior (60+)"
+INCOME = [(100000, "Low Income (≤100K)"), (200000, "Lower Middle (100K-200K)"), (300000, "Middle Income (200K-300K)"),
+          (500000, "Upper Middle (300K-500K)"), (1000000, "High Income (500K-1M)")], "Very High Income (1M+)"
+SLIM_INCOME = [(150000, "Low Income"), (300000, "Middle Income")], "High Income"
+CREDIT_SIZE = [(200000, "Small Loans (≤200K)"), (500000, "Medium Loans (200K-500K)"), (1000000, "Large Loans (500K-1M)"),
+               (2000000, "Very Large Loans (1M-2M)")], "Jumbo Loans (2M+)"
+APPLICATION_SIZE = [(200000, "Small (≤200K)"), (500000, "Medium (200K-500K)"), (1000000, "Large (500K-1M)")], "Very Large (1M+)"
+CREDIT_TO_INCOME = [(1, "Conservative (≤1x Income)"), (2, "Moderate (1-2x Income)"), (3, "Aggressive (2-3x Income)")], "Very Aggressive (3x+ Income)"
+HISTORY = [(0, "No Credit History"), (2, "Limited History (1-2)"), (5, "Moderate History (3-5)"), (10, "Extensive History (6-10)")], "Very Extensive (10+)"
+UTILIZATION = [(0.1, "Very Low (0-10%)"), (0.3, "Low (10-30%)"), (0.5, "Moderate (30-50%)"), (0.7, "High (50-70%)"),
+               (0.9, "Very High (70-90%)")], "Maxed Out (90%+)"
+TIMING = [(-5, "Early (5+ days)"), (0, "On Time"), (5, "Slightly Late (1-5 days)"), (15, "Late (6-15 days)"),
+          (30, "Very Late (16-30 days)")], "Severely Late (30+ days)"
+VARIANCE = [(1.1, "Overpaid (10%+)"), (1.05, "Slightly Overpaid (5-10%)"), (0.95, "Paid as Expected"),
+            (0.9, "Slightly Underpaid (5-10%)")], "Significantly Underpaid (10%+)"
+PRIOR = [((0, 0), "First Time Customer"), ((1, 1), "1 Previous Application"), ((2, 3), "2-3 Previous Applications"),
+         ((4, 6), "4-6 Previous Applications")], "7+ Previous Applications"
+CHILDREN = [((0, 0), "No Children"), ((1, 1), "1 Child"), ((2, 2), "2 Children")], "3+ Children"
+GENDER = [(("M", "M"), "Male"), (("F", "F"), "Female")], "Not Specified"
+AGE_SCORE = [(25, 3), (35, 2), (50, 1)], 0
+INCOME_SCORE = [(100000, 3), (200000, 2), (400000, 1)], 0
+RATIO_SCORE = [(3, 3), (2, 2), (1.5, 1)], 0
+HISTORY_SCORE = [(0, 3), (2, 2), (5, 1)], 0
+RISK_CATEGORY = [(3, "Low Risk"), (6, "Medium Risk"), (9, "High Risk")], "Very High Risk"
+# a later status also passes the text test >= '2', so the labels of 3, 4 and 5 never show
+STATUS = [("= 'C'", "Paid Off (Closed)"), ("= '0'", "On Time (0 Days)"), ("= '1'", "Late 1-30 Days"), (">= '2'", "Late 30+ Days"),
+          ("= '3'", "Late 61-90 Days"), ("= '4'", "Late 91-120 Days"), ("= '5'", "Late 120+ Days")], "Other Status"
+# FIXED VALUES - columns by table: text columns end in "$"; types of the raw ones.
+APPLICATION_TYPES = {"SK_ID_CURR": "bigint", "TARGET": "int", "CODE_GENDER": "string", "DAYS_BIRTH": "int", "DAYS_EMPLOYED": "int",
+                     "AMT_INCOME_TOTAL": "double", "AMT_CREDIT": "double", "AMT_ANNUITY": "double", "NAME_CONTRACT_TYPE": "string",
+                     "NAME_INCOME_TYPE": "string", "NAME_EDUCATION_TYPE": "string", "NAME_FAMILY_STATUS": "string",
+                     "OCCUPATION_TYPE": "string", "CNT_CHILDREN": "int"}
+RAW_TYPES = {
+    "application_train": APPLICATION_TYPES,
+    "application_test": {c: t for c, t in APPLICATION_TYPES.items() if c != "TARGET"},
+    "bureau": {"SK_ID_CURR": "bigint", "SK_ID_BUREAU": "bigint", "CREDIT_ACTIVE": "string", "CREDIT_TYPE": "string",
+               "AMT_CREDIT_SUM": "double", "AMT_CREDIT_SUM_DEBT": "double", "DAYS_CREDIT": "int"},
+    "bureau_balance": {"SK_ID_BUREAU": "bigint", "MONTHS_BALANCE": "int", "STATUS": "string"},
+    "previous_application": {"SK_ID_CURR": "bigint", "SK_ID_PREV": "bigint", "NAME_CONTRACT_STATUS": "string",
+                             "CODE_REJECT_REASON": "string", "AMT_APPLICATION": "double", "AMT_CREDIT": "double", "DAYS_DECISION": "int"},
+    "pos_cash_balance": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int",
+                         "p_retailprice": "double"},
+    "installments_payments": {"SK_ID_CURR": "bigint", "SK_ID_PREV": "bigint", "AMT_INSTALMENT": "double", "AMT_PAYMENT": "double",
+                              "DAYS_INSTALMENT": "int", "DAYS_ENTRY_PAYMENT": "int"},
+    "credit_card_balance": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
+}
+RAW_SOURCE = {"application_train": "application_train_src", "application_test": "application_train_src", "bureau": "bureau_src",
+              "bureau_balance": "bureau_balance_src", "previous_application": "previous_src", "pos_cash_balance": "part",
+              "installments_payments": "installments_src", "credit_card_balance": "supplier"}
+CLEAN_SOURCE = {"application_train": "app", "bureau": "bur", "bureau_balance": "bb", "previous_application": "prev",
+                "installments_payments": "inst"}
+ADDED_BY_CLEANING = {"application_train": ["AGE_YEARS", "CREDIT_INCOME_RATIO", "EMPLOYMENT_YEARS"], "bureau": ["CREDIT_UTILIZATION_RATIO"],
+                     "bureau_balance": [], "previous_application": [], "installments_payments": ["PAYMENT_DIFFERENCE", "DAYS_LATE"]}
+FILLED = {"b": ["BUREAU_CREDIT_COUNT", "ACTIVE_CREDIT_COUNT", "CLOSED_CREDIT_COUNT", "AVG_CREDIT_AMOUNT", "TOTAL_DEBT", "AVG_CREDIT_UTILIZATION"],
+          "p": ["TOTAL_PREV_APPLICATIONS", "APPROVED_APPLICATIONS", "REFUSED_APPLICATIONS", "CANCELED_APPLICATIONS", "APPROVAL_RATE"],
+          "y": ["TOTAL_PAYMENTS", "AVG_PAYMENT_DIFFERENCE", "AVG_DAYS_LATE", "LATE_PAYMENTS_COUNT", "LATE_PAYMENT_RATE"]}
+UNFILLED = {"b": ["DAYS_LAST_CREDIT"], "p": ["AVG_PREV_APPLICATION_AMOUNT", "DAYS_LAST_DECISION"], "y": ["MAX_DAYS_LATE"]}
+WIDE_BANDS = ["AGE_GROUP", "INCOME_LEVEL", "CREDIT_SIZE_CATEGORY", "CREDIT_RISK_LEVEL", "CREDIT_HISTORY_LEVEL"]
+WIDE_DOUBLES = ["AVG_CREDIT_AMOUNT", "TOTAL_DEBT", "AVG_CREDIT_UTILIZATION", "AVG_PREV_APPLICATION_AMOUNT", "APPROVAL_RATE",
+                "AVG_PAYMENT_DIFFERENCE", "AVG_DAYS_LATE", "LATE_PAYMENT_RATE"]
+KEY_FEATURES = ["TARGET", "CODE_GENDER", "AGE_YEARS", "AMT_INCOME_TOTAL", "AMT_CREDIT", "NAME_EDUCATION_TYPE", "NAME_FAMILY_STATUS",
+                "BUREAU_CREDIT_COUNT", "TOTAL_PREV_APPLICATIONS", "CREDIT_INCOME_RATIO"]
+SCORES = ["AGE_RISK_SCORE", "INCOME_RISK_SCORE", "CREDIT_RATIO_RISK_SCORE", "CREDIT_HISTORY_RISK_SCORE", "PREV_APP_RISK_SCORE"]
+
+
+# ---------------------------------------------------------------------------
+# Helpers that write SQL
+# ---------------------------------------------------------------------------
+
+def _lit(v) -> str:
+    return f"'{v}'" if isinstance(v, str) else str(v)
+
+
+def case(tests: list[tuple[str, object]], rest) -> str:
+    return "CASE " + " ".join(f"WHEN {t} THEN {_lit(v)}" for t, v in tests) + f" ELSE {_lit(rest)} END"
+
+
+def up_to(x: str, ladder) -> str:
+    return case([(f"{x} <= {bound}", v) for bound, v in ladder[0]], ladder[1])
+
+
+def at_least(x: str, ladder) -> str:
+    return case([(f"{x} >= {bound}", v) for bound, v in ladder[0]], ladder[1])
+
+
+def within(x: str, ladder) -> str:
+    return case([(f"{x} BETWEEN {_lit(a)} AND {_lit(b)}", v) for (a, b), v in ladder[0]], ladder[1])
+
+
+def avg(x: str, digits: int = 0) -> str:
+    return f"ROUND(AVG({x}), {digits})"
+
+
+def percent(x: str, digits: int = 2) -> str:
+    return f"ROUND(AVG({x}) * 100, {digits})"
+
+
+def count_if(test: str) -> str:
+    return f"COUNT(*) FILTER (WHERE {test})"
+
+
+def select(names: dict[str, str]) -> str:
+    return ", ".join(f"{expr} AS {name}" for name, expr in names.items())
+
+
+def by(source: str, keys: dict[str, str], counted: str, also: dict[str, str] | None = None, where: str = "", at_least_rows: int = 0) -> str:
+    """Rows counted by key, with other aggregates."""
+    sql = f"SELECT {select(keys)}, COUNT(*) AS {counted}" + "".join(f", {e} AS {n}" for n, e in (also or {}).items()) + f" FROM {source}"
+    sql += f" WHERE {where}" if where else ""
+    return sql + " GROUP BY ALL" + (f" HAVING COUNT(*) >= {at_least_rows}" if at_least_rows else "")
+
+
+def share(grouped: str, counted: str, total: str, name: str = "PERCENTAGE") -> str:
+    """A grouped count as percent of the number of rows of ``total``."""
+    return f"SELECT g.*, ROUND(CAST(g.{counted} AS DOUBLE) * 100 / t.n, 2) AS {name} FROM ({grouped}) g, (SELECT COUNT(*) AS n FROM {total}) t"
+
+
+def column_profile(table: str, source: str, columns: dict[str, bool]) -> list[str]:
+    """Non-null count, least and greatest value of each column (True: text)."""
+    number = lambda f, c, text: "CAST(NULL AS DOUBLE)" if text else f"ROUND(CAST({f}({c}) AS DOUBLE), {R6}) + 0.0"
+    word = lambda f, c, text: f"{f}({c})" if text else "CAST(NULL AS VARCHAR)"
+    return [f"SELECT '{table}' AS TABLE_NAME, '{c}' AS COLUMN_NAME, COUNT({c}) AS NON_NULL_COUNT, {number('MIN', c, t)} AS MIN_NUMBER, "
+            f"{number('MAX', c, t)} AS MAX_NUMBER, {word('MIN', c, t)} AS MIN_TEXT, {word('MAX', c, t)} AS MAX_TEXT FROM {source}"
+            for c, t in columns.items()]
+
+
+def _text(table: str) -> dict[str, bool]:
+    return {c: t == "string" for c, t in RAW_TYPES[table].items()}
+
+
+UNION = "\nUNION ALL\n"
+
 # ---------------------------------------------------------------------------
-# CTE library: name -> SQL body.  Dependencies are found by name.
+# Tables, as common table expressions
 # ---------------------------------------------------------------------------
 
 CTES: dict[str, str] = {}
 
 CTES["application_train_src"] = """
-SELECT o.o_orderkey AS SK_ID_CURR,
-  CASE WHEN o.o_orderkey % 211 = 0 THEN NULL
-       WHEN (o.o_orderkey * 7919) % 100 < 8 THEN 1 ELSE 0 END AS TARGET,
-  CASE WHEN c.c_nationkey = 0 THEN 'XNA' WHEN c.c_nationkey % 3 = 1 THEN 'M' ELSE 'F' END AS CODE_GENDER,
-  CAST(-(6575 + (o.o_orderkey * 37) % 19000) AS INTEGER) AS DAYS_BIRTH,
-  CAST(CASE WHEN o.o_orderkey % 6 = 0 THEN 365243 ELSE -((o.o_orderkey * 13) % 15000) END AS INTEGER) AS DAYS_EMPLOYED,
-  (c.c_acctbal + 1000.0) * 120.0 AS AMT_INCOME_TOTAL,
-  o.o_totalprice * 5.0 AS AMT_CREDIT,
-  o.o_totalprice * 0.25 AS AMT_ANNUITY,
-  CASE WHEN o.o_orderkey % 10 = 0 THEN 'Revolving loans' ELSE 'Cash loans' END AS NAME_CONTRACT_TYPE,
-  c.c_mktsegment AS NAME_INCOME_TYPE,
-  o.o_orderpriority AS NAME_EDUCATION_TYPE,
-  r.r_name AS NAME_FAMILY_STATUS,
-  CASE WHEN o.o_orderkey % 3 = 0 THEN NULL ELSE n.n_name END AS OCCUPATION_TYPE,
-  CAST(o.o_orderkey % 5 AS INTEGER) AS CNT_CHILDREN
-FROM orders o
-JOIN customer c ON o.o_custkey = c.c_custkey
-JOIN nation n ON c.c_nationkey = n.n_nationkey
-JOIN region r ON n.n_regionkey = r.r_regionkey
+SELECT o_orderkey AS SK_ID_CURR,
+  CASE WHEN o_orderkey % 211 = 0 THEN NULL WHEN (o_orderkey * 7919) % 100 < 8 THEN 1 ELSE 0 END AS TARGET,
+  CASE WHEN c_nationkey = 0 THEN 'XNA' WHEN c_nationkey % 3 = 1 THEN 'M' ELSE 'F' END AS CODE_GENDER,
+  CAST(-(6575 + (o_orderkey * 37) % 19000) AS INTEGER) AS DAYS_BIRTH,
+  CAST(CASE WHEN o_orderkey % 6 = 0 THEN 365243 ELSE -((o_orderkey * 13) % 15000) END AS INTEGER) AS DAYS_EMPLOYED,
+  (c_acctbal + 1000.0) * 120.0 AS AMT_INCOME_TOTAL, o_totalprice * 5.0 AS AMT_CREDIT, o_totalprice * 0.25 AS AMT_ANNUITY,
+  CASE WHEN o_orderkey % 10 = 0 THEN 'Revolving loans' ELSE 'Cash loans' END AS NAME_CONTRACT_TYPE,
+  c_mktsegment AS NAME_INCOME_TYPE, o_orderpriority AS NAME_EDUCATION_TYPE, r_name AS NAME_FAMILY_STATUS,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE n_name END AS OCCUPATION_TYPE, CAST(o_orderkey % 5 AS INTEGER) AS CNT_CHILDREN
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 """
 
 CTES["bureau_src"] = """
-SELECT l_orderkey AS SK_ID_CURR,
-  l_orderkey * 100 + l_linenumber AS SK_ID_BUREAU,
+SELECT l_orderkey AS SK_ID_CURR, l_orderkey * 100 + l_linenumber AS SK_ID_BUREAU,
   CASE l_returnflag WHEN 'A' THEN 'Active' WHEN 'N' THEN 'Closed' ELSE 'Sold' END AS CREDIT_ACTIVE,
   CASE l_linestatus WHEN 'F' THEN 'Consumer credit' ELSE 'Credit card' END AS CREDIT_TYPE,
-  CASE WHEN l_quantity = 50.0 THEN NULL WHEN l_quantity = 49.0 THEN CAST(0.0 AS DOUBLE)
-       ELSE l_extendedprice * 10.0 END AS AMT_CREDIT_SUM,
+  CASE WHEN l_quantity = 50.0 THEN NULL WHEN l_quantity = 49.0 THEN CAST(0.0 AS DOUBLE) ELSE l_extendedprice * 10.0 END AS AMT_CREDIT_SUM,
   CASE WHEN l_quantity = 48.0 THEN NULL ELSE l_extendedprice * 10.0 * l_discount * 10.0 END AS AMT_CREDIT_SUM_DEBT,
   CAST(-((l_partkey * 7 + l_linenumber) % 2900) AS INTEGER) AS DAYS_CREDIT
 FROM lineitem
 """
 
 CTES["previous_src"] = """
-SELECT cur.o_orderkey AS SK_ID_CURR,
-  p.o_orderkey AS SK_ID_PREV,
-  CASE WHEN p.o_orderstatus = 'O' AND p.o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Refused'
-       WHEN p.o_orderstatus = 'O' THEN 'Canceled'
-       WHEN p.o_orderstatus = 'P' AND p.o_orderpriority = '5-LOW' THEN 'Unused offer'
-       ELSE 'Approved' END AS NAME_CONTRACT_STATUS,
-  CASE WHEN p.o_orderkey % 4 = 0 THEN NULL ELSE 'R' || CAST(p.o_orderkey % 13 AS VARCHAR) END AS CODE_REJECT_REASON,
-  CASE WHEN p.o_orderkey % 97 = 0 THEN NULL ELSE p.o_totalprice * 5.0 END AS AMT_APPLICATION,
-  p.o_totalprice * 4.5 AS AMT_CREDIT,
-  CAST(-(p.o_orderkey % 2922) AS INTEGER) AS DAYS_DECISION
-FROM orders cur
-JOIN orders p ON cur.o_custkey = p.o_custkey AND p.o_orderdate < cur.o_orderdate
+SELECT l_orderkey AS SK_ID_CURR, l_orderkey * 100 + l_linenumber AS SK_ID_PREV,
+  CASE WHEN (l_partkey + l_linenumber) % 20 < 12 THEN 'Approved' WHEN (l_partkey + l_linenumber) % 20 < 16 THEN 'Refused'
+       WHEN (l_partkey + l_linenumber) % 20 < 19 THEN 'Canceled' ELSE 'Unused offer' END AS NAME_CONTRACT_STATUS,
+  CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE 'R' || CAST(l_suppkey % 13 AS VARCHAR) END AS CODE_REJECT_REASON,
+  CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE l_extendedprice * 15.0 END AS AMT_APPLICATION,
+  l_extendedprice * 13.5 AS AMT_CREDIT, CAST(-((l_partkey * 3 + l_linenumber) % 2922) AS INTEGER) AS DAYS_DECISION
+FROM lineitem WHERE l_orderkey % 10 <> 0
 """
 
 CTES["installments_src"] = """
-SELECT l_orderkey AS SK_ID_CURR,
-  l_orderkey * 100 + l_linenumber AS SK_ID_PREV,
-  l_extendedprice AS AMT_INSTALMENT,
-  CASE WHEN l_partkey % 61 = 0 THEN NULL
-       ELSE l_extendedprice * (1.0 + 2.0 * l_tax - 2.0 * l_discount) END AS AMT_PAYMENT,
+SELECT l_orderkey AS SK_ID_CURR, l_orderkey * 100 + l_linenumber AS SK_ID_PREV, l_extendedprice AS AMT_INSTALMENT,
+  CASE WHEN l_partkey % 61 = 0 THEN NULL ELSE l_extendedprice * (1.0 + 2.0 * l_tax - 2.0 * l_discount) END AS AMT_PAYMENT,
   CAST(-(l_partkey % 2900) AS INTEGER) AS DAYS_INSTALMENT,
-  CAST(CASE WHEN l_partkey % 50 = 0 THEN NULL
-            ELSE -(l_partkey % 2900) + l_quantity - 12.0 END AS INTEGER) AS DAYS_ENTRY_PAYMENT
+  CAST(CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE -(l_partkey % 2900) + l_quantity - 12.0 END AS INTEGER) AS DAYS_ENTRY_PAYMENT
 FROM lineitem
 """
 
 CTES["bureau_balance_src"] = """
-SELECT user_id AS SK_ID_BUREAU,
-  CAST(-(event_id % 97) AS INTEGER) AS MONTHS_BALANCE,
+SELECT user_id AS SK_ID_BUREAU, CAST(-(event_id % 97) AS INTEGER) AS MONTHS_BALANCE,
   CASE event_id % 9 WHEN 0 THEN 'C' WHEN 1 THEN 'X' WHEN 2 THEN '0' WHEN 3 THEN '1' WHEN 4 THEN '2'
                     WHEN 5 THEN '3' WHEN 6 THEN '4' WHEN 7 THEN '5' ELSE NULL END AS STATUS
 FROM events
 """
 
-# ---- cleaned (silver) tables ------------------------------------------------
-
 CTES["app"] = """
-SELECT SK_ID_CURR, TARGET, CODE_GENDER,
-  abs(DAYS_BIRTH) AS DAYS_BIRTH, abs(DAYS_EMPLOYED) AS DAYS_EMPLOYED,
-  AMT_INCOME_TOTAL, AMT_CREDIT, AMT_ANNUITY, NAME_CONTRACT_TYPE, NAME_INCOME_TYPE,
-  NAME_EDUCATION_TYPE, NAME_FAMILY_STATUS, OCCUPATION_TYPE, CNT_CHILDREN,
+SELECT * REPLACE (abs(DAYS_BIRTH) AS DAYS_BIRTH, abs(DAYS_EMPLOYED) AS DAYS_EMPLOYED),
   CAST(floor(abs(DAYS_BIRTH) / 365.25) AS BIGINT) AS AGE_YEARS,
   CASE WHEN AMT_INCOME_TOTAL > 0 THEN AMT_CREDIT / AMT_INCOME_TOTAL ELSE 0 END AS CREDIT_INCOME_RATIO,
-  CAST(CASE WHEN abs(DAYS_EMPLOYED) < 365243 THEN floor(abs(DAYS_EMPLOYED) / 365.25) ELSE 0 END AS BIGINT)
-    AS EMPLOYMENT_YEARS
+  CAST(CASE WHEN abs(DAYS_EMPLOYED) < 365243 THEN floor(abs(DAYS_EMPLOYED) / 365.25) ELSE 0 END AS BIGINT) AS EMPLOYMENT_YEARS
 FROM application_train_src
-WHERE TARGET IS NOT NULL
-  AND AMT_INCOME_TOTAL >= 10000 AND AMT_INCOME_TOTAL <= 10000000
-  AND AMT_CREDIT >= 10000 AND AMT_CREDIT <= 50000000
+WHERE TARGET IS NOT NULL AND AMT_INCOME_TOTAL BETWEEN 10000 AND 10000000 AND AMT_CREDIT BETWEEN 10000 AND 50000000
 """
 
 CTES["bur"] = """
-SELECT SK_ID_CURR, SK_ID_BUREAU, CREDIT_ACTIVE, CREDIT_TYPE, AMT_CREDIT_SUM, AMT_CREDIT_SUM_DEBT,
-  abs(DAYS_CREDIT) AS DAYS_CREDIT,
-  CASE WHEN AMT_CREDIT_SUM IS NOT NULL AND AMT_CREDIT_SUM > 0 AND AMT_CREDIT_SUM_DEBT IS NOT NULL
-       THEN AMT_CREDIT_SUM_DEBT / AMT_CREDIT_SUM ELSE 0 END AS CREDIT_UTILIZATION_RATIO
+SELECT * REPLACE (abs(DAYS_CREDIT) AS DAYS_CREDIT),
+  CASE WHEN AMT_CREDIT_SUM > 0 AND AMT_CREDIT_SUM_DEBT IS NOT NULL THEN AMT_CREDIT_SUM_DEBT / AMT_CREDIT_SUM ELSE 0 END AS CREDIT_UTILIZATION_RATIO
 FROM bureau_src
-WHERE SK_ID_CURR IS NOT NULL
-  AND (AMT_CREDIT_SUM IS NULL OR (AMT_CREDIT_SUM >= 0 AND AMT_CREDIT_SUM <= 100000000))
+WHERE SK_ID_CURR IS NOT NULL AND (AMT_CREDIT_SUM IS NULL OR AMT_CREDIT_SUM BETWEEN 0 AND 100000000)
 """
 
 CTES["prev"] = """
-SELECT SK_ID_CURR, SK_ID_PREV, NAME_CONTRACT_STATUS, CODE_REJECT_REASON, AMT_APPLICATION, AMT_CREDIT,
-  abs(DAYS_DECISION) AS DAYS_DECISION
-FROM previous_src
-WHERE SK_ID_CURR IS NOT NULL
-  AND (AMT_APPLICATION IS NULL OR (AMT_APPLICATION >= 0 AND AMT_APPLICATION <= 50000000))
+SELECT * REPLACE (abs(DAYS_DECISION) AS DAYS_DECISION) FROM previous_src
+WHERE SK_ID_CURR IS NOT NULL AND (AMT_APPLICATION IS NULL OR AMT_APPLICATION BETWEEN 0 AND 50000000)
 """
 
 CTES["inst"] = """
-SELECT SK_ID_CURR, SK_ID_PREV, AMT_INSTALMENT, AMT_PAYMENT, DAYS_INSTALMENT, DAYS_ENTRY_PAYMENT,
-  AMT_PAYMENT - AMT_INSTALMENT AS PAYMENT_DIFFERENCE,
-  DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT AS DAYS_LATE
-FROM installments_src
-WHERE SK_ID_CURR IS NOT NULL AND AMT_PAYMENT IS NOT NULL AND AMT_INSTALMENT IS NOT NULL
-"""
-
-CTES["bb"] = """
-SELECT SK_ID_BUREAU, MONTHS_BALANCE, STATUS FROM bureau_balance_src WHERE SK_ID_BUREAU IS NOT NULL
-"""
-
-# ---- customer-grain features -----------------------------------------------------
-
-CTES["bureau_feat"] = """
-SELECT SK_ID_CURR,
-  COUNT(SK_ID_BUREAU) AS BUREAU_CREDIT_COUNT,
-  COUNT(*) FILTER (WHERE CREDIT_ACTIVE = 'Active') AS ACTIVE_CREDIT_COUNT,
-  COUNT(*) FILTER (WHERE CREDIT_ACTIVE = 'Closed') AS CLOSED_CREDIT_COUNT,
-  AVG(AMT_CREDIT_SUM) AS AVG_CREDIT_AMOUNT,
-  SUM(AMT_CREDIT_SUM_DEBT) AS TOTAL_DEBT,
-  AVG(CREDIT_UTILIZATION_RATIO) AS AVG_CREDIT_UTILIZATION,
-  MAX(DAYS_CREDIT) AS DAYS_LAST_CREDIT
-FROM bur GROUP BY SK_ID_CURR
-"""
-
-CTES["prev_feat"] = """
-SELECT SK_ID_CURR,
-  COUNT(SK_ID_PREV) AS TOTAL_PREV_APPLICATIONS,
-  COUNT(*) FILTER (WHERE NAME_CONTRACT_STATUS = 'Approved') AS APPROVED_APPLICATIONS,
-  COUNT(*) FILTER (WHERE NAME_CONTRACT_STATUS = 'Refused') AS REFUSED_APPLICATIONS,
-  COUNT(*) FILTER (WHERE NAME_CONTRACT_STATUS = 'Canceled') AS CANCELED_APPLICATIONS,
-  AVG(AMT_APPLICATION) AS AVG_PREV_APPLICATION_AMOUNT,
-  MAX(DAYS_DECISION) AS DAYS_LAST_DECISION,
-  CASE WHEN COUNT(SK_ID_PREV) > 0
-       THEN CAST(COUNT(*) FILTER (WHERE NAME_CONTRACT_STATUS = 'Approved') AS DOUBLE) / COUNT(SK_ID_PREV) * 100
-       ELSE 0 END AS APPROVAL_RATE
-FROM prev GROUP BY SK_ID_CURR
-"""
-
-CTES["pay_feat"] = """
-SELECT SK_ID_CURR,
-  COUNT(SK_ID_PREV) AS TOTAL_PAYMENTS,
-  AVG(PAYMENT_DIFFERENCE) AS AVG_PAYMENT_DIFFERENCE,
-  AVG(DAYS_LATE) AS AVG_DAYS_LATE,
-  COUNT(*) FILTER (WHERE DAYS_LATE > 0) AS LATE_PAYMENTS_COUNT,
-  MAX(DAYS_LATE) AS MAX_DAYS_LATE,
-  CASE WHEN COUNT(SK_ID_PREV) > 0
-       THEN CAST(COUNT(*) FILTER (WHERE DAYS_LATE > 0) AS DOUBLE) / COUNT(SK_ID_PREV) * 100
-       ELSE 0 END AS LATE_PAYMENT_RATE
-FROM inst GROUP BY SK_ID_CURR
-"""
-
-# ---- gold tables ---------------------------------------------------------------------
-
-CTES["wide"] = """
-SELECT j.*,
-  CASE WHEN AGE_YEARS <= 25 THEN 'Young (18-25)'
-       WHEN AGE_YEARS <= 35 THEN 'Young Professional (26-35)'
-       WHEN AGE_YEARS <= 45 THEN 'Established Adult (36-45)'
-       WHEN AGE_YEARS <= 55 THEN 'Middle-aged (46-55)'
-       WHEN AGE_YEARS <= 65 THEN 'Pre-retirement (56-65)'
-       ELSE 'Senior (65+)' END AS AGE_GROUP,
-  CASE WHEN AMT_INCOME_TOTAL <= 100000 THEN 'Low Income (≤100K)'
-       WHEN AMT_INCOME_TOTAL <= 200000 THEN 'Lower Middle (100K-200K)'
-       WHEN AMT_INCOME_TOTAL <= 300000 THEN 'Middle Income (200K-300K)'
-       WHEN AMT_INCOME_TOTAL <= 500000 THEN 'Upper Middle (300K-500K)'
-       WHEN AMT_INCOME_TOTAL <= 1000000 THEN 'High Income (500K-1M)'
-       ELSE 'Very High Income (1M+)' END AS INCOME_LEVEL,
-  CASE WHEN AMT_CREDIT <= 200000 THEN 'Small Loans (≤200K)'
-       WHEN AMT_CREDIT <= 500000 THEN 'Medium Loans (200K-500K)'
-       WHEN AMT_CREDIT <= 1000000 THEN 'Large Loans (500K-1M)'
-       WHEN AMT_CREDIT <= 2000000 THEN 'Very Large Loans (1M-2M)'
-       ELSE 'Jumbo Loans (2M+)' END AS CREDIT_SIZE_CATEGORY,
-  CASE WHEN CREDIT_INCOME_RATIO <= 1 THEN 'Conservative (≤1x Income)'
-       WHEN CREDIT_INCOME_RATIO <= 2 THEN 'Moderate (1-2x Income)'
-       WHEN CREDIT_INCOME_RATIO <= 3 THEN 'Aggressive (2-3x Income)'
-       ELSE 'Very Aggressive (3x+ Income)' END AS CREDIT_RISK_LEVEL,
-  CASE WHEN BUREAU_CREDIT_COUNT = 0 THEN 'No Credit History'
-       WHEN BUREAU_CREDIT_COUNT <= 2 THEN 'Limited History (1-2)'
-       WHEN BUREAU_CREDIT_COUNT <= 5 THEN 'Moderate History (3-5)'
-       WHEN BUREAU_CREDIT_COUNT <= 10 THEN 'Extensive History (6-10)'
-       ELSE 'Very Extensive (10+)' END AS CREDIT_HISTORY_LEVEL
-FROM (
-  SELECT a.*,
-    COALESCE(b.BUREAU_CREDIT_COUNT, 0) AS BUREAU_CREDIT_COUNT,
-    COALESCE(b.ACTIVE_CREDIT_COUNT, 0) AS ACTIVE_CREDIT_COUNT,
-    COALESCE(b.CLOSED_CREDIT_COUNT, 0) AS CLOSED_CREDIT_COUNT,
-    COALESCE(b.AVG_CREDIT_AMOUNT, 0) AS AVG_CREDIT_AMOUNT,
-    COALESCE(b.TOTAL_DEBT, 0) AS TOTAL_DEBT,
-    COALESCE(b.AVG_CREDIT_UTILIZATION, 0) AS AVG_CREDIT_UTILIZATION,
-    b.DAYS_LAST_CREDIT,
-    COALESCE(p.TOTAL_PREV_APPLICATIONS, 0) AS TOTAL_PREV_APPLICATIONS,
-    COALESCE(p.APPROVED_APPLICATIONS, 0) AS APPROVED_APPLICATIONS,
-    COALESCE(p.REFUSED_APPLICATIONS, 0) AS REFUSED_APPLICATIONS,
-    COALESCE(p.CANCELED_APPLICATIONS, 0) AS CANCELED_APPLICATIONS,
-    p.AVG_PREV_APPLICATION_AMOUNT,
-    p.DAYS_LAST_DECISION,
-    COALESCE(p.APPROVAL_RATE, 0) AS APPROVAL_RATE,
-    COALESCE(y.TOTAL_PAYMENTS, 0) AS TOTAL_PAYMENTS,
-    COALESCE(y.AVG_PAYMENT_DIFFERENCE, 0) AS AVG_PAYMENT_DIFFERENCE,
-    COALESCE(y.AVG_DAYS_LATE, 0) AS AVG_DAYS_LATE,
-    COALESCE(y.LATE_PAYMENTS_COUNT, 0) AS LATE_PAYMENTS_COUNT,
-    y.MAX_DAYS_LATE,
-    COALESCE(y.LATE_PAYMENT_RATE, 0) AS LATE_PAYMENT_RATE
-  FROM app a
-  LEFT JOIN bureau_feat b ON a.SK_ID_CURR = b.SK_ID_CURR
-  LEFT JOIN prev_feat p ON a.SK_ID_CURR = p.SK_ID_CURR
-  LEFT JOIN pay_feat y ON a.SK_ID_CURR = y.SK_ID_CURR
-) j
-"""
-
-CTES["slim_bureau"] = """
-select SK_ID_CURR,
-  count(SK_ID_BUREAU) as TOTAL_BUREAU_CREDITS,
-  count(*) filter (where CREDIT_ACTIVE = 'Active') as ACTIVE_CREDITS,
-  coalesce(sum(AMT_CREDIT_SUM_DEBT), 0) as TOTAL_DEBT
-from bur group by SK_ID_CURR
-"""
-
-CTES["slim_prev"] = """
-select SK_ID_CURR,
-  count(SK_ID_PREV) as TOTAL_PREV_APPLICATIONS,
-  coalesce(round(100.0 * cast(count(*) filter (where NAME_CONTRACT_STATUS = 'Approved') as double)
-                 / nullif(count(SK_ID_PREV), 0), 2), 0) as APPROVAL_RATE
-from prev group by SK_ID_CURR
-"""
-
-CTES["slim_app"] = """
-select a.SK_ID_CURR, a.TARGET, a.CODE_GENDER, a.yrs as AGE,
-  case when a.yrs between 18 and 30 then 'Young (18-30)'
-       when a.yrs between 31 and 45 then 'Prime (31-45)'
-       when a.yrs between 46 and 60 then 'Mature (46-60)'
-       else 'Senior (60+)' end as AGE_GROUP,
-  a.AMT_INCOME_TOTAL, a.AMT_CREDIT, a.AMT_ANNUITY, a.NAME_CONTRACT_TYPE, a.NAME_INCOME_TYPE,
-  a.NAME_EDUCATION_TYPE, a.NAME_FAMILY_STATUS, a.CNT_CHILDREN,
-  round(a.AMT_CREDIT / a.AMT_INCOME_TOTAL, 2) as CREDIT_INCOME_RATIO,
-  case when a.AMT_INCOME_TOTAL <= 150000 then 'Low Income'
-       when a.AMT_INCOME_TOTAL <= 300000 then 'Middle Income'
-       else 'High Income' end as INCOME_CATEGORY
-from (select app.*, cast(floor(DAYS_BIRTH / 365.25) as bigint) as yrs from app
-      where AMT_INCOME_TOTAL is not null and AMT_CREDIT is not null) a
-"""
-
-CTES["slim"] = """
-select x.*,
-  coalesce(b.TOTAL_BUREAU_CREDITS, 0) as BUREAU_CREDITS,
-  coalesce(b.ACTIVE_CREDITS, 0) as ACTIVE_CREDITS,
-  coalesce(b.TOTAL_DEBT, 0) as TOTAL_DEBT,
-  coalesce(p.TOTAL_PREV_APPLICATIONS, 0) as PREV_APPLICATIONS,
-  coalesce(p.APPROVAL_RATE, 0) as HISTORICAL_APPROVAL_RATE
-from slim_app x
-left join slim_bureau b using (SK_ID_CURR)
-left join slim_prev p using (SK_ID_CURR)
-"""
-
-CTES["scored_parts"] = """
-select SK_ID_CURR, TARGET,
-  case when AGE <= 25 then 3 when AGE <= 35 then 2 when AGE <= 50 then 1 else 0 end as AGE_RISK_SCORE,
-  case when AMT_INCOME_TOTAL <= 100000 then 3 when AMT_INCOME_TOTAL <= 200000 then 2
-       when AMT_INCOME_TOTAL <= 400000 then 1 else 0 end as INCOME_RISK_SCORE,
-  case when CREDIT_INCOME_RATIO >= 3 then 3 when CREDIT_INCOME_RATIO >= 2 then 2
-       when CREDIT_INCOME_RATIO >= 1.5 then 1 else 0 end as CREDIT_RATIO_RISK_SCORE,
-  case when BUREAU_CREDITS = 0 then 3 when BUREAU_CREDITS <= 2 then 2
-       when BUREAU_CREDITS <= 5 then 1 else 0 end as CREDIT_HISTORY_RISK_SCORE,
-  case when PREV_APPLICATIONS = 0 then 1 when HISTORICAL_APPROVAL_RATE < 50 then 3
-       when HISTORICAL_APPROVAL_RATE < 80 then 2 else 0 end as PREV_APP_RISK_SCORE
-from slim
-"""
-
-CTES["scored"] = """
-select t.*,
-  case when t.TOTAL_RISK_SCORE <= 3 then 'Low Risk' when t.TOTAL_RISK_SCORE <= 6 then 'Medium Risk'
-       when t.TOTAL_RISK_SCORE <= 9 then 'High Risk' else 'Very High Risk' end as RISK_CATEGORY
-from (select s.*, s.AGE_RISK_SCORE + s.INCOME_RISK_SCORE + s.CREDIT_RATIO_RISK_SCORE
-              + s.CREDIT_HISTORY_RISK_SCORE + s.PREV_APP_RISK_SCORE as TOTAL_RISK_SCORE
-      from scored_parts s) t
-"""
-
-# per-band totals of earlier applications by size (for approval_by_size)
-CTES["prev_size_status"] = """
-select z.APPLICATION_SIZE, z.STATUS, count(*) as APPLICATION_COUNT
-from (select NAME_CONTRACT_STATUS as STATUS,
-        case when AMT_APPLICATION <= 200000 then 'Small (≤200K)'
-             when AMT_APPLICATION <= 500000 then 'Medium (200K-500K)'
-             when AMT_APPLICATION <= 1000000 then 'Large (500K-1M)'
-             else 'Very Large (1M+)' end as APPLICATION_SIZE
-      from prev where AMT_APPLICATION is not null and NAME_CONTRACT_STATUS is not null) z
-group by z.APPLICATION_SIZE, z.STATUS
-"""
+SELECT *, AMT_PAYMENT - AMT_INSTALMENT AS PAYMENT_DIFFERENCE, DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT AS DAYS_LATE
+FROM installments_src WHERE SK_ID_CURR IS NOT NULL AND AMT_PAYMENT IS NOT NULL AND AMT_INSTALMENT IS NOT NULL
+"""
+
+CTES["bb"] = "SELECT * FROM bureau_balance_src WHERE SK_ID_BUREAU IS NOT NULL"
+
+
+def _rate(test: str, counted: str) -> str:
+    return f"CASE WHEN COUNT({counted}) > 0 THEN CAST({count_if(test)} AS DOUBLE) / COUNT({counted}) * 100 ELSE 0 END"
+
+
+def _per_customer(source: str, columns: dict[str, str]) -> str:
+    return f"SELECT SK_ID_CURR, {select(columns)} FROM {source} GROUP BY SK_ID_CURR"
+
+
+CTES["bureau_feat"] = _per_customer("bur", {
+    "BUREAU_CREDIT_COUNT": "COUNT(SK_ID_BUREAU)", "ACTIVE_CREDIT_COUNT": count_if("CREDIT_ACTIVE = 'Active'"),
+    "CLOSED_CREDIT_COUNT": count_if("CREDIT_ACTIVE = 'Closed'"), "AVG_CREDIT_AMOUNT": "AVG(AMT_CREDIT_SUM)",
+    "TOTAL_DEBT": "SUM(AMT_CREDIT_SUM_DEBT)", "AVG_CREDIT_UTILIZATION": "AVG(CREDIT_UTILIZATION_RATIO)", "DAYS_LAST_CREDIT": "MAX(DAYS_CREDIT)"})
+CTES["prev_feat"] = _per_customer("prev", {
+    "TOTAL_PREV_APPLICATIONS": "COUNT(SK_ID_PREV)", "APPROVED_APPLICATIONS": count_if("NAME_CONTRACT_STATUS = 'Approved'"),
+    "REFUSED_APPLICATIONS": count_if("NAME_CONTRACT_STATUS = 'Refused'"), "CANCELED_APPLICATIONS": count_if("NAME_CONTRACT_STATUS = 'Canceled'"),
+    "AVG_PREV_APPLICATION_AMOUNT": "AVG(AMT_APPLICATION)", "DAYS_LAST_DECISION": "MAX(DAYS_DECISION)",
+    "APPROVAL_RATE": _rate("NAME_CONTRACT_STATUS = 'Approved'", "SK_ID_PREV")})
+CTES["pay_feat"] = _per_customer("inst", {
+    "TOTAL_PAYMENTS": "COUNT(SK_ID_PREV)", "AVG_PAYMENT_DIFFERENCE": "AVG(PAYMENT_DIFFERENCE)", "AVG_DAYS_LATE": "AVG(DAYS_LATE)",
+    "LATE_PAYMENTS_COUNT": count_if("DAYS_LATE > 0"), "MAX_DAYS_LATE": "MAX(DAYS_LATE)", "LATE_PAYMENT_RATE": _rate("DAYS_LATE > 0", "SK_ID_PREV")})
+
+CTES["joined"] = (
+    "SELECT a.*, " + ", ".join([f"COALESCE({t}.{c}, 0) AS {c}" for t, cs in FILLED.items() for c in cs] + [f"{t}.{c}" for t, cs in UNFILLED.items() for c in cs])
+    + " FROM app a LEFT JOIN bureau_feat b USING (SK_ID_CURR) LEFT JOIN prev_feat p USING (SK_ID_CURR) LEFT JOIN pay_feat y USING (SK_ID_CURR)")
+CTES["wide"] = "SELECT *, " + select({
+    "AGE_GROUP": up_to("AGE_YEARS", WIDE_AGE), "INCOME_LEVEL": up_to("AMT_INCOME_TOTAL", INCOME),
+    "CREDIT_SIZE_CATEGORY": up_to("AMT_CREDIT", CREDIT_SIZE), "CREDIT_RISK_LEVEL": up_to("CREDIT_INCOME_RATIO", CREDIT_TO_INCOME),
+    "CREDIT_HISTORY_LEVEL": up_to("BUREAU_CREDIT_COUNT", HISTORY)}) + " FROM joined"
+
+CTES["slim_bureau"] = _per_customer("bur", {
+    "BUREAU_CREDITS": "COUNT(SK_ID_BUREAU)", "ACTIVE_CREDITS": count_if("CREDIT_ACTIVE = 'Active'"), "TOTAL_DEBT": "SUM(AMT_CREDIT_SUM_DEBT)"})
+_APPROVED = count_if("NAME_CONTRACT_STATUS = 'Approved'")
+CTES["slim_prev"] = _per_customer("prev", {
+    "PREV_APPLICATIONS": "COUNT(SK_ID_PREV)",
+    "RATE": f"ROUND(100.0 * CAST({_APPROVED} AS DOUBLE) / NULLIF(COUNT(SK_ID_PREV), 0), 2)"})
+CTES["slim"] = "SELECT " + select({
+    **{c: f"a.{c}" for c in ["SK_ID_CURR", "TARGET", "CODE_GENDER"]}, "AGE": "a.AGE_YEARS", "AGE_GROUP": within("a.AGE_YEARS", SLIM_AGE),
+    **{c: f"a.{c}" for c in ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "NAME_CONTRACT_TYPE", "NAME_INCOME_TYPE", "NAME_EDUCATION_TYPE", "NAME_FAMILY_STATUS", "CNT_CHILDREN"]},
+    "CREDIT_INCOME_RATIO": "ROUND(a.AMT_CREDIT / a.AMT_INCOME_TOTAL, 2)", "INCOME_CATEGORY": up_to("a.AMT_INCOME_TOTAL", SLIM_INCOME),
+    "BUREAU_CREDITS": "COALESCE(b.BUREAU_CREDITS, 0)", "ACTIVE_CREDITS": "COALESCE(b.ACTIVE_CREDITS, 0)", "TOTAL_DEBT": "COALESCE(b.TOTAL_DEBT, 0)",
+    "PREV_APPLICATIONS": "COALESCE(p.PREV_APPLICATIONS, 0)", "HISTORICAL_APPROVAL_RATE": "COALESCE(p.RATE, 0)"}) + (
+    " FROM app a LEFT JOIN slim_bureau b USING (SK_ID_CURR) LEFT JOIN slim_prev p USING (SK_ID_CURR)")
+CTES["scored_parts"] = "SELECT SK_ID_CURR, TARGET, " + select(dict(zip(SCORES, [
+    up_to("AGE", AGE_SCORE), up_to("AMT_INCOME_TOTAL", INCOME_SCORE), at_least("CREDIT_INCOME_RATIO", RATIO_SCORE), up_to("BUREAU_CREDITS", HISTORY_SCORE),
+    case([("PREV_APPLICATIONS = 0", 1), ("HISTORICAL_APPROVAL_RATE < 50", 3), ("HISTORICAL_APPROVAL_RATE < 80", 2)], 0)]))) + " FROM slim"
+CTES["totals"] = f"SELECT *, {' + '.join(SCORES)} AS TOTAL_RISK_SCORE FROM scored_parts"
+CTES["scored"] = f"SELECT *, {up_to('TOTAL_RISK_SCORE', RISK_CATEGORY)} AS RISK_CATEGORY FROM totals"
 
 
 def _deps(sql: str) -> list[str]:
-    words = set(re.findall(r"\b(?:FROM|JOIN|from|join)\s+([A-Za-z_][A-Za-z0-9_]*)", sql))
+    words = set(re.findall(r"\b(?:FROM|JOIN)\s+([A-Za-z_][A-Za-z0-9_]*)", sql))
     return [w for w in CTES if w in words]
 
 
@@ -327,483 +300,160 @@ def with_ctes(body: str) -> str:
     order: list[str] = []
 
     def visit(name: str) -> None:
-        if name in order:
-            return
-        for d in _deps(CTES[name]):
-            visit(d)
-        order.append(name)
+        if name not in order:
+            for d in _deps(CTES[name]):
+                visit(d)
+            order.append(name)
 
     for d in _deps(body):
         visit(d)
-    if not order:
-        return body.strip()
     parts = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in order)
-    return f"WITH {parts}\n{body.strip()}"
+    return (f"WITH {parts}\n" if order else "") + body.strip()
 
 
 # ---------------------------------------------------------------------------
-# Query bodies (one per registered key)
+# Queries (one per registered key)
 # ---------------------------------------------------------------------------
 
-R6 = 6  # digits kept for unrounded aggregated doubles in the table-level checks
-# "+ 0.0" after a round turns DuckDB's -0.0 (a tiny negative rounded) into 0.0,
-# which is what Spark's decimal-based round returns; other values are unchanged.
-
 BODIES: dict[str, str] = {}
 
-# ---- sources, cleaners, features, risk tables ------------------------------------
-
-BODIES["load_tables"] = "SELECT * FROM application_train_src"
-
-BODIES["profile_tables"] = """
-SELECT 'application_train' AS TABLE_NAME, COUNT(*) AS ROW_COUNT, 14 AS COLUMN_COUNT FROM application_train_src
-UNION ALL SELECT 'application_test', COUNT(*), 13 FROM application_train_src
-UNION ALL SELECT 'bureau', COUNT(*), 7 FROM bureau_src
-UNION ALL SELECT 'bureau_balance', COUNT(*), 3 FROM bureau_balance_src
-UNION ALL SELECT 'previous_application', COUNT(*), 7 FROM previous_src
-UNION ALL SELECT 'pos_cash_balance', COUNT(*), (SELECT COUNT(*) FROM (DESCRIBE part)) FROM part
-UNION ALL SELECT 'installments_payments', COUNT(*), 6 FROM installments_src
-UNION ALL SELECT 'credit_card_balance', COUNT(*), (SELECT COUNT(*) FROM (DESCRIBE supplier)) FROM supplier
-"""
-
-BODIES["clean_application"] = "SELECT * FROM app"
-BODIES["clean_bureau"] = "SELECT * FROM bur"
-BODIES["clean_previous"] = "SELECT * FROM prev"
-BODIES["clean_installments"] = "SELECT * FROM inst"
-BODIES["clean_bureau_balance"] = "SELECT * FROM bb"
-
-BODIES["features_bureau"] = f"""
-SELECT SK_ID_CURR, BUREAU_CREDIT_COUNT, ACTIVE_CREDIT_COUNT, CLOSED_CREDIT_COUNT,
-  round(AVG_CREDIT_AMOUNT, {R6}) AS AVG_CREDIT_AMOUNT, round(TOTAL_DEBT, {R6}) AS TOTAL_DEBT,
-  round(AVG_CREDIT_UTILIZATION, {R6}) AS AVG_CREDIT_UTILIZATION, DAYS_LAST_CREDIT
-FROM bureau_feat
-"""
-
-BODIES["features_previous"] = f"""
-SELECT SK_ID_CURR, TOTAL_PREV_APPLICATIONS, APPROVED_APPLICATIONS, REFUSED_APPLICATIONS, CANCELED_APPLICATIONS,
-  round(AVG_PREV_APPLICATION_AMOUNT, {R6}) AS AVG_PREV_APPLICATION_AMOUNT, DAYS_LAST_DECISION,
-  round(APPROVAL_RATE, {R6}) AS APPROVAL_RATE
-FROM prev_feat
-"""
-
-BODIES["features_payment"] = f"""
-SELECT SK_ID_CURR, TOTAL_PAYMENTS,
-  round(AVG_PAYMENT_DIFFERENCE, {R6}) + 0.0 AS AVG_PAYMENT_DIFFERENCE,
-  round(AVG_DAYS_LATE, {R6}) + 0.0 AS AVG_DAYS_LATE,
-  LATE_PAYMENTS_COUNT, MAX_DAYS_LATE, round(LATE_PAYMENT_RATE, {R6}) AS LATE_PAYMENT_RATE
-FROM pay_feat
-"""
-
-WIDE_ROUNDED = ["AVG_CREDIT_AMOUNT", "TOTAL_DEBT", "AVG_CREDIT_UTILIZATION", "AVG_PREV_APPLICATION_AMOUNT",
-                "APPROVAL_RATE", "AVG_PAYMENT_DIFFERENCE", "AVG_DAYS_LATE", "LATE_PAYMENT_RATE"]
-
-BODIES["risk_wide"] = "SELECT * REPLACE (" + ", ".join(
-    f"round({c}, {R6}) + 0.0 AS {c}" for c in WIDE_ROUNDED) + ") FROM wide"
-
-# the sink round trip must give back the wide table unchanged
-BODIES["save_gold"] = BODIES["risk_wide"]
-
-BODIES["risk_slim"] = f"SELECT * REPLACE (round(TOTAL_DEBT, {R6}) AS TOTAL_DEBT) FROM slim"
-
-BODIES["stage_counts"] = """
-SELECT 'application_train_clean' AS STAGE, COUNT(*) AS ROW_COUNT FROM app
-UNION ALL SELECT 'bureau_clean', COUNT(*) FROM bur
-UNION ALL SELECT 'previous_application_clean', COUNT(*) FROM prev
-UNION ALL SELECT 'installments_payments_clean', COUNT(*) FROM inst
-UNION ALL SELECT 'bureau_balance_clean', COUNT(*) FROM bb
-UNION ALL SELECT 'bureau_features', COUNT(*) FROM bureau_feat
-UNION ALL SELECT 'prev_app_features', COUNT(*) FROM prev_feat
-UNION ALL SELECT 'payment_features', COUNT(*) FROM pay_feat
-UNION ALL SELECT 'master_dataset', COUNT(*) FROM wide
-"""
-
-BODIES["portfolio_summary"] = """
-SELECT COUNT(*) AS CUSTOMER_COUNT,
-  round(AVG(TARGET) * 100, 2) AS DEFAULT_RATE,
-  round(AVG(AGE_YEARS), 1) AS AVG_AGE,
-  round(AVG(AMT_INCOME_TOTAL), 0) AS AVG_INCOME,
-  round(AVG(AMT_CREDIT), 0) AS AVG_CREDIT
-FROM wide
-"""
-
-_COMPLETENESS = ["TARGET", "CODE_GENDER", "AGE_YEARS", "AMT_INCOME_TOTAL", "AMT_CREDIT", "NAME_EDUCATION_TYPE",
-                 "NAME_FAMILY_STATUS", "BUREAU_CREDIT_COUNT", "TOTAL_PREV_APPLICATIONS", "CREDIT_INCOME_RATIO"]
-BODIES["completeness"] = "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS FEATURE, COUNT({c}) AS NON_NULL_COUNT, COUNT(*) AS TOTAL_ROWS, "
-    f"round(COUNT({c}) * 100.0 / COUNT(*), 1) AS COMPLETENESS_PCT FROM wide"
-    for c in _COMPLETENESS
-)
-
-# ---- sample queries -----------------------------------------------------------
-
-BODIES["demo_by_age"] = """
-select g.AGE_GROUP, g.CUSTOMER_COUNT, round(g.r * 100, 2) as DEFAULT_RATE
-from (select AGE_GROUP, count(*) as CUSTOMER_COUNT, avg(TARGET) as r from wide group by AGE_GROUP) g
-order by DEFAULT_RATE desc
-"""
-
-BODIES["risk_by_income"] = """
-select g.INCOME_LEVEL, g.CUSTOMER_COUNT, round(g.r * 100, 2) as DEFAULT_RATE, round(g.c, 0) as AVG_LOAN_SIZE
-from (select INCOME_LEVEL, count(*) as CUSTOMER_COUNT, avg(TARGET) as r, avg(AMT_CREDIT) as c
-      from wide group by INCOME_LEVEL) g
-order by DEFAULT_RATE desc
-"""
-
-# ---- chapter 1 --------------------------------------------------------------------
-
-BODIES["age_distribution"] = """
-select b.AGE_GROUP, count(*) as CUSTOMER_COUNT,
-  round(cast(count(*) as double) * 100 / t.n, 2) as PERCENTAGE
-from (select y.yrs,
-        case when y.yrs between 18 and 25 then '18-25 (Young Adults)'
-             when y.yrs between 26 and 35 then '26-35 (Young Professionals)'
-             when y.yrs between 36 and 45 then '36-45 (Established Adults)'
-             when y.yrs between 46 and 55 then '46-55 (Middle-aged)'
-             when y.yrs between 56 and 65 then '56-65 (Pre-retirement)'
-             else '65+ (Senior Citizens)' end as AGE_GROUP
-      from (select floor(DAYS_BIRTH / 365.25) as yrs from app where DAYS_BIRTH is not null) y) b
-cross join (select count(*) as n from app) t
-group by b.AGE_GROUP, t.n
-order by min(b.yrs)
-"""
-
-BODIES["gender_mix"] = """
-select case g.code when 'M' then 'Male' when 'F' then 'Female' else 'Not Specified' end as GENDER,
-  g.CUSTOMER_COUNT, round(cast(g.CUSTOMER_COUNT as double) * 100 / t.n, 2) as PERCENTAGE
-from (select CODE_GENDER as code, count(*) as CUSTOMER_COUNT from app
-      where CODE_GENDER in ('M', 'F') group by CODE_GENDER) g
-cross join (select count(*) as n from app where CODE_GENDER in ('M', 'F')) t
-order by g.CUSTOMER_COUNT desc
-"""
-
-BODIES["income_distribution"] = """
-select b.INCOME_BRACKET, count(*) as CUSTOMER_COUNT, round(avg(b.inc), 0) as AVG_INCOME,
-  round(cast(count(*) as double) * 100 / t.n, 2) as PERCENTAGE
-from (select AMT_INCOME_TOTAL as inc,
-        case when AMT_INCOME_TOTAL <= 100000 then 'Low Income (≤100K)'
-             when AMT_INCOME_TOTAL <= 200000 then 'Lower Middle (100K-200K)'
-             when AMT_INCOME_TOTAL <= 300000 then 'Middle Income (200K-300K)'
-             when AMT_INCOME_TOTAL <= 500000 then 'Upper Middle (300K-500K)'
-             when AMT_INCOME_TOTAL <= 1000000 then 'High Income (500K-1M)'
-             else 'Very High Income (1M+)' end as INCOME_BRACKET
-      from app where AMT_INCOME_TOTAL > 0) b
-cross join (select count(AMT_INCOME_TOTAL) as n from app) t
-group by b.INCOME_BRACKET, t.n
-order by AVG_INCOME
-"""
-
-BODIES["education_employment"] = """
-select NAME_EDUCATION_TYPE as EDUCATION_LEVEL, NAME_INCOME_TYPE as EMPLOYMENT_TYPE,
-  count(*) as CUSTOMER_COUNT, round(avg(AMT_INCOME_TOTAL), 0) as AVG_INCOME
-from app
-where not (NAME_EDUCATION_TYPE is null or NAME_INCOME_TYPE is null or AMT_INCOME_TOTAL is null)
-group by all
-having count(*) >= 100
-order by EDUCATION_LEVEL, AVG_INCOME desc
-"""
-
-BODIES["top_occupations"] = """
-select g.JOB_CATEGORY, g.CUSTOMER_COUNT, round(cast(g.CUSTOMER_COUNT as double) * 100 / t.n, 2) as PERCENTAGE,
-  g.AVG_INCOME
-from (select OCCUPATION_TYPE as JOB_CATEGORY, count(*) as CUSTOMER_COUNT,
-             round(avg(AMT_INCOME_TOTAL), 0) as AVG_INCOME
-      from app where OCCUPATION_TYPE is not null group by OCCUPATION_TYPE) g
-cross join (select count(OCCUPATION_TYPE) as n from app) t
-order by g.CUSTOMER_COUNT desc, g.JOB_CATEGORY
-limit 15
-"""
-
-BODIES["salary_by_profession"] = """
-select OCCUPATION_TYPE as PROFESSION, count(*) as EMPLOYEE_COUNT,
-  round(avg(AMT_INCOME_TOTAL), 0) as AVERAGE_SALARY,
-  round(min(AMT_INCOME_TOTAL), 0) as MIN_SALARY,
-  round(max(AMT_INCOME_TOTAL), 0) as MAX_SALARY,
-  round(quantile_cont(AMT_INCOME_TOTAL, 0.5), 0) as MEDIAN_SALARY
-from app
-where OCCUPATION_TYPE is not null and AMT_INCOME_TOTAL > 0
-group by all
-having count(*) >= 100
-order by AVERAGE_SALARY desc
-"""
-
-# ---- chapter 2 --------------------------------------------------------------------
-
-BODIES["loan_size_distribution"] = """
-select b.LOAN_SIZE_CATEGORY, count(*) as APPLICATION_COUNT, round(avg(b.amt), 0) as AVG_LOAN_AMOUNT,
-  round(cast(count(*) as double) * 100 / t.n, 2) as PERCENTAGE
-from (select AMT_CREDIT as amt,
-        case when AMT_CREDIT <= 200000 then 'Small Loans (≤200K)'
-             when AMT_CREDIT <= 500000 then 'Medium Loans (200K-500K)'
-             when AMT_CREDIT <= 1000000 then 'Large Loans (500K-1M)'
-             when AMT_CREDIT <= 2000000 then 'Very Large Loans (1M-2M)'
-             else 'Jumbo Loans (2M+)' end as LOAN_SIZE_CATEGORY
-      from app where AMT_CREDIT > 0) b
-cross join (select count(AMT_CREDIT) as n from app) t
-group by b.LOAN_SIZE_CATEGORY, t.n
-order by AVG_LOAN_AMOUNT
-"""
-
-BODIES["loan_purpose"] = """
-select g.LOAN_TYPE, g.APPLICATION_COUNT, g.AVG_LOAN_AMOUNT,
-  round(cast(g.APPLICATION_COUNT as double) * 100 / t.n, 2) as PERCENTAGE
-from (select NAME_CONTRACT_TYPE as LOAN_TYPE, count(*) as APPLICATION_COUNT,
-             round(avg(AMT_CREDIT), 0) as AVG_LOAN_AMOUNT
-      from app where NAME_CONTRACT_TYPE is not null group by NAME_CONTRACT_TYPE) g
-cross join (select count(*) as n from app) t
-order by g.APPLICATION_COUNT desc
-"""
-
-BODIES["credit_to_income_rows"] = """
-select x.AMT_INCOME_TOTAL as ANNUAL_INCOME, x.AMT_CREDIT as CREDIT_REQUESTED,
-  round(x.q, 2) as CREDIT_TO_INCOME_RATIO,
-  case when x.q <= 1 then 'Conservative (≤1x Income)'
-       when x.q <= 2 then 'Moderate (1-2x Income)'
-       when x.q <= 3 then 'Aggressive (2-3x Income)'
-       else 'Very Aggressive (3x+ Income)' end as RISK_APPETITE
-from (select AMT_INCOME_TOTAL, AMT_CREDIT, AMT_CREDIT / AMT_INCOME_TOTAL as q
-      from app where AMT_INCOME_TOTAL > 0 and AMT_CREDIT > 0) x
-where x.q <= 10
-"""
-
-# ---- chapter 3 --------------------------------------------------------------------
-
-BODIES["application_outcomes"] = """
-select g.APPLICATION_STATUS, g.APPLICATION_COUNT,
-  round(cast(g.APPLICATION_COUNT as double) * 100 / t.n, 2) as PERCENTAGE,
-  g.AVG_REQUESTED_AMOUNT, g.AVG_APPROVED_AMOUNT
-from (select NAME_CONTRACT_STATUS as APPLICATION_STATUS, count(*) as APPLICATION_COUNT,
-             round(avg(AMT_APPLICATION), 0) as AVG_REQUESTED_AMOUNT, round(avg(AMT_CREDIT), 0) as AVG_APPROVED_AMOUNT
-      from prev where NAME_CONTRACT_STATUS is not null group by NAME_CONTRACT_STATUS) g
-cross join (select count(*) as n from prev) t
-order by g.APPLICATION_COUNT desc
-"""
-
-BODIES["rejection_reasons"] = """
-select coalesce(g.code, 'Not Specified') as REJECTION_REASON, g.REJECTION_COUNT,
-  round(cast(g.REJECTION_COUNT as double) * 100 / t.n, 2) as PERCENTAGE_OF_REJECTIONS,
-  g.AVG_REQUESTED_AMOUNT
-from (select CODE_REJECT_REASON as code, count(*) as REJECTION_COUNT,
-             round(avg(AMT_APPLICATION), 0) as AVG_REQUESTED_AMOUNT
-      from prev where NAME_CONTRACT_STATUS = 'Refused' group by CODE_REJECT_REASON) g
-cross join (select count(*) as n from prev where NAME_CONTRACT_STATUS = 'Refused') t
-order by g.REJECTION_COUNT desc, REJECTION_REASON, g.code nulls first
-limit 10
-"""
-
-BODIES["approval_by_size"] = """
-select c.APPLICATION_SIZE, c.STATUS, c.APPLICATION_COUNT,
-  round(cast(c.APPLICATION_COUNT as double) * 100 / s.n, 2) as PERCENTAGE
-from prev_size_status c
-join (select APPLICATION_SIZE, sum(APPLICATION_COUNT) as n from prev_size_status group by APPLICATION_SIZE) s
-  using (APPLICATION_SIZE)
-order by c.APPLICATION_SIZE, c.STATUS
-"""
-
-# ---- chapter 4 --------------------------------------------------------------------
-
-BODIES["credit_portfolio"] = """
-select g.CREDIT_PRODUCT_TYPE, g.STATUS, g.CREDIT_COUNT, g.AVG_CREDIT_AMOUNT,
-  round(cast(g.CREDIT_COUNT as double) * 100 / t.n, 2) as PERCENTAGE
-from (select CREDIT_TYPE as CREDIT_PRODUCT_TYPE, CREDIT_ACTIVE as STATUS, count(*) as CREDIT_COUNT,
-             round(avg(AMT_CREDIT_SUM), 0) as AVG_CREDIT_AMOUNT
-      from bur where CREDIT_TYPE is not null and CREDIT_ACTIVE is not null
-      group by CREDIT_TYPE, CREDIT_ACTIVE) g
-cross join (select count(*) as n from bur) t
-order by g.CREDIT_PRODUCT_TYPE, g.CREDIT_COUNT desc
-"""
-
-BODIES["payment_status"] = """
-select g.PAYMENT_STATUS, g.OCCURRENCE_COUNT,
-  round(cast(g.OCCURRENCE_COUNT as double) * 100 / t.n, 2) as PERCENTAGE,
-  case when g.PAYMENT_STATUS = 'C' then 'Paid Off (Closed)'
-       when g.PAYMENT_STATUS = '0' then 'On Time (0 Days)'
-       when g.PAYMENT_STATUS = '1' then 'Late 1-30 Days'
-       when g.PAYMENT_STATUS >= '2' then 'Late 30+ Days'
-       when g.PAYMENT_STATUS = '3' then 'Late 61-90 Days'
-       when g.PAYMENT_STATUS = '4' then 'Late 91-120 Days'
-       when g.PAYMENT_STATUS = '5' then 'Late 120+ Days'
-       else 'Other Status' end as PAYMENT_DESCRIPTION
-from (select STATUS as PAYMENT_STATUS, count(*) as OCCURRENCE_COUNT from bb
-      where STATUS is not null group by STATUS) g
-cross join (select count(STATUS) as n from bb) t
-order by g.OCCURRENCE_COUNT desc
-"""
-
-BODIES["credit_utilization"] = """
-select u.UTILIZATION_LEVEL, count(*) as CUSTOMER_COUNT, round(avg(u.ratio) * 100, 2) as AVG_UTILIZATION_PCT
-from (select r.ratio,
-        case when r.debt is null or r.total is null or r.total = 0 then 'No Data'
-             when r.ratio <= 0.1 then 'Very Low (0-10%)'
-             when r.ratio <= 0.3 then 'Low (10-30%)'
-             when r.ratio <= 0.5 then 'Moderate (30-50%)'
-             when r.ratio <= 0.7 then 'High (50-70%)'
-             when r.ratio <= 0.9 then 'Very High (70-90%)'
-             else 'Maxed Out (90%+)' end as UTILIZATION_LEVEL
-      from (select AMT_CREDIT_SUM_DEBT as debt, AMT_CREDIT_SUM as total,
-                   AMT_CREDIT_SUM_DEBT / AMT_CREDIT_SUM as ratio
-            from bur where AMT_CREDIT_SUM > 0 and AMT_CREDIT_SUM_DEBT >= 0) r) u
-group by u.UTILIZATION_LEVEL
-order by AVG_UTILIZATION_PCT
-"""
-
-# ---- chapter 5 --------------------------------------------------------------------
-
-BODIES["payment_timeliness"] = """
-select g.PAYMENT_TIMING, g.PAYMENT_COUNT,
-  round(cast(g.PAYMENT_COUNT as double) * 100 / t.n, 2) as PERCENTAGE, g.AVG_PAYMENT_AMOUNT
-from (select b.PAYMENT_TIMING, min(b.pos) as pos, count(*) as PAYMENT_COUNT,
-             round(avg(b.AMT_PAYMENT), 0) as AVG_PAYMENT_AMOUNT
-      from (select d.AMT_PAYMENT,
-              case when d.late <= -5 then 'Early (5+ days)'
-                   when d.late <= 0 then 'On Time'
-                   when d.late <= 5 then 'Slightly Late (1-5 days)'
-                   when d.late <= 15 then 'Late (6-15 days)'
-                   when d.late <= 30 then 'Very Late (16-30 days)'
-                   else 'Severely Late (30+ days)' end as PAYMENT_TIMING,
-              case when d.late <= -5 then 1 when d.late <= 0 then 2 when d.late <= 5 then 3
-                   when d.late <= 15 then 4 when d.late <= 30 then 5 else 6 end as pos
-            from (select AMT_PAYMENT, DAYS_ENTRY_PAYMENT - DAYS_INSTALMENT as late from inst
-                  where DAYS_ENTRY_PAYMENT is not null and DAYS_INSTALMENT is not null) d) b
-      group by b.PAYMENT_TIMING) g
-cross join (select count(*) as n from inst
-            where DAYS_ENTRY_PAYMENT is not null and DAYS_INSTALMENT is not null) t
-order by g.pos
-"""
-
-BODIES["payment_variance_rows"] = """
-select x.AMT_INSTALMENT as EXPECTED_PAYMENT, x.AMT_PAYMENT as ACTUAL_PAYMENT,
-  round((x.AMT_PAYMENT - x.AMT_INSTALMENT) / x.AMT_INSTALMENT * 100, 2) + 0.0 as PAYMENT_VARIANCE_PCT,
-  case when x.q >= 1.1 then 'Overpaid (10%+)'
-       when x.q >= 1.05 then 'Slightly Overpaid (5-10%)'
-       when x.q >= 0.95 then 'Paid as Expected'
-       when x.q >= 0.9 then 'Slightly Underpaid (5-10%)'
-       else 'Significantly Underpaid (10%+)' end as PAYMENT_CATEGORY
-from (select AMT_INSTALMENT, AMT_PAYMENT, AMT_PAYMENT / AMT_INSTALMENT as q from inst
-      where AMT_INSTALMENT > 0 and AMT_PAYMENT > 0 and AMT_INSTALMENT <= 100000) x
-"""
-
-# ---- chapter 6 (slim table) ---------------------------------------------------------
-
-BODIES["default_kpis"] = """
-select k.METRIC,
-  case k.METRIC when 'OVERALL_DEFAULT_RATE' then m.v_rate when 'AVG_LOAN_AMOUNT' then m.v_loan
-                when 'AVG_INCOME' then m.v_income else m.v_ratio end as VALUE,
-  k.UNIT, m.n as TOTAL_CUSTOMERS
-from (select count(*) as n, round(avg(TARGET) * 100, 2) as v_rate, round(avg(AMT_CREDIT), 0) as v_loan,
-             round(avg(AMT_INCOME_TOTAL), 0) as v_income, round(avg(CREDIT_INCOME_RATIO), 2) as v_ratio
-      from slim) m
-cross join (values ('OVERALL_DEFAULT_RATE', '%'), ('AVG_LOAN_AMOUNT', 'USD'), ('AVG_INCOME', 'USD'),
-                   ('AVG_CREDIT_INCOME_RATIO', 'X')) k(METRIC, UNIT)
-"""
-
-BODIES["risk_matrix"] = """
-select AGE_GROUP, INCOME_CATEGORY, count(*) as CUSTOMER_COUNT, round(avg(TARGET) * 100, 2) as DEFAULT_RATE,
-  round(avg(AMT_CREDIT), 0) as AVG_LOAN_SIZE, round(avg(CREDIT_INCOME_RATIO), 2) as AVG_CREDIT_RATIO
-from slim
-group by all
-having count(*) >= 100
-order by DEFAULT_RATE desc
-"""
-
-BODIES["history_impact"] = """
-select h.CREDIT_HISTORY_LEVEL, round(avg(h.TARGET) * 100, 2) as DEFAULT_RATE, count(*) as CUSTOMER_COUNT,
-  round(avg(h.AMT_CREDIT), 0) as AVG_LOAN_AMOUNT, round(avg(h.ACTIVE_CREDITS), 1) as AVG_ACTIVE_CREDITS
-from (select TARGET, AMT_CREDIT, ACTIVE_CREDITS,
-        case when BUREAU_CREDITS = 0 then 'No Credit History'
-             when BUREAU_CREDITS <= 2 then 'Limited History (1-2)'
-             when BUREAU_CREDITS <= 5 then 'Moderate History (3-5)'
-             when BUREAU_CREDITS <= 10 then 'Extensive History (6-10)'
-             else 'Very Extensive (10+)' end as CREDIT_HISTORY_LEVEL
-      from slim) h
-group by h.CREDIT_HISTORY_LEVEL
-order by DEFAULT_RATE desc
-"""
-
-BODIES["ratio_by_history"] = """
-select round(CREDIT_INCOME_RATIO, 1) as CREDIT_TO_INCOME_RATIO,
-  round(avg(TARGET) filter (where BUREAU_CREDITS = 0) * 100, 2) as NO_HISTORY_DEFAULT_RATE,
-  round(avg(TARGET) filter (where BUREAU_CREDITS >= 1 and BUREAU_CREDITS <= 5) * 100, 2) as SOME_HISTORY_DEFAULT_RATE,
-  round(avg(TARGET) filter (where BUREAU_CREDITS > 5) * 100, 2) as EXTENSIVE_HISTORY_DEFAULT_RATE,
-  count(*) as TOTAL_CUSTOMERS
-from slim
-where CREDIT_INCOME_RATIO >= 0.5 and CREDIT_INCOME_RATIO <= 5.0
-group by 1
-having count(*) >= 50
-order by 1
-"""
-
-BODIES["education_employment_risk"] = """
-select NAME_EDUCATION_TYPE as EDUCATION, NAME_INCOME_TYPE as EMPLOYMENT, count(*) as CUSTOMER_COUNT,
-  round(avg(TARGET) * 100, 2) as DEFAULT_RATE, round(avg(AMT_INCOME_TOTAL), 0) as AVG_INCOME,
-  round(avg(AMT_CREDIT), 0) as AVG_LOAN_SIZE
-from slim
-where not (NAME_EDUCATION_TYPE is null or NAME_INCOME_TYPE is null)
-group by all
-having count(*) >= 100
-order by DEFAULT_RATE desc
-"""
-
-BODIES["family_risk"] = """
-select f.FAMILY_STATUS, f.CHILDREN_CATEGORY, count(*) as CUSTOMER_COUNT, round(avg(f.TARGET) * 100, 2) as DEFAULT_RATE,
-  round(avg(f.AMT_INCOME_TOTAL), 0) as AVG_INCOME, round(avg(f.CREDIT_INCOME_RATIO), 2) as AVG_CREDIT_RATIO
-from (select NAME_FAMILY_STATUS as FAMILY_STATUS, TARGET, AMT_INCOME_TOTAL, CREDIT_INCOME_RATIO,
-        case CNT_CHILDREN when 0 then 'No Children' when 1 then '1 Child' when 2 then '2 Children'
-             else '3+ Children' end as CHILDREN_CATEGORY
-      from slim where NAME_FAMILY_STATUS is not null) f
-group by f.FAMILY_STATUS, f.CHILDREN_CATEGORY
-having count(*) >= 50
-order by f.FAMILY_STATUS, DEFAULT_RATE desc
-"""
-
-BODIES["prior_application_risk"] = """
-select h.APPLICATION_HISTORY, round(avg(h.TARGET) * 100, 2) as DEFAULT_RATE,
-  round(avg(h.HISTORICAL_APPROVAL_RATE), 2) as AVG_HISTORICAL_APPROVAL_RATE,
-  count(*) as CUSTOMER_COUNT, round(avg(h.AMT_CREDIT), 0) as AVG_CURRENT_LOAN
-from (select TARGET, HISTORICAL_APPROVAL_RATE, AMT_CREDIT, PREV_APPLICATIONS,
-        case when PREV_APPLICATIONS = 0 then 'First Time Customer'
-             when PREV_APPLICATIONS = 1 then '1 Previous Application'
-             when PREV_APPLICATIONS between 2 and 3 then '2-3 Previous Applications'
-             when PREV_APPLICATIONS between 4 and 6 then '4-6 Previous Applications'
-             else '7+ Previous Applications' end as APPLICATION_HISTORY
-      from slim) h
-group by h.APPLICATION_HISTORY
-having count(*) >= 100
-order by avg(h.PREV_APPLICATIONS)
-"""
-
-BODIES["risk_score"] = """
-select g.RISK_CATEGORY, g.CUSTOMER_COUNT, g.ACTUAL_DEFAULT_RATE,
-  round(cast(g.CUSTOMER_COUNT as double) * 100 / t.n, 2) as PERCENTAGE_OF_PORTFOLIO, g.AVG_RISK_SCORE
-from (select RISK_CATEGORY, count(*) as CUSTOMER_COUNT, round(avg(TARGET) * 100, 2) as ACTUAL_DEFAULT_RATE,
-             round(avg(TOTAL_RISK_SCORE), 1) as AVG_RISK_SCORE
-      from scored group by RISK_CATEGORY) g
-cross join (select count(*) as n from scored) t
-order by g.AVG_RISK_SCORE
-"""
-
-BODIES["risk_score_rows"] = "select * from scored"
-
-BODIES["exec_summary"] = """
-select k.METRIC,
-  case k.pos
-    when 1 then format('{:,}', cast(round_even(m.total_credit, 0) as bigint))
-    when 2 then format('{:,}', cast(round_even(m.credit_at_risk, 0) as bigint))
-    when 3 then cast(round(m.default_rate * 100, 2) as varchar) || '%'
-    else cast(round(100.0 * cast(m.new_n as double) / (m.new_n + m.old_n), 1) as varchar) || '% New'
-  end as VALUE,
-  k.DESCRIPTION
-from (select sum(AMT_CREDIT) as total_credit,
-             sum(case when TARGET = 1 then AMT_CREDIT else 0 end) as credit_at_risk,
-             avg(TARGET) as default_rate,
-             count(*) filter (where BUREAU_CREDITS = 0) as new_n,
-             count(*) filter (where BUREAU_CREDITS > 0) as old_n
-      from slim) m
-cross join (values (1, 'Total Portfolio Value', 'Credit issued to all customers'),
-                   (2, 'Credit at Risk', 'Credit issued to customers who defaulted'),
-                   (3, 'Overall Default Rate', 'Percentage of customers who defaulted'),
-                   (4, 'New vs Existing Split', 'First-time customers vs customers with credit history'))
-  k(pos, METRIC, DESCRIPTION)
-"""
+# ---- sources, sinks, inspection ------------------------------------------------------------
+
+# the files carry one column more than declared, and it must be kept
+BODIES["load_tables"] = UNION.join(
+    q for t, src in RAW_SOURCE.items()
+    for q in column_profile(t, src, _text(t)) + [f"SELECT '{t}', 'SOURCE_NOTE', COUNT(*), NULL, NULL, MIN('kept, \"as is\"'), MAX('kept, \"as is\"') FROM {src}"])
+BODIES["profile_tables"] = UNION.join(
+    f"SELECT '{t}' AS TABLE_NAME, COUNT(*) AS ROW_COUNT, CAST({len(RAW_TYPES[t])} AS BIGINT) AS COLUMN_COUNT FROM {src}" for t, src in RAW_SOURCE.items())
+BODIES["schema_listing"] = UNION.join(
+    f"SELECT '{t}' AS TABLE_NAME, {i} AS POSITION, '{c}' AS COLUMN_NAME, '{kind}' AS DATA_TYPE, COUNT({c}) AS NON_NULL_COUNT FROM {src}"
+    for t, src in RAW_SOURCE.items() for i, (c, kind) in enumerate(RAW_TYPES[t].items(), 1))
+for _key, _table, _order in [("preview", "application_train", "SK_ID_CURR"), ("preview_bureau", "bureau", "SK_ID_BUREAU"),
+                             ("preview_bureau_balance", "bureau_balance", "SK_ID_BUREAU, MONTHS_BALANCE, STATUS NULLS FIRST"),
+                             ("preview_previous", "previous_application", "SK_ID_PREV"), ("preview_installments", "installments_payments", "SK_ID_PREV")]:
+    BODIES[_key] = f"SELECT * FROM {RAW_SOURCE[_table]} ORDER BY {_order} LIMIT 20"
+BODIES["save_gold"] = UNION.join(
+    [q for t, src in CLEAN_SOURCE.items() for q in column_profile(t, src, _text(t) | {c: False for c in ADDED_BY_CLEANING[t]})]
+    + column_profile("master_dataset", "wide", _text("application_train") | {c: False for c in ADDED_BY_CLEANING["application_train"]}
+                     | {c: False for group in (FILLED, UNFILLED) for cs in group.values() for c in cs} | {c: True for c in WIDE_BANDS}))
+BODIES["master_views"] = UNION.join(
+    f"SELECT '{name}' AS MASTER, AGE_GROUP, COUNT(*) AS CUSTOMER_COUNT, {percent('TARGET')} AS DEFAULT_RATE FROM {name} GROUP BY ALL" for name in ("wide", "slim"))
+
+# ---- cleaners, features, risk tables ---------------------------------------------------------
+
+for _key, _source in [("clean_application", "app"), ("clean_bureau", "bur"), ("clean_previous", "prev"), ("clean_installments", "inst"), ("clean_bureau_balance", "bb")]:
+    BODIES[_key] = f"SELECT * FROM {_source}"
+
+
+def _rounded(source: str, columns: list[str]) -> str:
+    return "SELECT * REPLACE (" + select({c: f"ROUND({c}, {R6}) + 0.0" for c in columns}) + f") FROM {source}"
+
+
+BODIES["features_bureau"] = _rounded("bureau_feat", WIDE_DOUBLES[:3])
+BODIES["features_previous"] = _rounded("prev_feat", WIDE_DOUBLES[3:5])
+BODIES["features_payment"] = _rounded("pay_feat", WIDE_DOUBLES[5:])
+BODIES["risk_wide"] = _rounded("wide", WIDE_DOUBLES)
+BODIES["risk_slim"] = _rounded("slim", ["TOTAL_DEBT"])
+BODIES["risk_score_rows"] = "SELECT * FROM scored"
+BODIES["stage_counts"] = UNION.join(f"SELECT '{stage}' AS STAGE, COUNT(*) AS ROW_COUNT FROM {source}" for stage, source in [
+    ("application_train_clean", "app"), ("bureau_clean", "bur"), ("previous_application_clean", "prev"), ("installments_payments_clean", "inst"),
+    ("bureau_balance_clean", "bb"), ("bureau_features", "bureau_feat"), ("prev_app_features", "prev_feat"), ("payment_features", "pay_feat"), ("master_dataset", "wide")])
+BODIES["portfolio_summary"] = "SELECT " + select({
+    "CUSTOMER_COUNT": "COUNT(*)", "DEFAULT_RATE": percent("TARGET"), "AVG_AGE": avg("AGE_YEARS", 1), "AVG_INCOME": avg("AMT_INCOME_TOTAL"), "AVG_CREDIT": avg("AMT_CREDIT")}) + " FROM wide"
+BODIES["completeness"] = UNION.join(
+    f"SELECT '{c}' AS FEATURE, COUNT({c}) AS NON_NULL_COUNT, COUNT(*) AS TOTAL_ROWS, ROUND(COUNT({c}) * 100.0 / COUNT(*), 1) AS COMPLETENESS_PCT FROM wide" for c in KEY_FEATURES)
+
+# ---- reports on the wide table and the cleaned tables -----------------------------------------
+
+RATE = {"DEFAULT_RATE": percent("TARGET")}
+BODIES["demo_by_age"] = by("wide", {"AGE_GROUP": "AGE_GROUP"}, "CUSTOMER_COUNT", RATE)
+BODIES["risk_by_income"] = by("wide", {"INCOME_LEVEL": "INCOME_LEVEL"}, "CUSTOMER_COUNT", RATE | {"AVG_LOAN_SIZE": avg("AMT_CREDIT")})
+BODIES["age_distribution"] = share(by("app", {"AGE_GROUP": within("AGE_YEARS", AGE_DISTRIBUTION)}, "CUSTOMER_COUNT", where="DAYS_BIRTH IS NOT NULL"), "CUSTOMER_COUNT", "app")
+BODIES["gender_mix"] = share(by("app", {"GENDER": within("CODE_GENDER", GENDER)}, "CUSTOMER_COUNT", where="CODE_GENDER IN ('M', 'F')"), "CUSTOMER_COUNT", "app WHERE CODE_GENDER IN ('M', 'F')")
+BODIES["income_distribution"] = share(
+    by("app", {"INCOME_BRACKET": up_to("AMT_INCOME_TOTAL", INCOME)}, "CUSTOMER_COUNT", {"AVG_INCOME": avg("AMT_INCOME_TOTAL")}, "AMT_INCOME_TOTAL > 0"), "CUSTOMER_COUNT", "app WHERE AMT_INCOME_TOTAL IS NOT NULL")
+BODIES["education_employment"] = by(
+    "app", {"EDUCATION_LEVEL": "NAME_EDUCATION_TYPE", "EMPLOYMENT_TYPE": "NAME_INCOME_TYPE"}, "CUSTOMER_COUNT", {"AVG_INCOME": avg("AMT_INCOME_TOTAL")},
+    "NAME_EDUCATION_TYPE IS NOT NULL AND NAME_INCOME_TYPE IS NOT NULL AND AMT_INCOME_TOTAL IS NOT NULL", 100)
+BODIES["top_occupations"] = share(
+    by("app", {"JOB_CATEGORY": "OCCUPATION_TYPE"}, "CUSTOMER_COUNT", {"AVG_INCOME": avg("AMT_INCOME_TOTAL")}, "OCCUPATION_TYPE IS NOT NULL"),
+    "CUSTOMER_COUNT", "app WHERE OCCUPATION_TYPE IS NOT NULL") + " ORDER BY CUSTOMER_COUNT DESC, JOB_CATEGORY LIMIT 15"
+BODIES["salary_by_profession"] = by(
+    "app", {"PROFESSION": "OCCUPATION_TYPE"}, "EMPLOYEE_COUNT",
+    {"AVERAGE_SALARY": avg("AMT_INCOME_TOTAL"), "MIN_SALARY": "ROUND(MIN(AMT_INCOME_TOTAL), 0)", "MAX_SALARY": "ROUND(MAX(AMT_INCOME_TOTAL), 0)",
+     "MEDIAN_SALARY": "ROUND(quantile_cont(AMT_INCOME_TOTAL, 0.5), 0)"}, "OCCUPATION_TYPE IS NOT NULL AND AMT_INCOME_TOTAL > 0", 100)
+BODIES["loan_size_distribution"] = share(
+    by("app", {"LOAN_SIZE_CATEGORY": up_to("AMT_CREDIT", CREDIT_SIZE)}, "APPLICATION_COUNT", {"AVG_LOAN_AMOUNT": avg("AMT_CREDIT")}, "AMT_CREDIT > 0"), "APPLICATION_COUNT", "app WHERE AMT_CREDIT IS NOT NULL")
+BODIES["loan_purpose"] = share(
+    by("app", {"LOAN_TYPE": "NAME_CONTRACT_TYPE"}, "APPLICATION_COUNT", {"AVG_LOAN_AMOUNT": avg("AMT_CREDIT")}, "NAME_CONTRACT_TYPE IS NOT NULL"), "APPLICATION_COUNT", "app")
+BODIES["credit_to_income_rows"] = "SELECT " + select({
+    "ANNUAL_INCOME": "AMT_INCOME_TOTAL", "CREDIT_REQUESTED": "AMT_CREDIT", "CREDIT_TO_INCOME_RATIO": "ROUND(CREDIT_INCOME_RATIO, 2)",
+    "RISK_APPETITE": up_to("CREDIT_INCOME_RATIO", CREDIT_TO_INCOME)}) + " FROM app WHERE AMT_INCOME_TOTAL > 0 AND AMT_CREDIT > 0 AND CREDIT_INCOME_RATIO <= 10"
+BODIES["application_outcomes"] = share(
+    by("prev", {"APPLICATION_STATUS": "NAME_CONTRACT_STATUS"}, "APPLICATION_COUNT", {"AVG_REQUESTED_AMOUNT": avg("AMT_APPLICATION"), "AVG_APPROVED_AMOUNT": avg("AMT_CREDIT")},
+       "NAME_CONTRACT_STATUS IS NOT NULL"), "APPLICATION_COUNT", "prev")
+BODIES["rejection_reasons"] = "SELECT COALESCE(CODE, 'Not Specified') AS REJECTION_REASON, * EXCLUDE (CODE) FROM (" + share(
+    by("prev", {"CODE": "CODE_REJECT_REASON"}, "REJECTION_COUNT", {"AVG_REQUESTED_AMOUNT": avg("AMT_APPLICATION")}, "NAME_CONTRACT_STATUS = 'Refused'"),
+    "REJECTION_COUNT", "prev WHERE NAME_CONTRACT_STATUS = 'Refused'", "PERCENTAGE_OF_REJECTIONS") + ") ORDER BY REJECTION_COUNT DESC, REJECTION_REASON, CODE NULLS FIRST LIMIT 10"
+BODIES["approval_by_size"] = (
+    "SELECT *, ROUND(CAST(APPLICATION_COUNT AS DOUBLE) * 100 / SUM(APPLICATION_COUNT) OVER (PARTITION BY APPLICATION_SIZE), 2) AS PERCENTAGE FROM ("
+    + by("prev", {"APPLICATION_SIZE": up_to("AMT_APPLICATION", APPLICATION_SIZE), "STATUS": "NAME_CONTRACT_STATUS"}, "APPLICATION_COUNT",
+         where="AMT_APPLICATION IS NOT NULL AND NAME_CONTRACT_STATUS IS NOT NULL") + ")")
+BODIES["credit_portfolio"] = share(
+    by("bur", {"CREDIT_PRODUCT_TYPE": "CREDIT_TYPE", "STATUS": "CREDIT_ACTIVE"}, "CREDIT_COUNT", {"AVG_CREDIT_AMOUNT": avg("AMT_CREDIT_SUM")},
+       "CREDIT_TYPE IS NOT NULL AND CREDIT_ACTIVE IS NOT NULL"), "CREDIT_COUNT", "bur")
+BODIES["payment_status"] = share(
+    by("bb", {"PAYMENT_STATUS": "STATUS", "PAYMENT_DESCRIPTION": case([(f"STATUS {t}", v) for t, v in STATUS[0]], STATUS[1])}, "OCCURRENCE_COUNT", where="STATUS IS NOT NULL"),
+    "OCCURRENCE_COUNT", "bb WHERE STATUS IS NOT NULL")
+BODIES["credit_utilization"] = by(
+    "bur", {"UTILIZATION_LEVEL": up_to("(AMT_CREDIT_SUM_DEBT / AMT_CREDIT_SUM)", UTILIZATION)}, "CUSTOMER_COUNT",
+    {"AVG_UTILIZATION_PCT": percent("AMT_CREDIT_SUM_DEBT / AMT_CREDIT_SUM")}, "AMT_CREDIT_SUM > 0 AND AMT_CREDIT_SUM_DEBT >= 0")
+BODIES["payment_timeliness"] = share(
+    by("inst", {"PAYMENT_TIMING": up_to("DAYS_LATE", TIMING)}, "PAYMENT_COUNT", {"AVG_PAYMENT_AMOUNT": avg("AMT_PAYMENT")}, "DAYS_LATE IS NOT NULL"),
+    "PAYMENT_COUNT", "inst WHERE DAYS_LATE IS NOT NULL")
+BODIES["payment_variance_rows"] = "SELECT " + select({
+    "EXPECTED_PAYMENT": "AMT_INSTALMENT", "ACTUAL_PAYMENT": "AMT_PAYMENT",
+    "PAYMENT_VARIANCE_PCT": "ROUND((AMT_PAYMENT - AMT_INSTALMENT) / AMT_INSTALMENT * 100, 2) + 0.0",
+    "PAYMENT_CATEGORY": at_least("(AMT_PAYMENT / AMT_INSTALMENT)", VARIANCE)}) + " FROM inst WHERE AMT_INSTALMENT > 0 AND AMT_PAYMENT > 0 AND AMT_INSTALMENT <= 100000"
+
+# ---- reports on the slim table ------------------------------------------------------------------
+
+BODIES["default_kpis"] = UNION.join(
+    f"SELECT '{name}' AS METRIC, {value} AS VALUE, '{unit}' AS UNIT, COUNT(*) AS TOTAL_CUSTOMERS FROM slim" for name, value, unit in [
+        ("OVERALL_DEFAULT_RATE", percent("TARGET"), "%"), ("AVG_LOAN_AMOUNT", avg("AMT_CREDIT"), "USD"),
+        ("AVG_INCOME", avg("AMT_INCOME_TOTAL"), "USD"), ("AVG_CREDIT_INCOME_RATIO", avg("CREDIT_INCOME_RATIO", 2), "X")])
+BODIES["risk_matrix"] = by("slim", {"AGE_GROUP": "AGE_GROUP", "INCOME_CATEGORY": "INCOME_CATEGORY"}, "CUSTOMER_COUNT",
+                           RATE | {"AVG_LOAN_SIZE": avg("AMT_CREDIT"), "AVG_CREDIT_RATIO": avg("CREDIT_INCOME_RATIO", 2)}, at_least_rows=100)
+BODIES["history_impact"] = by("slim", {"CREDIT_HISTORY_LEVEL": up_to("BUREAU_CREDITS", HISTORY)}, "CUSTOMER_COUNT",
+                              RATE | {"AVG_LOAN_AMOUNT": avg("AMT_CREDIT"), "AVG_ACTIVE_CREDITS": avg("ACTIVE_CREDITS", 1)})
+BODIES["ratio_by_history"] = by("slim", {"CREDIT_TO_INCOME_RATIO": "ROUND(CREDIT_INCOME_RATIO, 1)"}, "TOTAL_CUSTOMERS", {
+    f"{name}_DEFAULT_RATE": f"ROUND(AVG(TARGET) FILTER (WHERE {test}) * 100, 2)" for name, test in [
+        ("NO_HISTORY", "BUREAU_CREDITS = 0"), ("SOME_HISTORY", "BUREAU_CREDITS BETWEEN 1 AND 5"), ("EXTENSIVE_HISTORY", "BUREAU_CREDITS > 5")]},
+    "CREDIT_INCOME_RATIO BETWEEN 0.5 AND 5.0", 50)
+BODIES["education_employment_risk"] = by(
+    "slim", {"EDUCATION": "NAME_EDUCATION_TYPE", "EMPLOYMENT": "NAME_INCOME_TYPE"}, "CUSTOMER_COUNT",
+    RATE | {"AVG_INCOME": avg("AMT_INCOME_TOTAL"), "AVG_LOAN_SIZE": avg("AMT_CREDIT")}, "NAME_EDUCATION_TYPE IS NOT NULL AND NAME_INCOME_TYPE IS NOT NULL", 100)
+BODIES["family_risk"] = by(
+    "slim", {"FAMILY_STATUS": "NAME_FAMILY_STATUS", "CHILDREN_CATEGORY": within("CNT_CHILDREN", CHILDREN)}, "CUSTOMER_COUNT",
+    RATE | {"AVG_INCOME": avg("AMT_INCOME_TOTAL"), "AVG_CREDIT_RATIO": avg("CREDIT_INCOME_RATIO", 2)}, "NAME_FAMILY_STATUS IS NOT NULL", 50)
+BODIES["prior_application_risk"] = by(
+    "slim", {"APPLICATION_HISTORY": within("PREV_APPLICATIONS", PRIOR)}, "CUSTOMER_COUNT",
+    RATE | {"AVG_HISTORICAL_APPROVAL_RATE": avg("HISTORICAL_APPROVAL_RATE", 2), "AVG_CURRENT_LOAN": avg("AMT_CREDIT")}, at_least_rows=100)
+BODIES["risk_score"] = share(by("scored", {"RISK_CATEGORY": "RISK_CATEGORY"}, "CUSTOMER_COUNT", {"ACTUAL_DEFAULT_RATE": percent("TARGET"), "AVG_RISK_SCORE": avg("TOTAL_RISK_SCORE", 1)}),
+                             "CUSTOMER_COUNT", "scored", "PERCENTAGE_OF_PORTFOLIO")
+
+
+def _money(x: str) -> str:
+    return f"format('{{:,}}', CAST(round_even({x}, 0) AS BIGINT))"
+
+
+BODIES["exec_summary"] = UNION.join(
+    f"SELECT '{name}' AS METRIC, {value} AS VALUE, '{text}' AS DESCRIPTION FROM slim" for name, value, text in [
+        ("Total Portfolio Value", _money("SUM(AMT_CREDIT)"), "Credit issued to all customers"),
+        ("Credit at Risk", _money("SUM(CASE WHEN TARGET = 1 THEN AMT_CREDIT ELSE 0 END)"), "Credit issued to customers who defaulted"),
+        ("Overall Default Rate", f"CAST({percent('TARGET')} AS VARCHAR) || '%'", "Percentage of customers who defaulted"),
+        ("New vs Existing Split", f"CAST(ROUND(100.0 * CAST({count_if('BUREAU_CREDITS = 0')} AS DOUBLE) / COUNT(*), 1) AS VARCHAR) || '% New'",
+         "First-time customers vs customers with credit history")])
 
 
 def oracle_sql() -> dict[str, str]:

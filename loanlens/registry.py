@@ -11,18 +11,16 @@ comparison; the library functions themselves return full precision.
 from __future__ import annotations
 
 import os
-import uuid
-import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import quality
+from .plans import gold, quality
 from .plans.context import LendingData
 from .plans.reports import REPORTS
 from .sources import catalog, csv, sinks
-from .sources.schemas import APPLICATION_TRAIN
+from .sources.schemas import TABLE_FILES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,27 +35,26 @@ def _rounded(df: DataFrame, cols: list[str], digits: int = R6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
 
 
-_CONTEXTS: "weakref.WeakKeyDictionary[SparkSession, dict[str, LendingData]]" = weakref.WeakKeyDictionary()
-
-
 def ctx_for(spark: SparkSession, sf_dir: str) -> LendingData:
-    """The session's ``LendingData`` for ``sf_dir``, built once per session.
+    """The session's ``LendingData`` for ``sf_dir``, built once per session and kept on it.
 
     Only lazy plan objects are kept (like tables registered once per session);
     no data is cached, every query still reads the parquet files."""
-    per_session = _CONTEXTS.setdefault(spark, {})
-    key = os.path.abspath(sf_dir)
-    if key not in per_session:
-        per_session[key] = LendingData.from_fixtures(spark, sf_dir)
-    return per_session[key]
+    kept = spark.__dict__.setdefault("_loanlens_contexts", {})
+    if sf_dir not in kept:
+        kept[sf_dir] = LendingData.from_fixtures(spark, sf_dir)
+    return kept[sf_dir]
 
 
 def load_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CSV source round trip: the application table is written as headed CSV to
-    the shared scratch folder and read back with the declared schema."""
-    path = sinks.scratch_path(spark, "load_tables", uuid.uuid4().hex)
-    ctx_for(spark, sf_dir).raw["application_train"].write.option("header", "true").csv(path)
-    return csv.read_table(spark, path, schema=APPLICATION_TRAIN)
+    """CSV source round trip of all eight tables: written as headed CSV with the columns in
+    another order and one more than declared, read back by name, and profiled."""
+    folder = sinks.scratch_path(spark, "load_tables")
+    for name, df in ctx_for(spark, sf_dir).raw.items():
+        columns = [F.col(c) for c in reversed(df.columns)]
+        noted = df.select(*columns[:1], F.lit('kept, "as is"').alias("SOURCE_NOTE"), *columns[1:])
+        noted.write.mode("overwrite").option("header", "true").option("escape", '"').csv(os.path.join(folder, TABLE_FILES[name]))
+    return catalog.column_profile(csv.read_tables(spark, folder)).drop("POSITION", "DATA_TYPE")
 
 
 def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,21 +62,32 @@ def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.schema_listing(spark, ctx_for(spark, sf_dir).raw)
+    return catalog.schema_listing(ctx_for(spark, sf_dir).raw)
 
 
-def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.preview(ctx_for(spark, sf_dir).raw["application_train"], 20)
+def _preview(table: str, *keys: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return catalog.preview(ctx_for(spark, sf_dir).raw[table], keys, 20)
+    return run
 
 
 def save_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sink round trip: the wide table is written as a parquet table (external,
-    under the shared scratch folder) and read back from the catalog."""
-    ctx = ctx_for(spark, sf_dir)
-    name = f"master_dataset_{uuid.uuid4().hex[:12]}"
-    path = sinks.scratch_path(spark, "gold", name)
-    qualified = sinks.save(ctx.wide, name, fmt="parquet", database="loanlens_gold", path=path)
-    return _rounded(spark.table(qualified), WIDE_DOUBLES)
+    """Sink round trip: the five cleaned tables and the wide table are written as tables
+    (overwriting those of the last run), read back from the catalog, and profiled."""
+    names = gold.build_tables(ctx_for(spark, sf_dir), "loanlens_gold")
+    return catalog.column_profile({k: spark.table(v) for k, v in names.items()}).drop("POSITION", "DATA_TYPE")
+
+
+def master_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL on the views: customers and default rate by age group of ``master_risk_data``,
+    first as the wide table, then as the slim one."""
+    parts = []
+    for master in ("wide", "slim"):
+        ctx_for(spark, sf_dir).register_views(master=master)
+        parts.append(spark.sql(f"""
+            SELECT '{master}' AS MASTER, AGE_GROUP, COUNT(*) AS CUSTOMER_COUNT, ROUND(AVG(TARGET) * 100, 2) AS DEFAULT_RATE
+            FROM master_risk_data GROUP BY AGE_GROUP"""))
+    return parts[0].unionByName(parts[1])
 
 
 def _from_ctx(fn: Callable[[LendingData], DataFrame]) -> Query:
@@ -94,8 +102,13 @@ QUERIES: dict[str, Query] = {
     "load_tables": load_tables,
     "profile_tables": profile_tables,
     "schema_listing": schema_listing,
-    "preview": preview,
+    "preview": _preview("application_train", "SK_ID_CURR"),
+    "preview_bureau": _preview("bureau", "SK_ID_BUREAU"),
+    "preview_bureau_balance": _preview("bureau_balance", "SK_ID_BUREAU", "MONTHS_BALANCE", "STATUS"),
+    "preview_previous": _preview("previous_application", "SK_ID_PREV"),
+    "preview_installments": _preview("installments_payments", "SK_ID_PREV"),
     "save_gold": save_gold,
+    "master_views": master_views,
     "clean_application": _from_ctx(lambda c: c.application),
     "clean_bureau": _from_ctx(lambda c: c.bureau),
     "clean_previous": _from_ctx(lambda c: c.previous),
@@ -111,6 +124,3 @@ QUERIES: dict[str, Query] = {
     "completeness": _from_ctx(quality.completeness),
     **{name: _from_ctx(fn) for name, fn in REPORTS.items()},
 }
-
-# Catalog / sink queries without an SQL oracle (metadata, a lazy preview).
-NO_ORACLE = {"schema_listing", "preview"}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,20 +23,33 @@ def profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def schema_listing(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per (table, column): TABLE_NAME, POSITION, COLUMN_NAME, DATA_TYPE, NULLABLE.
+def column_profile(tables: Mapping[str, DataFrame], digits: int = 6) -> DataFrame:
+    """One row per (table, column): TABLE_NAME, POSITION, COLUMN_NAME, DATA_TYPE, NON_NULL_COUNT and the
+    least and greatest value (MIN_NUMBER, MAX_NUMBER, rounded to ``digits``, or MIN_TEXT, MAX_TEXT).
 
-    Built from each table's resolved schema (metadata only, no job on the data).
+    One aggregate per table, turned into rows; nothing is gathered on the driver.
     """
-    rows = [
-        (name, i + 1, f.name, f.dataType.simpleString(), f.nullable)
-        for name, df in tables.items()
-        for i, f in enumerate(df.schema.fields)
-    ]
-    return spark.createDataFrame(
-        rows, "TABLE_NAME string, POSITION int, COLUMN_NAME string, DATA_TYPE string, NULLABLE boolean")
-
-
-def preview(df: DataFrame, n: int = 20) -> DataFrame:
-    """First ``n`` rows of a table, lazily (the notebook's display)."""
-    return df.limit(n)
+    def one(name: str, df: DataFrame) -> DataFrame:
+        aggs, rows = [], []
+        for i, f in enumerate(df.schema.fields):
+            c, text = F.col(f"`{f.name}`"), f.dataType.typeName() == "string"
+            aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+            number = lambda x: F.lit(None).cast("double") if text else F.round(F.col(x).cast("double"), digits)  # noqa: E731, B023
+            word = lambda x: F.col(x) if text else F.lit(None).cast("string")  # noqa: E731, B023
+            rows.append(F.struct(
+                F.lit(i + 1).alias("POSITION"), F.lit(f.name).alias("COLUMN_NAME"), F.lit(f.dataType.simpleString()).alias("DATA_TYPE"),
+                F.col(f"n{i}").alias("NON_NULL_COUNT"), number(f"lo{i}").alias("MIN_NUMBER"), number(f"hi{i}").alias("MAX_NUMBER"),
+                word(f"lo{i}").alias("MIN_TEXT"), word(f"hi{i}").alias("MAX_TEXT")))
+        return df.agg(*aggs).select(F.lit(name).alias("TABLE_NAME"), F.inline(F.array(*rows)))
+
+    return reduce(DataFrame.unionByName, [one(name, df) for name, df in tables.items()])
+
+
+def schema_listing(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per (table, column): TABLE_NAME, POSITION, COLUMN_NAME, DATA_TYPE, NON_NULL_COUNT."""
+    return column_profile(tables).select("TABLE_NAME", "POSITION", "COLUMN_NAME", "DATA_TYPE", "NON_NULL_COUNT")
+
+
+def preview(df: DataFrame, keys: Sequence[str], n: int = 20) -> DataFrame:
+    """The ``n`` rows with the smallest keys (each task keeps only its ``n`` best)."""
+    return df.orderBy(*keys).limit(n)
