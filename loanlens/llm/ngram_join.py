@@ -29,12 +29,12 @@ from loanlens.llm.text import Hasher, Roller, Words, mix, pieces, signed
 SHINGLE, PERCENT = 5, 80
 #: A token in more prefixes than this is frequent.
 FREQUENT = 8
-#: Longs of parity bits that a document is sketched with.
+#: Longs of parity bits that a document is sketched with, at least.
 SKETCH = 16
 #: Rounds in which the documents of an entry meet some of them, and with how many.
-ROUNDS, CENTERS = 2, 3
+ROUNDS, CENTERS = 2, 2
 #: Tokens that a verifying task holds of one side, about; larger groups are split.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Prefix tokens of a class that one pair of frequent tokens is drawn from, about.
 _CLASS = 8
 
@@ -92,12 +92,15 @@ def index_entries(h: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np
 
 
 def parities(flat: np.ndarray, n: np.ndarray) -> pa.Array:
-    """For each document (n of the tokens in a row): whether each of 64 * SKETCH hash buckets holds an odd number of its tokens."""
-    width = 64 * SKETCH
-    bucket = np.repeat(np.arange(len(n)) * width, n) + (mix(flat) % np.uint64(width)).astype(np.int64)
-    odd = (np.bincount(bucket, minlength=len(n) * width) & 1).astype(np.uint8)
-    longs = np.packbits(odd.reshape(len(n), width), axis=1).view(np.int64).ravel()
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * SKETCH), pa.array(longs))
+    """For each document (n of the tokens in a row): whether each hash bucket holds an odd number of its tokens.
+
+    A document has 64 * SKETCH buckets, or the next power of two above its tokens if that is more.
+    """
+    longs = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(n, 1) / 64)).clip(0).astype(np.int64))
+    ends = np.cumsum(longs)
+    bucket = np.repeat((ends - longs) * 64, n) + (mix(flat) % np.repeat(longs * 64, n).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(bucket, minlength=ends[-1] * 64 if len(ends) else 0) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.packbits(odd).view(np.int64)))
 
 
 def _each(docs: DataFrame, size: int, schema: str, emit, only=None) -> DataFrame:
@@ -186,31 +189,31 @@ def similar(known: DataFrame, reps, sketches: DataFrame, size: int, percent: int
                 continue
             rare, pairs = index_entries(s, often.value.test(s), percent)
             out.append(np.unique(np.concatenate([rare[twice.value.test(rare) | more.value.test(rare)], pairs])))
-        n = np.array([len(s) for s in sets], np.int64)
-        return [*flat(doc, out), pa.array(np.repeat(n, [len(x) for x in out]))]
+        return flat(doc, out)
 
-    index = _each(known, size, "doc long, entry long, n long", entries, reps)
-    index = materialize(index)
+    index = materialize(_each(known, size, "doc long, entry long", entries, reps))
+    shared = materialize(index.groupBy("entry").agg(F.count("*").alias("c")).where("c > 1").select("entry"))
+    index = materialize(index.join(shared, "entry", "left_semi"))
 
     # 4. groups: components of the candidates that the sketches allow
     edges = spark.createDataFrame([], "x long, y long")
     parts = spark.createDataFrame([], "node long, component long")
-    fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
     for round_ in range(ROUNDS + 1):
-        now = index.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("entry", "doc", "n", F.coalesce("component", "doc").alias("part"))
+        now = index.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("entry", "doc", F.coalesce("component", "doc").alias("part"))
         # entries whose documents are not all in one group
-        seen = F.struct("doc", "n", "part")
-        centers = F.array(*[F.min_by(seen, F.xxhash64("doc", F.lit(round_ * CENTERS + i))) for i in range(CENTERS)])
-        open_ = materialize(now.groupBy("entry").agg(F.min("part").alias("p"), F.max("part").alias("q"), centers.alias("centers")).where("p < q").select("entry", "centers"))
-        now = materialize(now.join(open_, "entry"))
+        spread = [F.min("part").alias("p"), F.max("part").alias("q")]
         if round_ < ROUNDS:
-            pairs = now.select("doc", "n", "part", F.explode(F.array_distinct("centers")).alias("c")).select("doc", "n", "part", F.col("c.doc").alias("y"), F.col("c.n").alias("yn"), F.col("c.part").alias("y_part"))
+            centers = F.array(*[F.min(F.struct(F.xxhash64("doc", F.lit(round_ * CENTERS + i)).alias("h"), F.col("doc").alias("y"), F.col("part").alias("y_part"))) for i in range(CENTERS)])
+            open_ = now.groupBy("entry").agg(*spread, centers.alias("centers")).where("p < q").select("entry", "centers")
+            pairs = now.join(materialize(open_), "entry").select("doc", "part", F.explode("centers").alias("c")).select("doc", "part", "c.y", "c.y_part")
         else:  # all pairs of different groups: those outside an entry's main one with all others
+            open_ = materialize(now.groupBy("entry").agg(*spread).where("p < q").select("entry"))
+            now = materialize(now.join(open_, "entry", "left_semi"))
             sizes = now.groupBy("entry", "part").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
-            main = now.drop("centers").join(materialize(sizes), "entry")
-            minor = main.where("part <> main").select("entry", F.col("doc").alias("y"), F.col("n").alias("yn"), F.col("part").alias("y_part"))
+            main = now.join(materialize(sizes), "entry")
+            minor = main.where("part <> main").select("entry", F.col("doc").alias("y"), F.col("part").alias("y_part"))
             pairs = main.join(minor, "entry").where((F.col("part") == F.col("main")) | (F.col("doc") < F.col("y")))
-        pairs = pairs.where((F.col("part") != F.col("y_part")) & fits("n", "yn")).select(F.least("doc", "y").alias("x"), F.greatest("doc", "y").alias("y")).distinct()
+        pairs = pairs.where(F.col("part") != F.col("y_part")).select(F.least("doc", "y").alias("x"), F.greatest("doc", "y").alias("y")).distinct()
         edges = materialize(edges.unionByName(possible(pairs, sketches, percent)))
         parts = materialize(components(edges, "x", "y"))
     return verified(known, parts.join(sketches.select(F.col("doc").alias("node"), "n"), "node"), size, percent)
@@ -224,8 +227,18 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """
     for side in ("x", "y"):
         pairs = pairs.join(sketches.select(F.col("doc").alias(side), F.col("n").alias(f"{side}n"), F.col("sketch").alias(f"{side}s")), side)
-    bits = F.aggregate(F.zip_with("xs", "ys", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, b: total + b)
-    return pairs.where(bits * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)).select("x", "y").distinct()
+    xor = lambda a, b: a.bitwiseXOR(b)
+
+    def folded(own: str, other: str):
+        """A sketch of twice the other's buckets, brought to as many: what shares a bucket then is added up."""
+        half = (F.size(own) / 2).cast("int")
+        return F.when(F.size(own) == 2 * F.size(other), F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), xor)).otherwise(F.col(own))
+
+    pairs = pairs.withColumn("a", folded("xs", "ys")).withColumn("b", folded("ys", "xs"))
+    differ = F.aggregate(F.zip_with("a", "b", lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda total, b: total + b)
+    bits = F.when(F.size("a") == F.size("b"), differ).otherwise(0)
+    fits = (F.col("xn") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("xn") * percent)
+    return pairs.where(fits).where(bits * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)).select("x", "y").distinct()
 
 
 def connect(group: pd.DataFrame, percent: int) -> pd.DataFrame:

@@ -33,7 +33,7 @@ def corpus(seed, n):
     rng = random.Random(seed)
     word = lambda: rng.choice(["the", "Of", "and,", "é"]) + str(rng.randrange(400))
     rows, boiler = [], [word() for _ in range(60)]
-    bases = [[word() for _ in range(rng.choice([3, 12, 40, 150, 400]))] for _ in range(12)]
+    bases = [[word() for _ in range(rng.choice([3, 12, 40, 150, 400, 1060]))] for _ in range(12)]
     for k in range(n):
         base = list(rng.choice(bases)) if rng.random() < 0.8 else boiler + [word() for _ in range(rng.randrange(1, 60))]
         for _ in range(rng.randrange(1 + len(base) // 12)):
