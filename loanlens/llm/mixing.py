@@ -1,10 +1,11 @@
 """Mix sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
-Slot s of the schedule is the golden-ratio point frac((s + 1/2) * phi), and the source whose
-interval of the cumulative targets holds the point serves it.  A source's slots are ranked,
-and slot rank r takes the r-th block of T words of the source's shuffled text, read at most
-twice.  Every source thus comes within a few blocks of its target, at any prefix of the
-schedule as well as at its end.
+Slot rank r of a source takes the r-th block of T words of its shuffled text, read at most
+twice, and the last slot what is left of the source's target.  A slot of words a to b of a
+target g stands at (a + u * (b - a)) / g of the schedule, where u is the golden-ratio point
+frac((i + 1/2) * phi) of the i-th source, so that sources of one slot are spread too.  Every
+source, however small, thus comes within one word of its target at the end of the schedule,
+and within a block of its share at any prefix.
 """
 
 from __future__ import annotations
@@ -24,12 +25,11 @@ from loanlens.llm.text import Words, pieces
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 EPOCHS = 2
-#: At most so many slots; the block length follows from it, so the schedule stays this small at any input.
-SLOTS = 1 << 20
+#: Small inputs have about so many slots; from blocks of BLOCK words on, slots grow with the words.
+SLOTS, BLOCK = 1 << 20, 128
 #: A word, for Java's patterns.
 WORD = r"[^\x20\x09-\x0D]+"
-_CHUNK = 4096  # slots ranked together
-_CELLS = 4096  # cells of [0, 1) in which slots meet sources
+_CHUNK = 1 << 14  # slots of one source that one row becomes
 _ROWS = 4096  # documents of one source whose positions one group works out, about
 _PHI = 0.6180339887498949
 
@@ -61,7 +61,7 @@ def _shuffled(key: str):
 
 
 def plan_sources(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> tuple[DataFrame, float]:
-    """(_src, source, source_size, target) and the words of the whole mix.
+    """(_src, source, source_size, target, place in the order of sources) and the words of the whole mix.
 
     Ranks come from a range partitioning (no single-task sort of all sources).  The level of
     ``target = min(epochs * size, level * weight)`` is raised until no source is above its
@@ -72,8 +72,9 @@ def plan_sources(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs
     sorted_ = totals.repartitionByRange(order).sortWithinPartitions(order)
     placed = materialize(sorted_.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i")))
     before = placed.groupBy("p").agg(F.count("*").alias("n")).select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("before") + F.col("i")) % len(weights) + 1).cast("int"))
-    ranked = materialize(placed.join(before, "p").select("_src", "source", "source_size", weight.alias("w"), (F.col("source_size") * float(epochs)).alias("limit")))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    ranked = placed.join(before, "p").withColumn("place", F.col("before") + F.col("i"))
+    ranked = materialize(ranked.select("_src", "source", "source_size", "place", weight.alias("w"), (F.col("source_size") * float(epochs)).alias("limit")))
     words, sum_w = ranked.agg(F.sum("source_size"), F.sum("w")).first()
     budget = float(words or 0) * share
     level = budget / sum_w if sum_w else 0.0
@@ -84,36 +85,28 @@ def plan_sources(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs
         if raised <= level:
             break
         level = raised
-    return ranked.select("_src", "source", "source_size", F.least("limit", F.col("w") * level).alias("target")), budget
+    return ranked.select("_src", "source", "source_size", F.least("limit", F.col("w") * level).alias("target"), "place"), budget
 
 
-def rank_slots(spark: SparkSession, sources: DataFrame, n_slots: int) -> DataFrame:
-    """(slot, _src, rank): golden-ratio points through the cumulative targets, ranked in each source.
+def rank_slots(sources: DataFrame, block: int) -> DataFrame:
+    """(slot, _src, rank, length): each source's blocks in order of their places, as long in all as its target in whole words.
 
-    Points meet sources by an equi-join on a cell of [0, 1), and are ranked in chunks whose
-    counts are added up, so that no task holds all slots of a large source.
+    A source's slots come from rows of _CHUNK slots each, and are numbered by a range
+    partitioning, so that no task holds all slots or all of a large source.
     """
-    part = F.pmod(F.xxhash64("_src"), F.lit(256))
-    shares = sources.where("target > 0").select("_src", "target", part.alias("part"))
-    parts = shares.groupBy("part").agg(F.sum("target").alias("t"))
-    every = Window.orderBy("part")  # 256 rows at most
-    parts = parts.select("part", F.coalesce(F.sum("t").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"), F.sum("t").over(every.rowsBetween(Window.unboundedPreceding, 0)).alias("after"))
-    parts = parts.withColumn("total", F.max("after").over(Window.partitionBy()))
-    # a part's sums run in one order, so that neighbours share one bound and no point falls between them
-    up_to = F.sum("target").over(Window.partitionBy("part").orderBy("_src").rowsBetween(Window.unboundedPreceding, 0))
-    spans = shares.join(parts, "part").withColumn("up", up_to)
-    below = F.lag("up", 1, 0.0).over(Window.partitionBy("part").orderBy("_src"))
-    end = F.when(F.lead("_src").over(Window.partitionBy("part").orderBy("_src")).isNull(), F.col("after")).otherwise(F.col("before") + F.col("up"))
-    spans = spans.select("_src", ((F.col("before") + below) / F.col("total")).alias("low"), (end / F.col("total")).alias("high"))
-    cells = spans.select("_src", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * _CELLS), F.floor(F.col("high") * _CELLS))).alias("cell"))
-    at = (F.col("id") + 0.5) * _PHI
-    points = spark.range(n_slots).select(F.col("id").alias("slot"), (at - F.floor(at)).alias("x")).withColumn("cell", F.floor(F.col("x") * _CELLS))
-    served = points.join(cells, "cell").where("x >= low AND x < high").select("slot", "_src", F.floor(F.col("slot") / _CHUNK).alias("chunk"))
-    served = materialize(served)
-    sums = served.groupBy("_src", "chunk").agg(F.count("*").alias("n"))
-    sums = sums.select("_src", "chunk", (F.sum("n").over(Window.partitionBy("_src").orderBy("chunk")) - F.col("n")).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("_src", "chunk").orderBy("slot")) - 1
-    return served.join(sums, ["_src", "chunk"]).select("slot", "_src", (F.col("before") + inner).alias("rank"))
+    at = (F.col("place") + 0.5) * _PHI
+    shares = sources.select("_src", F.floor(F.col("target") + 0.5).alias("goal"), (at - F.floor(at)).alias("u")).where("goal > 0")
+    shares = shares.withColumn("n", F.ceil(F.col("goal") / block))
+    chunks = shares.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _CHUNK))).alias("chunk")).repartition("_src", "chunk")
+    first = F.col("chunk") * _CHUNK
+    ranks = chunks.select("*", F.explode(F.sequence(first, F.least(first + _CHUNK, "n") - 1)).alias("rank"))
+    ranks = ranks.withColumn("length", F.least(F.lit(block).cast("long"), F.col("goal") - F.col("rank") * block))
+    slots = ranks.select("_src", "rank", "length", ((F.col("rank") * block + F.col("u") * F.col("length")) / F.col("goal")).alias("x"))
+    order = ["x", "_src", "rank"]
+    placed = slots.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(placed.select("_src", "rank", "length", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i")))
+    before = placed.groupBy("p").agg(F.count("*").alias("n")).select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
+    return placed.join(before, "p").select((F.col("before") + F.col("i")).alias("slot"), "_src", "rank", "length")
 
 
 def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, slots: int = SLOTS) -> Mix:
@@ -124,17 +117,16 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     or empty texts have size 0 and are never taken; rows with a repeated key are documents of
     their own; no rows give an empty schedule.
     """
-    spark = docs.sparkSession
     sizes = docs.select(F.col(f"`{key}`").alias("_key"), source_key(source).alias("_src"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`")).alias("_size"))
     sizes = materialize(sizes)
     sources, budget = plan_sources(sizes, weights, share, epochs)
-    block = max(1, -(-int(budget) // slots))
-    ranked = materialize(rank_slots(spark, sources, round(budget / block)))
+    block = min(BLOCK, max(1, -(-int(budget) // slots)))
+    ranked = materialize(rank_slots(sources, block))
     buckets = max(16, sizes.count() // _ROWS)
     bucketed = sizes.withColumn("_h", F.xxhash64("_key", F.lit(20260101))).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
     sums = bucketed.groupBy("_src", "_bucket").agg(F.sum("_size").alias("n"))
     sums = sums.select("_src", "_bucket", (F.sum("n").over(Window.partitionBy("_src").orderBy("_bucket")) - F.col("n")).alias("before"))
-    sums = sums.join(sources.drop("source"), "_src")
+    sums = sums.join(sources.drop("source", "place"), "_src")
     inner = Window.partitionBy("_src", "_bucket").orderBy("_h", "_key", "_size").rowsBetween(Window.unboundedPreceding, 0)
     placed = bucketed.join(sums, ["_src", "_bucket"]).select("_key", "_src", F.col("_size").alias("size"), "source_size", "target", (F.col("before") + F.sum("_size").over(inner) - F.col("_size")).alias("start"))
     return Mix(materialize(placed), sources, ranked, block)
@@ -151,9 +143,9 @@ def schedule(mix: Mix, epochs: int = EPOCHS) -> DataFrame:
     stood = mix.documents.where("size > 0").select("*", epoch).withColumn("a", F.col("start") + F.col("epoch") * F.col("source_size"))
     stood = stood.withColumn("b", F.col("a") + F.col("size"))
     blocks = stood.select("*", F.explode(F.sequence(F.floor(F.col("a") / t), F.floor((F.col("b") - 1) / t))).alias("rank"))
-    overlap = F.least("b", (F.col("rank") + 1) * t) - F.greatest("a", F.col("rank") * t)
     from_word = F.greatest("a", F.col("rank") * t) - F.col("a")
-    return blocks.join(mix.slots, ["_src", "rank"]).select("slot", "_key", "_src", "start", "size", "epoch", from_word.alias("from_word"), overlap.alias("words"))
+    words = F.least("b", F.col("rank") * t + F.col("length")) - F.greatest("a", F.col("rank") * t)
+    return blocks.join(mix.slots, ["_src", "rank"]).select("slot", "_key", "_src", "start", "size", "epoch", from_word.alias("from_word"), words.alias("words")).where("words > 0")
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:

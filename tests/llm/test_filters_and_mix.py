@@ -111,3 +111,19 @@ def test_few_slots(spark):
     assert mix.block == 30
     got = {r._src: r.w for r in mixing.schedule(mix).groupBy("_src").agg({"words": "sum"}).withColumnRenamed("sum(words)", "w").collect()}
     assert all(abs(got[r._src] - r.target) <= 4 * mix.block for r in mix.sources.collect())
+
+
+def test_small_sources_beside_a_hot_one(spark):
+    # as at 30 GB: many sources of less than a block, and one of most words
+    rows = [(i, "w " * 1500, "hot") for i in range(1000)] + [(10_000 + i, "w " * (1 + i % 90), f"tiny{i}") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    mix = mixing.plan(frame, slots=200)
+    assert mix.block == mixing.BLOCK and mix.slots.count() > 200 * 20
+    got = {r._src: r.w for r in mixing.schedule(mix).groupBy("_src").agg({"words": "sum"}).withColumnRenamed("sum(words)", "w").collect()}
+    assert all(abs(got.get(r._src, 0) - r.target) <= 0.5 for r in mix.sources.collect())
+    slots = [(r.slot, r._src, r.length) for r in mix.slots.orderBy("slot").collect()]
+    assert [s for s, _, _ in slots] == list(range(len(slots)))
+    total, hot = sum(n for _, _, n in slots), sum(n for _, s, n in slots if s == "=hot")
+    half = slots[: len(slots) // 2]  # spread over the schedule, not served in one run
+    assert abs(sum(n for _, s, n in half if s == "=hot") / hot - 0.5) < 0.05 and abs(sum(n for _, s, n in half if s != "=hot") / (total - hot) - 0.5) < 0.05
+    assert {r.source for r in mixing.mixed(frame).select("source").distinct().collect()} == {s for _, _, s in rows}
