@@ -4,8 +4,8 @@ A unit vector o is rotated at random and kept as the signs of its coordinates, a
 unit sphere, with the factor <c, o>.  For another unit vector q, <c, q> / <c, o> is an unbiased
 estimate of <o, q>, and its error is bounded with a known confidence; only pairs whose upper
 bound reaches the threshold are computed exactly.  The pairs looked at share a short run of
-sign bits in one of several tables; bits and tables follow from the number of vectors and the
-wanted recall.
+sign bits in one of several tables; a label's bits and tables follow from its own number of
+vectors and the wanted recall, and in a label that fits one bucket every pair is looked at.
 """
 
 from __future__ import annotations
@@ -47,16 +47,21 @@ def tables(largest: int, threshold: float, recall: float, bucket: int) -> tuple[
     return bits, 1 if together == 1 else math.ceil(math.log(1 - recall) / math.log(1 - together))
 
 
-def encode(vectors: DataFrame, bits: int, n_tables: int) -> DataFrame:
-    """(label, rep, n, size, vector, code, factor, bands) of distinct vectors (label, v, rep, n): the index that is stored."""
+def encode(vectors: DataFrame, threshold: float, recall: float, bucket: int) -> DataFrame:
+    """(label, rep, n, size, vector, code, factor, bands) of distinct vectors (label, v, rep, n, of_label): the index that is stored.
+
+    ``of_label`` is the number of the label's vectors; bands are 8 bytes for each of its tables.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column("v")
             flat, at = np.asarray(v.flatten(), np.float64), np.asarray(v.offsets, np.int64) - v.offsets[0].as_py()
             sizes = np.diff(at)
-            for size in np.unique(sizes):
-                own = np.flatnonzero(sizes == size)
+            among, of = np.unique(batch.column("of_label").to_numpy(), return_inverse=True)
+            kinds = np.array([tables(m, threshold, recall, bucket) for m in among.tolist()], np.int64).reshape(-1, 2)[of]
+            for size, bits, n_tables in np.unique(np.column_stack([sizes, kinds]), axis=0).tolist():
+                own = np.flatnonzero((sizes == size) & (kinds[:, 0] == bits))
                 raw = flat[at[own][:, None] + np.arange(size)]
                 x = np.zeros((len(own), max(size, LEAST_BITS)))
                 x[:, :size] = unit(raw)
@@ -149,10 +154,11 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = F.col("key").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite
     distinct = materialize(rows.where(good).groupBy("label", "v").agg(F.min("key").alias("rep"), F.count("*").alias("n")))
-    largest = distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, n_tables = tables(largest, threshold, recall, bucket)
-    index = materialize(encode(distinct, bits, n_tables))
-    in_table = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_tables - 1))).alias("t")).withColumn("h", F.expr("substring(bands, 8 * t + 1, 8)"))
+    # labels that fit a bucket need no bits, so few rows are joined
+    many = materialize(distinct.groupBy("label").agg(F.count("*").alias("of_label")).where(F.col("of_label") > bucket))
+    counted = distinct.join(many, "label", "left").withColumn("of_label", F.coalesce("of_label", F.lit(0)))
+    index = materialize(encode(counted, threshold, recall, bucket))
+    in_table = index.select("*", F.explode(F.sequence(F.lit(0), (F.length("bands") / 8 - 1).cast("int"))).alias("t")).withColumn("h", F.expr("substring(bands, 8 * t + 1, 8)"))
     place = ["label", "size", "t", "h"]
     large = materialize(in_table.groupBy(*place).count().where(F.col("count") > block))
     dealt = in_table.join(large, place, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int"))

@@ -122,6 +122,27 @@ def test_near_vectors(spark, bucket, block):
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_recall_of_each_label(spark):
+    """Production recall, with sign bits in the large label: small labels beside it stay exhaustive."""
+    rng = np.random.default_rng(3)
+
+    def at_cosine(u, c):
+        w = rng.normal(size=u.shape)
+        w -= (w * u).sum(1, keepdims=True) * u
+        return c * u + math.sqrt(1 - c * c) * w / np.linalg.norm(w, axis=1, keepdims=True)
+
+    u = rng.normal(size=(2500, 16))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    both = np.concatenate([u, at_cosine(u, 0.9305)])
+    rows = [(i, v.tolist(), 0 if i % 2500 < 1000 else i % 2500) for i, v in enumerate(both)]
+    assert embedding_dedup.tables(2000, 0.93, embedding_dedup.RECALL, 32)[0] > 0
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), bucket=32).collect()}
+    assert all(got[i].n_links == 1 and got[i].component_id == i % 2500 for i in got if i % 2500 >= 1000)
+    large = both[[i for i in range(5000) if i % 2500 < 1000]]
+    want = int((large @ large.T >= 0.93).sum()) - len(large)
+    assert 0.98 * want <= sum(got[i].n_links for i in got if i % 2500 < 1000) <= want
+
+
 def test_tables_follow_recall():
     assert embedding_dedup.tables(1000, 0.93, 0.99, 1024) == (0, 1)
     for n in (10**4, 10**6, 10**9):
