@@ -127,8 +127,9 @@ def weigh(docs: DataFrame, key: str, text: str, model: Model) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", buckets: int = BUCKETS, limit: int = LABELLED) -> Model:
     """Models from the n-grams of all documents; the target's from labelled good ones.
 
-    A task adds up its counts and sends one row a bucket, whatever it has read.  Without good
-    labels all weights are 0.
+    A task adds up its counts and sends one row a bucket, whatever it has read.  For the cut, a
+    labelled key that stands in several rows counts once, with the text of the lowest hash.
+    Without good labels all weights are 0.
     """
     good, bad = labelled_sample(labels, key, label, limit)
 
@@ -152,8 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         sample_rows = [(k, 1) for k in good] + [(k, 0) for k in bad]  # 2 * limit at most
         chosen = docs.sparkSession.createDataFrame(sample_rows, f"_key {dict(docs.dtypes)[key]}, _label int")
         known = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(chosen), "_key")
-        weighed = weigh(known, "_label", "_text", model).where("weight IS NOT NULL")
-        model.cut = best_cut([(r.weight, r.key) for r in weighed.collect()])
+        of = F.struct("_key", "_label", F.xxhash64("_text").alias("_h")).alias("of")
+        weighed = weigh(known.select(of, "_text"), "of", "_text", model).where("weight IS NOT NULL")
+        # one row, however often a key stands; weights are shuffled, not texts
+        one = weighed.groupBy("key._key", "key._label").agg(F.min(F.struct("key._h", "weight")).alias("row"))
+        model.cut = best_cut([(r.weight, r._label) for r in one.select("row.weight", "_label").collect()])
     return model
 
 

@@ -189,7 +189,8 @@ def best_cut(scores: np.ndarray, labels: np.ndarray) -> float | None:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang", toxic: int = TOXIC, clean: int = CLEAN, threshold: float = THRESHOLD) -> Network | None:
     """Train on the given labels' sample, four fifths of it; shift and cuts come from the rest.
 
-    Of a key labelled twice the highest label counts.  Without labels of both classes there is
+    Of a key labelled twice the highest label counts; of a key in several rows the first text by
+    order (and its first language) is learnt from, so no more rows than keys are gathered.  Without labels of both classes there is
     no network.
     """
     spark = docs.sparkSession
@@ -212,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 h, at = np.unique(t.hash, return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), *[pa.array(c) for c in t.features(at).T]], ["word", *[f"f{k}" for k in range(1 + len(BEGINNINGS))]])
 
-    known = known.select("_key", "_text", "_lang", "_label")
+    known = known.groupBy("_key", "_label").agg(F.min(F.struct(F.col("_text").isNull().alias("none"), "_text", "_lang")).alias("row"))
+    known = known.select("_key", "row._text", "row._lang", "_label")
     rows = sorted(known.mapInArrow(hashed, "k string, lang string, label int, words binary").collect(), key=lambda r: (r.k, bytes(r.words)))
     names = [f"f{k}" for k in range(1 + len(BEGINNINGS))]
     words = known.mapInArrow(distinct, "word long, " + ", ".join(f"{n} long" for n in names)).groupBy("word").agg(*[F.min(n).alias(n) for n in names]).toArrow()

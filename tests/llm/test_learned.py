@@ -84,6 +84,21 @@ def test_toxicity_rows(spark):
     assert toxicity.score(docs.limit(0), net).count() == 0
 
 
+def test_samples_hold_one_row_of_a_repeated_key(spark, monkeypatch):
+    """A labelled key in a third of all rows sends one row to the driver."""
+    rng = random.Random(4)
+    rows = [(i, bad(rng) if i % 3 == 0 else good(rng), "en") for i in range(60)] + [(0, bad(rng) + f" {i}", "en") for i in range(30)] + [(0, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "best_cut", lambda weighed: seen.append(len(weighed)) or 0.0)
+    quality.fit(docs, labels)
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, *a: seen.append(len(texts)) or train(texts, *a))
+    toxicity.fit(docs, labels)
+    assert seen == [60, 48]
+
+
 def links(rows, threshold=0.93):
     def fine(k, v, label):
         return k is not None and label is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)
