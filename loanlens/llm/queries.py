@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.llm import bpe, embedding_dedup, line_dedup, mixing, ngram_join, quality, substring_dedup, topk_search, toxicity, url_filter
+from loanlens.llm import bpe, embedding_dedup, line_dedup, mixing, ngram_join, quality, substring_dedup, target_resampling, topk_search, toxicity, url_filter
 from loanlens.llm.shared import ship
 
 
@@ -30,6 +30,7 @@ QUERIES = {
     "op8_ngram_join": _query(ngram_join.op8),
     "op9_topk_search": _query(topk_search.op9),
     "op10_toxicity": _query(toxicity.op10),
+    "op13_target_resampling": _query(target_resampling.op13),
 }
 
 ORACLES = {
@@ -39,4 +40,5 @@ ORACLES = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
     "op9_topk_search": topk_search.ORACLE,
+    "op13_target_resampling": target_resampling.ORACLE,
 }
