@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanlens.llm import bpe, embedding_dedup, line_dedup, mixing, ngram_join, quality, substring_dedup, target_resampling, topk_search, toxicity, url_filter, whitening
+from loanlens.llm import bpe, embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, quality, substring_dedup, target_resampling, topk_search, toxicity, url_filter, whitening
 from loanlens.llm.shared import ship
 
 
@@ -30,6 +30,7 @@ QUERIES = {
     "op8_ngram_join": _query(ngram_join.op8),
     "op9_topk_search": _query(topk_search.op9),
     "op10_toxicity": _query(toxicity.op10),
+    "op11_fingerprints": _query(fingerprints.op11),
     "op12_whitening": _query(whitening.op12),
     "op13_target_resampling": _query(target_resampling.op13),
 }
