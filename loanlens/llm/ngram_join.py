@@ -2,9 +2,11 @@
 
 A document is the set of its word shingles.  All tokens (shingles) stand in one order, rare
 before frequent; a document's prefix is so long that a similar document must share something
-in it.  Rare tokens are indexed alone.  Frequent tokens fall into classes and are indexed as
-pairs inside a class; since one shared token of a class is then invisible, the prefix is
-extended by one token for each class it touches.  Documents that share an index entry are
+in it.  Tokens are counted where prefixes can reach them: in the first tokens by hash, twice as
+many as a prefix has, and in all tokens of a document that finds too few rare ones there.  Rare
+tokens are indexed alone.  Frequent tokens fall into classes and are indexed as pairs inside a
+class, for documents of about one size; since one shared token of a class is then invisible, the
+prefix is extended by one token for each class it touches.  Documents that share an index entry are
 candidates.  A candidate pair is dropped when the parities of its tokens' hash buckets differ
 in more places than two similar sets can differ in tokens; the others hold their documents
 together as a group.  Entries first pair their documents with a few of them, then documents of
@@ -14,7 +16,9 @@ missed.  Each group is then verified on the whole sets, each of which is sent on
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm.shared import Bits, components, materialize
+from loanlens.llm.shared import Bits, components, discard, materialize
 from loanlens.llm.text import Hasher, Roller, Words, mix, pieces, signed
 
 #: Words in a shingle; similarity (in hundredths) from which documents are linked.
 SHINGLE, PERCENT = 5, 80
-#: A token in more prefixes than this is frequent.
+#: A token that more documents than this have where it is counted, in one round of counting, is frequent.
 FREQUENT = 8
+#: Rounds of counting at most; results don't depend on it, tokens not counted are taken for rare ones.
+COUNTS = 5
 #: Longs of parity bits that a document is sketched with, at least.
 SKETCH = 16
 #: Rounds in which the documents of an entry meet some of them, and with how many.
@@ -70,6 +76,22 @@ def classes(n: int, percent: int) -> list[int]:
     return sorted({max(1, (1 << p) * (100 - percent) // 100 // _CLASS) for p in powers})
 
 
+def size_classes(n: int, percent: int) -> range:
+    """Numbers of size classes that a set of n tokens is indexed for: similar sets have one in common."""
+    at = math.log(n) / math.log(100 / percent) if percent < 100 else float(n)
+    return range(math.floor(at - 1e-6) + 1, math.floor(at + 1e-6) + 3)
+
+
+def reach(h: np.ndarray, percent: int, often: list) -> int:
+    """How many of a set's tokens are counted: twice its prefix, or all if some round left it fewer rare ones than a prefix has."""
+    want = prefix_length(len(h), percent) if len(h) else 0
+    end = min(2 * want, len(h))
+    for frequent in often:
+        if end < len(h) and np.count_nonzero(~frequent.test(h[:end])) < want:
+            return len(h)
+    return end
+
+
 def index_entries(h: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Rare tokens of the prefix, and hashes of the pairs of its frequent tokens."""
     want = prefix_length(len(h), percent)
@@ -87,7 +109,8 @@ def index_entries(h: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np
         for c in np.unique(kinds):
             own = taken[kinds == c]
             a, b = np.triu_indices(len(own), 1)
-            entries.append(mix(own[a] * np.uint64(0x9E3779B97F4A7C15) + own[b]) ^ np.uint64(k))
+            pairs = mix(own[a] * np.uint64(0x9E3779B97F4A7C15) + own[b]) ^ np.uint64(k)
+            entries += [mix(pairs + np.uint64(z)) for z in size_classes(len(h), percent)]
     return rare, np.concatenate(entries) if entries else h[:0]
 
 
@@ -146,7 +169,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = S
     reps = spark.sparkContext.broadcast(Bits.build(firsts.select(F.xxhash64("rep").alias("h")), "h"))
     known = rows.where("doc IS NOT NULL").withColumn("h", F.xxhash64("doc"))
     links = similar(known, reps, listed.where("doc IS NOT NULL").select("doc", "n", "sketch"), size, percent, frequent)
+    reps.destroy()
     parts = components(copies.unionByName(links.select(F.col("x").alias("doc"), F.col("y").alias("rep"))), "doc", "rep")
+    discard(firsts, links)
     out = listed.join(parts, listed["doc"] == parts["node"], "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
@@ -159,64 +184,91 @@ def similar(known: DataFrame, reps, sketches: DataFrame, size: int, percent: int
         n = [len(p) for p in parts]
         return [pa.array(np.repeat(doc, n)), pa.array(signed(np.concatenate([*parts, np.zeros(0, np.uint64)])))]
 
-    def first_tokens(doc, sets):
-        return flat(doc, [s[: prefix_length(len(s), percent)] if len(s) else s for s in sets])
-
-    # 1. how many prefixes hold a token, in order of its hash alone
-    counts = _each(known, size, "doc long, token long", first_tokens, reps).groupBy("token").agg(F.count("*").alias("n"))
-    counts = materialize(counts.where("n > 1"))
-    often = spark.sparkContext.broadcast(Bits.build(counts.where(F.col("n") > frequent).select("token"), "token"))
-    twice = spark.sparkContext.broadcast(Bits.build(counts.select("token"), "token"))
-
-    # 2. with frequent tokens at the end of the order, some prefixes reach tokens not yet counted
-    def reached(doc, sets):
-        out = []
-        for s in sets:
-            want = prefix_length(len(s), percent) if len(s) else 0
-            common = often.value.test(s)
-            out.append(s[~common][:want][np.searchsorted(s[:want], s[~common][:want], "left") >= want] if common[:want].any() else s[:0])
-        return flat(doc, out)
-
-    more = _each(known, size, "doc long, token long", reached, reps).select("token").distinct()
-    more = spark.sparkContext.broadcast(Bits.build(materialize(more), "token"))
-
-    # 3. index entries that can have two documents
+    # 1. how many documents have a token where it is counted; a round counts what the last one's frequent tokens uncover
+    often, frequents, uncovered = [], [], []
+    twice = None
+    while len(often) < COUNTS:
+        def tokens(doc, sets, before=often[:-1], now=often[:]):
+            out = []
+            for s in sets:
+                end = reach(s, percent, [o.value for o in now])
+                start = reach(s, percent, [o.value for o in before]) if now else 0
+                out.append(s[start:end])
+            return flat(doc, out)
+
+        counts = _each(known, size, "doc long, token long", tokens, reps).groupBy("token").agg(F.count("*").alias("n"))
+        if not often:
+            counts = materialize(counts.where("n > 1"))
+            twice = spark.sparkContext.broadcast(Bits.build(counts.select("token"), "token"))
+        else:
+            counts = materialize(counts)
+            uncovered.append(counts)
+        new = materialize(counts.where(F.col("n") > frequent).select("token"))
+        if often and new.isEmpty():
+            discard(new)
+            break
+        frequents.append(new)
+        often.append(spark.sparkContext.broadcast(Bits.build(reduce(DataFrame.unionByName, frequents).distinct(), "token")))
+        if len(often) == 1:
+            discard(counts)
+            if new.isEmpty():
+                break
+    more = spark.createDataFrame([], "token long")
+    for counts in uncovered:
+        more = more.unionByName(counts.select("token"))
+    more = spark.sparkContext.broadcast(Bits.build(more.distinct(), "token"))
+    discard(*frequents, *uncovered)
+
+    # 2. index entries that can have two documents
     def entries(doc, sets):
         out = []
         for s in sets:
             if not len(s):
                 out.append(s)
                 continue
-            rare, pairs = index_entries(s, often.value.test(s), percent)
-            out.append(np.unique(np.concatenate([rare[twice.value.test(rare) | more.value.test(rare)], pairs])))
+            end = reach(s, percent, [o.value for o in often])
+            common = often[-1].value.test(s)
+            rare, pairs = index_entries(s, common, percent)
+            known_ = np.searchsorted(s, rare) < end
+            out.append(np.unique(np.concatenate([rare[~known_ | twice.value.test(rare) | more.value.test(rare)], pairs])))
         return flat(doc, out)
 
-    index = materialize(_each(known, size, "doc long, entry long", entries, reps))
-    shared = materialize(index.groupBy("entry").agg(F.count("*").alias("c")).where("c > 1").select("entry"))
-    index = materialize(index.join(shared, "entry", "left_semi"))
+    every = materialize(_each(known, size, "doc long, entry long", entries, reps))
+    for b in (*often, twice, more):
+        b.destroy()
+    shared = materialize(every.groupBy("entry").agg(F.count("*").alias("c")).where("c > 1").select("entry"))
+    index = materialize(every.join(shared, "entry", "left_semi"))
+    discard(every, shared)
 
-    # 4. groups: components of the candidates that the sketches allow
-    edges = spark.createDataFrame([], "x long, y long")
-    parts = spark.createDataFrame([], "node long, component long")
+    # 3. groups: components of the candidates that the sketches allow
+    edges = materialize(spark.createDataFrame([], "x long, y long"))
+    parts = materialize(spark.createDataFrame([], "node long, component long"))
     for round_ in range(ROUNDS + 1):
         now = index.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("entry", "doc", F.coalesce("component", "doc").alias("part"))
         # entries whose documents are not all in one group
         spread = [F.min("part").alias("p"), F.max("part").alias("q")]
         if round_ < ROUNDS:
             centers = F.array(*[F.min(F.struct(F.xxhash64("doc", F.lit(round_ * CENTERS + i)).alias("h"), F.col("doc").alias("y"), F.col("part").alias("y_part"))) for i in range(CENTERS)])
-            open_ = now.groupBy("entry").agg(*spread, centers.alias("centers")).where("p < q").select("entry", "centers")
-            pairs = now.join(materialize(open_), "entry").select("doc", "part", F.explode("centers").alias("c")).select("doc", "part", "c.y", "c.y_part")
+            open_ = materialize(now.groupBy("entry").agg(*spread, centers.alias("centers")).where("p < q").select("entry", "centers"))
+            pairs = now.join(open_, "entry").select("doc", "part", F.explode("centers").alias("c")).select("doc", "part", "c.y", "c.y_part")
+            used = [open_]
         else:  # all pairs of different groups: those outside an entry's main one with all others
             open_ = materialize(now.groupBy("entry").agg(*spread).where("p < q").select("entry"))
             now = materialize(now.join(open_, "entry", "left_semi"))
-            sizes = now.groupBy("entry", "part").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
-            main = now.join(materialize(sizes), "entry")
+            mains = materialize(now.groupBy("entry", "part").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max_by("part", F.struct("c", "part")).alias("main")))
+            main = now.join(mains, "entry")
             minor = main.where("part <> main").select("entry", F.col("doc").alias("y"), F.col("part").alias("y_part"))
             pairs = main.join(minor, "entry").where((F.col("part") == F.col("main")) | (F.col("doc") < F.col("y")))
+            used = [open_, now, mains]
         pairs = pairs.where(F.col("part") != F.col("y_part")).select(F.least("doc", "y").alias("x"), F.greatest("doc", "y").alias("y")).distinct()
-        edges = materialize(edges.unionByName(possible(pairs, sketches, percent)))
+        more = materialize(edges.unionByName(possible(pairs, sketches, percent)))
+        discard(edges, parts, *used)
+        edges = more
         parts = materialize(components(edges, "x", "y"))
-    return verified(known, parts.join(sketches.select(F.col("doc").alias("node"), "n"), "node"), size, percent)
+    discard(index, edges)
+    links = verified(known, parts.join(sketches.select(F.col("doc").alias("node"), "n"), "node"), size, percent)
+    discard(parts)
+    return links
 
 
 def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -280,9 +332,10 @@ def verified(known: DataFrame, parts: DataFrame, size: int, percent: int) -> Dat
     is a task.
     """
     spark = known.sparkSession
-    blocks = parts.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = parts.join(materialize(blocks), "component").select(F.col("node").alias("doc"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    blocks = materialize(parts.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")))
+    dealt = parts.join(blocks, "component").select(F.col("node").alias("doc"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     dealt = materialize(dealt.distinct())
+    discard(blocks)
     wanted = spark.sparkContext.broadcast(Bits.build(dealt.select(F.xxhash64("doc").alias("h")), "h"))
 
     def whole(doc, sets):
@@ -291,7 +344,11 @@ def verified(known: DataFrame, parts: DataFrame, size: int, percent: int) -> Dat
     sets = _each(known, size, "doc long, tokens binary", whole, wanted).where(F.length("tokens") > 0)
     placed = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.select("doc", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return sets.join(placed, "doc").groupBy("component", "i", "j").applyInPandas(lambda g: connect(g, percent), "x long, y long").where("x <> y").distinct()
+    links = sets.join(placed, "doc").groupBy("component", "i", "j").applyInPandas(lambda g: connect(g, percent), "x long, y long").where("x <> y").distinct()
+    links = materialize(links)
+    wanted.destroy()
+    discard(dealt)
+    return links
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

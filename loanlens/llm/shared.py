@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """Folder for intermediates: the cluster's ``spark.checkpoint.dir``; only where that is unset, one under the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/llm-scratch"
+    """Folder for intermediates: the cluster's ``spark.checkpoint.dir``; only where that is unset, on one machine, one under the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/llm-scratch"
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
@@ -29,7 +34,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing that reads it is still to run."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -96,9 +111,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m")))
         large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().mapInArrow(_contract, "u long, v long"))
+        discard(edges, least)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(least, "u")
         edges = materialize(joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        discard(large, least)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -1,6 +1,7 @@
 """The n-gram join against all pairs, with frequent tokens from two documents on."""
 
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -81,3 +82,26 @@ def test_similar_sets_share_an_entry():
         frequent = lambda h: (j.mix(h + np.uint64(5)) % np.uint64(1000)) < share * 1000
         a, b = (np.concatenate(j.index_entries(h, frequent(h), percent)) for h in (base, other))
         assert np.array_equal(base, other) or len(np.intersect1d(a, b)), (percent, len(base), len(other), share)
+
+
+def test_common_passage_makes_no_pairs(spark, monkeypatch):
+    """Documents that share one passage and nothing else: no more candidates, however many they are."""
+    seen = []
+    monkeypatch.setattr(j, "possible", lambda pairs, sketches, percent, f=j.possible: (seen.append(pairs.count()), f(pairs, sketches, percent))[1])
+    made = {}
+    for n in (400, 1600):
+        rng = random.Random(n)
+        passage = [f"p{i}" for i in range(120)]
+        rows = [(k, " ".join(passage + [f"w{k}_{i}" for i in range(rng.randrange(40, 80))])) for k in range(n)]
+        seen.clear()
+        got = j.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size=3, percent=90).collect()
+        assert all(r.component_id == r.doc_id for r in got) and len(got) == n
+        made[n] = sum(seen)
+    assert made[1600] <= 5 * max(made[400], 100)
+
+
+def test_nothing_is_left_but_what_the_result_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("loanlens.llm.shared.scratch", lambda spark: f"{tmp_path}/{uuid.uuid4().hex}")
+    out = j.join(spark.createDataFrame(corpus(3, 60), "doc_id long, text string"), size=3, percent=90)
+    assert len(list(tmp_path.iterdir())) <= 2 + 1 + j.ROUNDS  # the list of rows, the last stars; one star table a round
+    assert out.count() == 69
