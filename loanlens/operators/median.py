@@ -24,6 +24,7 @@ analysed once instead of once per DataFrame call.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,45 @@ def sortable_key(v: Column) -> Column:
     return F.when(v < 0, -bits).otherwise(bits)
 
 
+def median(df: DataFrame, keys: Sequence[str], value: str, out_name: str = "MEDIAN",
+           stats: dict[str, str] | None = None, approx: float | None = None) -> DataFrame:
+    """Median of ``value`` per group: exact, or with ``approx`` from a sketch whose rank error is at most that share."""
+    if approx is None:
+        return exact_median(df, keys, value, out_name, stats)
+    return approx_median(df, keys, value, approx, out_name, stats)
+
+
+def approx_median(df: DataFrame, keys: Sequence[str], value: str, rank_error: float, out_name: str = "MEDIAN",
+                  stats: dict[str, str] | None = None) -> DataFrame:
+    """One row per group: a value of the group whose rank is within ``rank_error * n`` (and one) of the middle.
+
+    A mergeable quantile sketch per task and group, merged after the shuffle: one pass, one
+    exchange of sketches of about ``1 / rank_error`` values each, whatever the group's size.
+    NULL values are ignored; NaN ranks and comes out as infinity; groups without values are
+    absent.  ``stats`` as in ``exact_median``, over the same values."""
+    if not 0 < rank_error < 1:
+        raise ValueError("rank_error is a share between 0 and 1")
+    v = F.col(value).cast("double")
+    rows = df.select(*keys, F.when(F.isnan(v), F.lit(float("inf"))).otherwise(v).alias("__v")).filter(F.col("__v").isNotNull())
+    pick = {"count": F.count("__v"), "sum": F.sum("__v"), "min": F.min("__v"), "max": F.max("__v"), "avg": F.avg("__v")}
+    return rows.groupBy(*keys).agg(F.percentile_approx("__v", 0.5, math.ceil(1 / rank_error)).alias(out_name),
+                                   *[pick[kind].alias(name) for name, kind in (stats or {}).items()])
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], value: str, medians: DataFrame, median_name: str, rank_error: float,
+                out_name: str = "WITHIN_RANK_ERROR") -> DataFrame:
+    """Per group: whether ``median_name`` of ``medians`` (one row per group) stands within ``rank_error * n`` ranks
+    (and one) of the middle of the group's values."""
+    m = medians.select(*[F.col(k).alias(f"__m_{k}") for k in keys], F.col(median_name).alias("__m"))
+    same = [F.col(k).eqNullSafe(F.col(f"__m_{k}")) for k in keys]
+    v = F.col(value).cast("double")
+    counted = df.filter(v.isNotNull()).join(m, same).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.count(F.when(v < F.col("__m"), 1)).alias("__below"), F.count(F.when(v <= F.col("__m"), 1)).alias("__upto"))
+    near = F.col("__n") * rank_error + 1
+    half = F.col("__n") / 2
+    return counted.select(*keys, ((F.col("__below") <= half + near) & (F.col("__upto") >= half - near)).alias(out_name))
+
+
 def exact_median(df: DataFrame, keys: Sequence[str], value: str, out_name: str = "MEDIAN",
                  stats: dict[str, str] | None = None) -> DataFrame:
     """One row per group of ``keys``: ``out_name`` = exact median of ``value``

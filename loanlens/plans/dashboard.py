@@ -26,10 +26,15 @@ REPORT_FUNCTIONS = {
 def refresh(ctx: LendingData, database: str, fmt: str = "parquet", buckets: int | None = None,
             names: Iterable[str] | None = None) -> dict[str, str]:
     """Rebuild the tables of ``database`` and write the reports; returns
-    name -> qualified table (the built tables and ``report_<name>`` tables)."""
-    out = gold.build_tables(ctx, database, fmt=fmt, buckets=buckets)
+    name -> qualified table (the built tables and ``report_<name>`` tables).
+
+    The tables are staged and swapped, so ``ctx`` may be ``gold.from_tables`` of
+    the same database, and readers see the old tables until all new ones stand.
+    ``ctx`` itself is stale then; make a new one."""
+    out = gold.build_tables(ctx, database, fmt=fmt, buckets=buckets, rollups=bool(buckets), staged=True)
     saved = gold.from_tables(ctx.spark, database)
     saved.persist_slim()
+    saved.persist_scored()
     for name in names or REPORT_FUNCTIONS:
         out[f"report_{name}"] = save(REPORT_FUNCTIONS[name](saved), f"report_{name}", fmt=fmt, database=database)
     return out

@@ -1,9 +1,10 @@
 """Bronze -> silver -> gold build: write the cleaned tables and the wide master
 table, and read them back as a ``LendingData`` for the reports.
 
-With ``buckets=n`` the tables with one row per SK_ID_CURR (the application and
-the master table) are written bucketed and sorted by it, so a join on the key
-never shuffles them.  The child tables are not: an applicant may hold any share
+With ``buckets=n`` the tables with one row per SK_ID_CURR (the application, the
+master table and, with ``rollups=True``, the three roll-ups) are written bucketed
+and sorted by it, so a join on the key never shuffles them: with saved roll-ups the
+wide and the slim table are joined without any exchange.  The child tables are not: an applicant may hold any share
 of their rows, a bucket is read by one task, and unbucketed they are combined
 on every mapper before the exchange.  This is the Spark counterpart of indexing
 the tables on SK_ID_CURR.
@@ -16,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.sinks import save
+from ..sources.sinks import STAGED, restore, save, swap
 from .context import LendingData
 
 # FIXED VALUES - saved table names.
@@ -28,15 +29,24 @@ SILVER_TABLES = {
     "installments_payments": "installments_payments",
 }
 MASTER_TABLE = "master_dataset"
-ONE_ROW_PER_APPLICANT = {"application_train", MASTER_TABLE}
+# Saved roll-ups: table name -> attribute of LendingData.
+ROLLUP_TABLES = {"bureau_features": "bureau_features", "prev_app_features": "previous_features",
+                 "payment_features": "payment_features"}
+ONE_ROW_PER_APPLICANT = {"application_train", MASTER_TABLE, *ROLLUP_TABLES}
 
 
 def build_tables(ctx: LendingData, database: str, fmt: str = "parquet", buckets: int | None = None,
-                 include_master: bool = True, row_counts: dict[str, int] | None = None) -> dict[str, str]:
+                 include_master: bool = True, row_counts: dict[str, int] | None = None, rollups: bool = False,
+                 staged: bool = False) -> dict[str, str]:
     """Write the five cleaned tables, then the wide master table computed from the
     *written* cleaned tables (the lineage is cut there: the master does not redo
     the cleaning, and a lost executor only recomputes from the saved tables).
-    Returns name -> qualified table.
+    With ``rollups`` the three roll-ups are written in between, and the master table
+    is joined from them.  Returns name -> qualified table.
+
+    With ``staged`` every table is written beside the old one, and all are swapped by
+    name once the last is written: ``ctx`` may read the very tables that are rebuilt,
+    and a build that fails leaves the old ones as they were.
 
     Pass a dict as ``row_counts`` to receive the row count of every written table.
     The counts are ``observe`` metrics gathered by the write jobs themselves, so
@@ -44,19 +54,23 @@ def build_tables(ctx: LendingData, database: str, fmt: str = "parquet", buckets:
     out = {}
     observed: dict[str, Observation] = {}
 
-    def write(key: str, df: DataFrame, table: str, bucket) -> str:
+    def write(key: str, df: DataFrame, table: str) -> DataFrame:
         if row_counts is not None:
             observed[key] = Observation(f"rows_{key}")
             df = df.observe(observed[key], F.count(F.lit(1)).alias("rows"))
-        return save(df, table, fmt=fmt, database=database, bucket_by=bucket)
-
-    for key, df in ctx.silver().items():
         bucket = (buckets, "SK_ID_CURR") if buckets and key in ONE_ROW_PER_APPLICANT else None
-        out[key] = write(key, df, SILVER_TABLES[key], bucket)
+        out[key] = save(df, table + suffix, fmt=fmt, database=database, bucket_by=bucket)
+        return ctx.spark.table(out[key])
+
+    suffix = STAGED if staged else ""
+    saved = from_silver(ctx.spark, {key: write(key, df, SILVER_TABLES[key]) for key, df in ctx.silver().items()})
+    if rollups:
+        for table, attribute in ROLLUP_TABLES.items():
+            saved.__dict__[attribute] = write(table, getattr(saved, attribute), table)
     if include_master:
-        bucket = (buckets, "SK_ID_CURR") if buckets else None
-        saved = from_silver(ctx.spark, _saved_silver(ctx.spark, database))
-        out[MASTER_TABLE] = write(MASTER_TABLE, saved.wide, MASTER_TABLE, bucket)
+        write(MASTER_TABLE, saved.wide, MASTER_TABLE)
+    if staged:
+        out = {key: swap(ctx.spark, database, SILVER_TABLES.get(key, key)) for key in out}
     if row_counts is not None:
         row_counts.update({k: o.get["rows"] for k, o in observed.items()})
     return out
@@ -77,8 +91,14 @@ def _saved_silver(spark: SparkSession, database: str) -> dict[str, DataFrame]:
 
 
 def from_tables(spark: SparkSession, database: str) -> LendingData:
-    """Reports over the saved tables of ``database``: the silver ones, and the wide table if it was saved."""
+    """Reports over the saved tables of ``database``: the silver ones, and the roll-ups and the wide table if they
+    were saved.  Swaps of a rebuild that was cut short are settled first."""
+    for name in (*SILVER_TABLES.values(), *ROLLUP_TABLES, MASTER_TABLE):
+        restore(spark, database, name)
     ctx = from_silver(spark, _saved_silver(spark, database))
+    for table, attribute in ROLLUP_TABLES.items():
+        if spark.catalog.tableExists(f"`{database}`.`{table}`"):
+            ctx.__dict__[attribute] = spark.table(f"`{database}`.`{table}`")
     if spark.catalog.tableExists(f"`{database}`.`{MASTER_TABLE}`"):
         ctx.__dict__["wide"] = spark.table(f"`{database}`.`{MASTER_TABLE}`")
     return ctx

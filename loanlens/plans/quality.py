@@ -44,8 +44,9 @@ def stage_counts(ctx: LendingData) -> DataFrame:
 
     One aggregate per table: a child table's rows are counted per applicant, and
     the sum of the counts is the cleaned table's size, their number the roll-up's.
-    Joining key-unique roll-ups keeps the application's rows, so the wide table's
-    count is the application's.
+    ``master_dataset`` is the count of the joined table itself.  The joins are left
+    out of its plan only where a roll-up is grouped by the key in the same plan, and
+    so can't repeat it; a roll-up that comes from elsewhere is joined and counted.
     """
     n = F.count(F.lit(1))
 
@@ -57,7 +58,8 @@ def stage_counts(ctx: LendingData) -> DataFrame:
         return rows(per_key, {cleaned: "rows", rolled: "keys"})
 
     parts = [
-        rows(ctx.application.agg(n.alias("rows")), {"application_train_clean": "rows", "master_dataset": "rows"}),
+        rows(ctx.application.agg(n.alias("rows")), {"application_train_clean": "rows"}),
+        rows(ctx.wide.agg(n.alias("rows")), {"master_dataset": "rows"}),
         child(ctx.bureau, "bureau_clean", "bureau_features"),
         child(ctx.previous, "previous_application_clean", "prev_app_features"),
         child(ctx.installments, "installments_payments_clean", "payment_features"),

@@ -16,11 +16,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import gold, quality
+from .plans import gold, quality, reports, risk
 from .plans.context import LendingData
 from .plans.reports import REPORTS
 from .sources import catalog, csv, sinks
-from .sources.schemas import TABLE_FILES
+from .sources.schemas import CHECKSUM_KEYS, TABLE_FILES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,13 +48,38 @@ def ctx_for(spark: SparkSession, sf_dir: str) -> LendingData:
 
 def load_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV source round trip of all eight tables: written as headed CSV with the columns in
-    another order and one more than declared, read back by name, and profiled."""
-    folder = sinks.scratch_path(spark, "load_tables")
+    another order and one more than declared, read back by name, and profiled, with a checksum
+    of each column's contents."""
+    folder = _as_csv(spark, sf_dir, "load_tables")
+    return catalog.column_profile(csv.read_tables(spark, folder), keys=CHECKSUM_KEYS).drop("POSITION", "DATA_TYPE")
+
+
+def infer_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second read mode: the eight headed CSV files read with inferred types; name, type and non-null count
+    of every column."""
+    return catalog.schema_listing(csv.read_tables(spark, _as_csv(spark, sf_dir, "infer_tables"), infer=True)).drop("POSITION")
+
+
+def _as_csv(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Write the raw tables as headed CSV, columns in reverse and one more than declared; returns the folder."""
+    folder = sinks.scratch_path(spark, name)
     for name, df in ctx_for(spark, sf_dir).raw.items():
         columns = [F.col(c) for c in reversed(df.columns)]
         noted = df.select(*columns[:1], F.lit('kept, "as is"').alias("SOURCE_NOTE"), *columns[1:])
         noted.write.mode("overwrite").option("header", "true").option("escape", '"').csv(os.path.join(folder, TABLE_FILES[name]))
-    return catalog.column_profile(csv.read_tables(spark, folder)).drop("POSITION", "DATA_TYPE")
+    return folder
+
+
+def footer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile of the stored tables that the lending tables come from, from their Parquet footers."""
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+    return catalog.footer_profile(spark, {n: os.path.join(sf_dir, f"{n}.parquet") for n in names}).drop("POSITION", "DATA_TYPE")
+
+
+def preview_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unordered previews of the five raw tables: rows shown, and how many of them are rows of the table."""
+    raw = ctx_for(spark, sf_dir).raw
+    return catalog.preview_check({k: raw[k] for k in gold.SILVER_TABLES})
 
 
 def profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +98,31 @@ def _preview(table: str, *keys: str) -> Query:
 
 def save_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sink round trip: the five cleaned tables and the wide table are written as tables
-    (overwriting those of the last run), read back from the catalog, and profiled."""
+    (overwriting those of the last run), read back from the catalog, and profiled, with a checksum
+    of each column's contents."""
     names = gold.build_tables(ctx_for(spark, sf_dir), "loanlens_gold")
-    return catalog.column_profile({k: spark.table(v) for k, v in names.items()}).drop("POSITION", "DATA_TYPE")
+    return catalog.column_profile({k: spark.table(v) for k, v in names.items()}, keys=CHECKSUM_KEYS).drop("POSITION", "DATA_TYPE")
+
+
+def risk_wide_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table joined from the saved application and the saved roll-ups, all bucketed by the join key."""
+    gold.build_tables(ctx_for(spark, sf_dir), "loanlens_bucketed", buckets=4, rollups=True, include_master=False)
+    saved = gold.from_tables(spark, "loanlens_bucketed")
+    return _rounded(risk.risk_wide(saved.application, saved.bureau_features, saved.previous_features, saved.payment_features), WIDE_DOUBLES)
+
+
+def rebuild_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables built, and built again from themselves into the same database by staging and swapping: rows and columns of each."""
+    gold.build_tables(ctx_for(spark, sf_dir), "loanlens_rebuilt", staged=True)
+    names = gold.build_tables(gold.from_tables(spark, "loanlens_rebuilt"), "loanlens_rebuilt", staged=True)
+    return catalog.profile({k: spark.table(v) for k, v in names.items()})
+
+
+def risk_score_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V23 over the scored rows written once to the shared folder."""
+    ctx = LendingData.from_fixtures(spark, sf_dir)
+    ctx.persist_scored()
+    return reports.risk_score(ctx)
 
 
 def master_views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +147,10 @@ def _from_ctx(fn: Callable[[LendingData], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "load_tables": load_tables,
+    "infer_tables": infer_tables,
     "profile_tables": profile_tables,
+    "footer_profile": footer_profile,
+    "preview_first_rows": preview_first_rows,
     "schema_listing": schema_listing,
     "preview": _preview("application_train", "SK_ID_CURR"),
     "preview_bureau": _preview("bureau", "SK_ID_BUREAU"),
@@ -108,6 +158,10 @@ QUERIES: dict[str, Query] = {
     "preview_previous": _preview("previous_application", "SK_ID_PREV"),
     "preview_installments": _preview("installments_payments", "SK_ID_PREV"),
     "save_gold": save_gold,
+    "risk_wide_bucketed": risk_wide_bucketed,
+    "rebuild_gold": rebuild_gold,
+    "risk_score_saved": risk_score_saved,
+    "salary_approx_check": _from_ctx(reports.salary_approx_check),
     "master_views": master_views,
     "clean_application": _from_ctx(lambda c: c.application),
     "clean_bureau": _from_ctx(lambda c: c.bureau),

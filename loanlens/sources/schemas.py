@@ -25,6 +25,13 @@ TABLE_FILES = {
 }
 TABLES = list(TABLE_FILES)
 
+# FIXED VALUES - the column that identifies rows in each table's content checksum.
+CHECKSUM_KEYS = {
+    "application_train": "SK_ID_CURR", "application_test": "SK_ID_CURR", "bureau": "SK_ID_BUREAU",
+    "bureau_balance": "SK_ID_BUREAU", "previous_application": "SK_ID_PREV", "pos_cash_balance": "p_partkey",
+    "installments_payments": "SK_ID_PREV", "credit_card_balance": "s_suppkey", "master_dataset": "SK_ID_CURR",
+}
+
 
 def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])

@@ -36,6 +36,42 @@ def save(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "overwrite"
     return qualified
 
 
+#: Names of a table that is being rebuilt, and of the one that it replaces.
+STAGED, REPLACED = "__staged", "__replaced"
+
+
+def swap(spark: SparkSession, database: str, name: str) -> str:
+    """Put the finished table ``name__staged`` in the place of ``name`` and return the qualified name.
+
+    Only names change, so the old table can be read until then, also by the job that wrote the new
+    one.  A swap that was cut short is finished by the next one, or undone by ``restore``.
+    """
+    restore(spark, database, name)
+    table = lambda suffix="": f"`{database}`.`{name}{suffix}`"
+    if spark.catalog.tableExists(table()):
+        spark.sql(f"ALTER TABLE {table()} RENAME TO {table(REPLACED)}")
+    spark.sql(f"ALTER TABLE {table(STAGED)} RENAME TO {table()}")
+    spark.sql(f"DROP TABLE IF EXISTS {table(REPLACED)}")
+    spark.catalog.refreshTable(table())
+    return table()
+
+
+def restore(spark: SparkSession, database: str, name: str) -> None:
+    """After a swap that was cut short: the old table gets its name back if the new one has not taken it, or goes."""
+    table = lambda suffix="": f"`{database}`.`{name}{suffix}`"
+    if spark.catalog.tableExists(table(REPLACED)):
+        if spark.catalog.tableExists(table()):
+            spark.sql(f"DROP TABLE {table(REPLACED)}")
+        else:
+            spark.sql(f"ALTER TABLE {table(REPLACED)} RENAME TO {table()}")
+
+
+def location(spark: SparkSession, table: str) -> str:
+    """The folder that a saved table's files lie in."""
+    rows = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").select("data_type").collect()
+    return rows[0][0]
+
+
 def buckets_for(table_bytes: int, target: int = 512 << 20) -> int:
     """Number of buckets that gives files of about ``target`` bytes."""
     return max(1, -(-table_bytes // target))

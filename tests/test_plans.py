@@ -99,7 +99,7 @@ def test_hot_applicant_rollup_exact(spark):
 
 
 LIMIT_IS_THE_FEATURE = {"top_occupations", "rejection_reasons", "preview", "preview_bureau", "preview_bureau_balance",
-                       "preview_previous", "preview_installments"}
+                       "preview_previous", "preview_installments", "preview_first_rows"}
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
