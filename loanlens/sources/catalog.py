@@ -103,7 +103,7 @@ def footer_profile(spark: SparkSession, paths: Mapping[str, str], digits: int =
             r = df.agg(*counts).first().asDict() | spark.read.parquet(path).agg(*extrema).first().asDict()
         for i, f in enumerate(df.schema.fields):
             low, high = r.get(f"lo{i}"), r.get(f"hi{i}")
-            rows.append((name, i + 1, f.name, f.dataType.simpleString(), r["rows"], r.get(f"n{i}"),
+            rows.append((name, i + 1, f.name, f.dataType.simpleString(), r["rows"] or 0, r[f"n{i}"] or 0 if f"n{i}" in r else None,
                          None if low is None else float(low), None if high is None else float(high)))
     schema = "TABLE_NAME string, POSITION int, COLUMN_NAME string, DATA_TYPE string, ROW_COUNT long, NON_NULL_COUNT long, MIN_NUMBER double, MAX_NUMBER double"
     out = spark.createDataFrame(rows, schema)
