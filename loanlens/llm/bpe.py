@@ -5,8 +5,9 @@ in no token are never joined: between them a cut is certain.  The table of such
 from the vocabulary.  White space after a non-space byte is such a cut for every byte-level
 vocabulary that is split before merging, and it also ends whatever the split pattern matches;
 at those cuts whole batches of texts fall apart into chunks, in numpy.  A distinct chunk is
-split by the vocabulary's pattern and at its other certain cuts, its fragments are merged one
-by one, and the ids are put together; all other occurrences only copy them.
+split by the vocabulary's pattern and at its other certain cuts, all chunks of a batch at once;
+each distinct fragment is merged by itself, and the ids are put together; all other occurrences
+only copy them.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from loanlens.llm.text import Hasher, Words, pieces
+from loanlens.llm.text import SPACE, Hasher, Words, pieces
 
 #: White space beyond ASCII right before ASCII white space: there a chunk would end inside what the pattern matches.
 _WIDE_SPACE = re.compile(rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f])[ \t-\r]")
-#: Distinct chunks that a worker keeps; beyond that it starts afresh.
-KEEP = 1 << 20
-KEEP_FRAGMENTS = 1 << 17
+#: Distinct chunks and fragments that a worker keeps, about 50 bytes each; beyond that it starts afresh.
+KEEP = 1 << 19
+KEEP_FRAGMENTS = 1 << 18
 
 
 def byte_alphabet() -> list[str]:
@@ -48,9 +49,10 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             raw = json.load(f)
+        self._serves(raw)
         library = Tokenizer.from_file(path)
         self.model, self.pattern = library.model, library.pre_tokenizer
-        back = self.byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+        back = {c: b for b, c in enumerate(byte_alphabet())}
         added = {t["content"]: t["id"] for t in raw["added_tokens"]}
         size = 1 + max([*raw["model"]["vocab"].values(), *added.values()])
         tokens = [b""] * size
@@ -62,31 +64,43 @@ class Vocabulary:
         for token in tokens:
             b = np.frombuffer(token, np.uint8)
             self.joined[b[:-1], b[1:]] = True
+        # white space after a word must be a cut; wide spaces, which end in one of the other bytes, are told apart by _WIDE_SPACE
+        if self.joined[np.ix_(np.flatnonzero(~SPACE[:0x80] & (np.arange(0x80) > 0x1F)), np.flatnonzero(SPACE))].any():
+            raise ValueError(f"{path}: a token joins a word to the white space after it")
         self.specials = added
         self.special_pattern = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
         # the bytes of all tokens, one after another
         self.length = np.array([len(t) for t in tokens], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.length)])[:-1]
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.fragments: dict[str, list[int]] = {}
-
-    def fragment(self, piece: str) -> list[int]:
-        """Ids of a string (in the byte alphabet) without certain cuts, by the vocabulary's merges."""
-        ids = self.fragments.get(piece)
-        if ids is None:
-            if len(self.fragments) >= KEEP_FRAGMENTS:
-                self.fragments.clear()
-            ids = self.fragments[piece] = [t.id for t in self.model.tokenize(piece)]
-        return ids
+        self.codes = np.zeros(512, np.uint8)  # code point of the byte alphabet -> byte
+        for c, b in back.items():
+            self.codes[ord(c)] = b
+
+    @staticmethod
+    def _serves(raw: dict) -> None:
+        """Refuse what the cuts don't hold for."""
+        first, model = raw["pre_tokenizer"] or {}, raw["model"]
+        faults = {
+            "a normalizer": raw["normalizer"], "no byte-level pattern": first.get("type") != "ByteLevel" or not first.get("use_regex", True),
+            "a space before the text": first.get("add_prefix_space"), "a model other than BPE": model["type"] != "BPE",
+            "marks of word parts": model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"), "dropout": model.get("dropout"),
+            "added tokens that take spaces or whole words": any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in raw["added_tokens"]),
+        }
+        if found := [name for name, fault in faults.items() if fault]:
+            raise ValueError("this vocabulary has " + ", ".join(found))
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Where no token joins a byte to the one before it: positions 1 to the last."""
+        return np.flatnonzero(~self.joined[data[:-1], data[1:]]) + 1
 
     def plain(self, text: str) -> list[int]:
         """Ids of a text without special tokens: pattern, certain cuts, merges."""
         out: list[int] = []
         for word, _ in self.pattern.pre_tokenize_str(text) if text else ():
-            b = np.frombuffer(bytes([self.byte_of[c] for c in word]), np.uint8)
-            cuts = [0, *(np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist(), len(word)]
-            for a, z in zip(cuts, cuts[1:]):
-                out += self.fragment(word[a:z])
+            edge = [0, *self.cuts(self.codes[np.frombuffer(word.encode("utf-16-le"), np.uint16)]).tolist(), len(word)]
+            for a, z in zip(edge, edge[1:]):
+                out += [t.id for t in self.model.tokenize(word[a:z])]
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -106,31 +120,76 @@ class Vocabulary:
         return self.bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[ids] - (ends - n), n)]
 
 
+class Table:
+    """Id sequences by 64-bit hash, in flat arrays."""
+
+    def __init__(self):
+        self.known = np.zeros(0, np.uint64)  # hashes, sorted
+        self.row = np.zeros(0, np.int64)  # of each: its row below
+        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions of those that are not here."""
+        place = np.searchsorted(self.known, hashes)
+        place[place == len(self.known)] = 0
+        return np.flatnonzero(self.known[place] != hashes) if len(self.known) else np.arange(len(hashes))
+
+    def add(self, hashes: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """New hashes, how many ids each has, and the ids one after another."""
+        self.row = np.concatenate([self.row, len(self.at) + np.arange(len(hashes))])
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(count) - count])
+        self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, ids])
+        self.known = np.concatenate([self.known, hashes])
+        order = np.argsort(self.known, kind="stable")
+        self.known, self.row = self.known[order], self.row[order]
+
+    def get(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all hashes, which are all here, one after another, and how many each has."""
+        row = self.row[np.searchsorted(self.known, hashes)]
+        count = self.count[row]
+        ends = np.cumsum(count)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[row] - (ends - count), count)], count
+
+
 class Encoder:
-    """Encodes batches of texts; remembers the ids of the chunks it has met."""
+    """Encodes batches of texts; remembers the ids of the chunks and fragments it has met."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.hash = Hasher(4)
         self.starts = [t.encode() for t in vocabulary.specials]
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # hashes of chunks, sorted
-        self.where = np.zeros(0, np.int64)  # of each: its row below
-        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.chunks, self.fragments = Table(), Table()
 
     def learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
-        new = [self.vocabulary.plain(c.decode()) for c in chunks]
-        count = np.array([len(x) for x in new], np.int64)
-        at = len(self.ids) + np.concatenate([[0], np.cumsum(count)])[:-1].astype(np.int64)
-        self.where = np.concatenate([self.where, len(self.at) + np.arange(len(new))])
-        self.at, self.count = np.concatenate([self.at, at]), np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, np.array([i for x in new for i in x], np.uint32)])
-        self.known = np.concatenate([self.known, hashes])
-        order = np.argsort(self.known, kind="stable")
-        self.known, self.where = self.known[order], self.where[order]
+        """Ids of new chunks.
+
+        Chunks of white space and a word stand in one string for the pattern, which ends its
+        matches between them; what else there is goes to it one by one.  All pieces are cut in
+        one array, and only fragments never met before are merged.
+        """
+        own = self.vocabulary
+        joint = np.array([c[0] in b" \t\n\v\f\r" and c[-1] not in b" \t\n\v\f\r" for c in chunks], bool)
+        order = np.concatenate([np.flatnonzero(joint), np.flatnonzero(~joint)])
+        chunks = [chunks[i] for i in order.tolist()]
+        n = int(joint.sum())
+        words = [w for text in [b"".join(chunks[:n]), *chunks[n:]] for w, _ in own.pattern.pre_tokenize_str(text.decode())]
+        letters = "".join(words)
+        data = own.codes[np.frombuffer(letters.encode("utf-16-le"), np.uint16)]
+        ends = np.cumsum([len(w) for w in words])
+        start = np.union1d(own.cuts(data), np.concatenate([[0], ends[:-1]])).astype(np.int64)
+        end = np.append(start[1:], len(data))
+        h = self.hash.word(data, start, end)
+        if len(self.fragments.known) > KEEP_FRAGMENTS:
+            self.fragments = Table()
+        distinct, first = np.unique(h, return_index=True)
+        new = self.fragments.missing(distinct)
+        merged = [[t.id for t in own.model.tokenize(letters[a:z])] for a, z in zip(start[first[new]].tolist(), end[first[new]].tolist())]
+        self.fragments.add(distinct[new], np.array([len(m) for m in merged], np.int64), np.array([i for m in merged for i in m], np.uint32))
+        ids, count = self.fragments.get(h)
+        # a chunk's fragments stand side by side
+        of = np.searchsorted(np.cumsum([len(c) for c in chunks]), start, "right")
+        self.chunks.add(hashes[order], np.bincount(of, weights=count, minlength=len(chunks)).astype(np.int64), ids)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and n + 1 offsets."""
@@ -152,21 +211,15 @@ class Encoder:
         order = np.argsort(begin, kind="stable")
         begin, end = begin[order], end[order]
         h = self.hash.word(data, begin, end)
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > KEEP:
-            self.forget()
-        place = np.searchsorted(self.known, distinct)
-        place[place == len(self.known)] = 0
-        missing = np.flatnonzero(self.known[place] != distinct) if len(self.known) else np.arange(len(distinct))
+        distinct, first = np.unique(h, return_index=True)
+        if len(self.chunks.known) > KEEP:
+            self.chunks = Table()
+        missing = self.chunks.missing(distinct)
         if len(missing):
             spans = zip(begin[first[missing]].tolist(), end[first[missing]].tolist())
             self.learn(distinct[missing], [raw[a:z] for a, z in spans])
-            place = np.searchsorted(self.known, distinct)
-        row = self.where[place][inverse]
-        count = self.count[row]
-        ends = np.cumsum(count)
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.at[row] - (ends - count), count)]
-        total = np.concatenate([[0], ends])
+        ids, count = self.chunks.get(h)
+        total = np.concatenate([[0], np.cumsum(count)])
         offsets = total[np.searchsorted(begin, words.offsets)]
         if apart:  # rare: these texts are encoded without the chunks
             parts, sizes = [], np.diff(offsets)

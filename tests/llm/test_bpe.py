@@ -1,6 +1,7 @@
 """BPE by forced-boundary splitting against the library's own encoder and decoder."""
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ def test_any_text(texts):
 
 def test_chunks_are_forgotten(monkeypatch):
     monkeypatch.setattr(bpe, "KEEP", 3)
+    monkeypatch.setattr(bpe, "KEEP_FRAGMENTS", 3)
     for _ in range(2):
         check(["one two three four five", "six seven one two"])
 
@@ -58,3 +60,20 @@ def test_rows(spark, extra):
         want.append((k or 0, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want)
     assert bpe.bpe(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("change", [
+    lambda r: r.update(normalizer={"type": "Lowercase"}), lambda r: r["pre_tokenizer"].update(add_prefix_space=True), lambda r: r.update(pre_tokenizer={"type": "Whitespace"}),
+    lambda r: r["added_tokens"][0].update(lstrip=True), lambda r: r["model"].update(dropout=0.1), lambda r: r["model"].update(continuing_subword_prefix="##"),
+    lambda r: r["model"]["vocab"].update({"a\u0120": 60000})])
+def test_vocabularies_that_the_cuts_do_not_hold_for(tmp_path, change):
+    with open(PATH, encoding="utf-8") as f:
+        raw = json.load(f)
+    change(raw)
+    (tmp_path / "v.json").write_text(json.dumps(raw), encoding="utf-8")
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(str(tmp_path / "v.json"))
+
+
+def test_long_text():
+    check(["word " * 300_000 + "z" * 100_000 + "\n" * 50_000 + "end"])
