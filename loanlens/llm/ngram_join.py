@@ -37,6 +37,8 @@ FREQUENT = 8
 COUNTS = 5
 #: Longs of parity bits that a document is sketched with, at least.
 SKETCH = 16
+#: A shorter sketch that the last round's join looks at: one long each.
+FOLDS = ("f0", "f1", "f2", "f3")
 #: Rounds in which the documents of an entry meet some of them, and with how many.
 ROUNDS, CENTERS = 2, 2
 #: Tokens that a verifying task holds of one side, about; larger groups are split.
@@ -254,11 +256,13 @@ def similar(known: DataFrame, reps, sketches: DataFrame, size: int, percent: int
             used = [open_]
         else:  # all pairs of different groups: those outside an entry's main one with all others
             open_ = materialize(now.groupBy("entry").agg(*spread).where("p < q").select("entry"))
-            now = materialize(now.join(open_, "entry", "left_semi"))
+            now = materialize(now.join(open_, "entry", "left_semi").join(folds(sketches), "doc"))
             mains = materialize(now.groupBy("entry", "part").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max_by("part", F.struct("c", "part")).alias("main")))
             main = now.join(mains, "entry")
-            minor = main.where("part <> main").select("entry", F.col("doc").alias("y"), F.col("part").alias("y_part"))
-            pairs = main.join(minor, "entry").where((F.col("part") == F.col("main")) | (F.col("doc") < F.col("y")))
+            minor = main.where("part <> main").select("entry", *[F.col(c).alias(f"y_{c}" if c != "doc" else "y") for c in ("doc", "part", "n", *FOLDS)])
+            bits = reduce(lambda a, b: a + b, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"y_{c}"))) for c in FOLDS])
+            fits = allowed(F.col("n"), F.col("y_n"), bits, percent) & (F.col("part") != F.col("y_part"))
+            pairs = main.join(minor, "entry").where(fits & ((F.col("part") == F.col("main")) | (F.col("doc") < F.col("y"))))
             used = [open_, now, mains]
         pairs = pairs.where(F.col("part") != F.col("y_part")).select(F.least("doc", "y").alias("x"), F.greatest("doc", "y").alias("y")).distinct()
         more = materialize(edges.unionByName(possible(pairs, sketches, percent)))
@@ -271,6 +275,24 @@ def similar(known: DataFrame, reps, sketches: DataFrame, size: int, percent: int
     return links
 
 
+def folds(sketches: DataFrame) -> DataFrame:
+    """(doc, n, the longs of FOLDS): sketches of as many buckets as FOLDS has bits, for a first look inside the join.
+
+    A bucket of the short sketch holds the tokens of every so many of the long one, so their parities add up.
+    """
+    def fold(j: int):
+        own = F.filter("sketch", lambda x, i: i % len(FOLDS) == j)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda total, x: total.bitwiseXOR(x))
+
+    return sketches.select("doc", "n", *[fold(j).alias(c) for j, c in enumerate(FOLDS)])
+
+
+def allowed(n, other, bits, percent: int):
+    """Whether sets of n and ``other`` tokens, whose sketches differ in ``bits``, can be similar: they differ in as many tokens at least."""
+    sizes = (n * 100 >= other * percent) & (other * 100 >= n * percent)
+    return sizes & (bits * (100 + percent) <= (n + other) * (100 - percent))
+
+
 def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches allow the similarity.
 
@@ -289,8 +311,7 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.withColumn("a", folded("xs", "ys")).withColumn("b", folded("ys", "xs"))
     differ = F.aggregate(F.zip_with("a", "b", lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda total, b: total + b)
     bits = F.when(F.size("a") == F.size("b"), differ).otherwise(0)
-    fits = (F.col("xn") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("xn") * percent)
-    return pairs.where(fits).where(bits * (100 + percent) <= (F.col("xn") + F.col("yn")) * (100 - percent)).select("x", "y").distinct()
+    return pairs.where(allowed(F.col("xn"), F.col("yn"), bits, percent)).select("x", "y").distinct()
 
 
 def connect(group: pd.DataFrame, percent: int) -> pd.DataFrame:
