@@ -6,10 +6,10 @@ A line is boilerplate on a host when the share of the host's pages that contain
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.llm.shared import materialize
+from loanlens.llm.shared import let, materialize
 
 #: A line goes when more than this share of its host's pages contain it ...
 RATIO = 0.1
@@ -35,24 +35,31 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages:
 def line_dedup(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text``.
 
-    All columns stay; ``line_dedup`` (struct of n_lines, n_dropped) is added.  Lines are
-    separated by ``\\n`` and compared whole; blank lines are kept.  Null text stays null with
-    zero lines, its page still counts for the host; pages without a host share the null host;
-    a text of boilerplate alone becomes empty; repeated rows are pages of their own.  The host
-    lists are written first, so Spark broadcasts them only if their measured size allows, and
-    else joins with AQE splitting a hot host's pages.
+    All columns stay; ``line_dedup`` (struct of n_lines, n_dropped) is added, in place of an input
+    column of that name.  Lines are separated by ``\n`` and compared whole; blank lines are kept.
+    Null text stays null with zero lines, its page still counts for the host; pages without a host
+    share the null host; a text of boilerplate alone becomes empty; repeated rows are pages of
+    their own; no rows give none.  The host lists are written first, so Spark broadcasts them only
+    if their measured size allows, and else joins with AQE splitting a hot host's pages.  A page's
+    lines meet its host's list by hashing, once.
     """
-    lists = materialize(boilerplate(pages, host, text, ratio, min_pages)).select(F.col("host").alias("_line_dedup_host"), F.col("lines").alias("_line_dedup_lines"))
-    joined = pages.join(lists, F.col(f"`{host}`").eqNullSafe(F.col("_line_dedup_host")), "left")
-    split = F.split(F.col(f"`{text}`"), "\n")
-    kept = F.filter(split, lambda x: ~((F.trim(x) != "") & F.array_contains("_line_dedup_lines", F.xxhash64(x))))
-    clean = F.when(F.col("_line_dedup_lines").isNull(), split).otherwise(kept)
-    out = joined.withColumn("_line_dedup_kept", clean)
-    n = F.coalesce(F.size(split), F.lit(0))
-    n = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(n).cast("long")
-    left = F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size("_line_dedup_kept")).cast("long")
+    columns = pages.columns
+    at = {c: f"c{i}" for i, c in enumerate(columns)}
+    own = pages.toDF(*at.values())
+    lists = materialize(boilerplate(own, at[host], at[text], ratio, min_pages)).select(F.col("host").alias("of"), "lines")
+    joined = own.join(lists, F.col(at[host]).eqNullSafe(F.col("of")), "left")
+    split, whole = F.split(F.col(at[text]), "\n"), F.col(at[text])
+
+    def without(bad: Column) -> Column:
+        return F.filter(split, lambda x: ~((F.trim(x) != "") & F.array_contains(bad, F.xxhash64(x))))
+
+    bad = F.array_intersect("lines", F.transform(split, lambda x: F.xxhash64(x)))
+    kept = F.when(F.col("lines").isNull(), split).otherwise(let(bad, without))
+    out = joined.withColumn("kept", kept)
+    n = F.when(whole.isNull(), 0).otherwise(F.coalesce(F.size(split), F.lit(0))).cast("long")
+    left = F.when(whole.isNull(), 0).otherwise(F.size("kept")).cast("long")
     return out.select(
-        *[F.array_join("_line_dedup_kept", "\n").alias(text) if c == text else F.col(f"`{c}`") for c in pages.columns if c != "line_dedup"],
+        *[(F.array_join("kept", "\n") if c == text else F.col(at[c])).alias(c) for c in columns if c != "line_dedup"],
         F.struct(n.alias("n_lines"), (n - left).alias("n_dropped")).alias("line_dedup"),
     )
 

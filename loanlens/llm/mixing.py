@@ -10,14 +10,16 @@ and within a block of its share at any prefix.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from loanlens.llm.shared import materialize
+from loanlens.llm.shared import discard, materialize
 from loanlens.llm.text import Words, pieces
 
 #: Weights of the sources in code point order, repeating; words of the mix as a
@@ -30,7 +32,6 @@ SLOTS, BLOCK = 1 << 20, 128
 #: A word, for Java's patterns.
 WORD = r"[^\x20\x09-\x0D]+"
 _CHUNK = 1 << 14  # slots of one source that one row becomes
-_ROWS = 4096  # documents of one source whose positions one group works out, about
 _PHI = 0.6180339887498949
 
 
@@ -56,10 +57,6 @@ def source_key(source: str):
     return F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`")), F.lit(""))
 
 
-def _shuffled(key: str):
-    return F.xxhash64(F.col(f"`{key}`"), F.lit(20260101))
-
-
 def plan_sources(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> tuple[DataFrame, float]:
     """(_src, source, source_size, target, place in the order of sources) and the words of the whole mix.
 
@@ -109,34 +106,59 @@ def rank_slots(sources: DataFrame, block: int) -> DataFrame:
     return placed.join(before, "p").select((F.col("before") + F.col("i")).alias("slot"), "_src", "rank", "length")
 
 
-def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, slots: int = SLOTS) -> Mix:
+def running(rows: DataFrame, column: str, order: list) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``column`` over all rows that stand earlier in ``order``.
+
+    Rows are dealt by ranges and added up in each; what other ranges hold comes from one row a
+    range, so no task sees all rows or all of a hot key.
+    """
+    fields = [f for f in rows.schema.fields]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            own = np.asarray(batch.column(column), np.int64)
+            upto = total + np.cumsum(own)
+            total = int(upto[-1]) if len(upto) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(own), task)), pa.array(upto - own), pa.array(upto)], [*batch.schema.names, "_task", "_before", "_upto"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _task long, _before long, _upto long"
+    placed = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(add_up, schema))
+    tasks = placed.groupBy("_task").agg(F.max("_upto").alias("n")).select("_task", (F.sum("n").over(Window.orderBy("_task")) - F.col("n")).alias("_earlier"))
+    return placed.join(tasks, "_task").select(*[f.name for f in fields], (F.col("_earlier") + F.col("_before")).alias("before"))
+
+
+def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, slots: int = SLOTS, row: str | None = None) -> Mix:
     """Sizes, targets, shuffled positions and ranked slots for ``docs``.
 
-    ``documents`` has key, _src, size, source_size, target and start (the document's first word
-    in its source's stream, in order of a hash of the key).  Null sources are one source; null
-    or empty texts have size 0 and are never taken; rows with a repeated key are documents of
-    their own; no rows give an empty schedule.
+    ``documents`` has _row, _key, _src, size, source_size, target and start (the document's first
+    word in its source's stream, in order of a hash of the key, then of ``row``).  ``row`` names a
+    column of longs that tells rows apart (by default rows are numbered here); null sources are
+    one source; null or empty texts have size 0 and are never taken; rows with a repeated or null
+    key are documents of their own; no rows give an empty schedule.
     """
-    sizes = docs.select(F.col(f"`{key}`").alias("_key"), source_key(source).alias("_src"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`")).alias("_size"))
+    number = F.monotonically_increasing_id() if row is None else F.col(f"`{row}`")
+    sizes = docs.select(number.alias("_row"), F.col(f"`{key}`").alias("_key"), source_key(source).alias("_src"), F.col(f"`{source}`").cast("string").alias("source"), word_count(F.col(f"`{text}`")).alias("_size"))
     sizes = materialize(sizes)
     sources, budget = plan_sources(sizes, weights, share, epochs)
     block = min(BLOCK, max(1, -(-int(budget) // slots)))
     ranked = materialize(rank_slots(sources, block))
-    buckets = max(16, sizes.count() // _ROWS)
-    bucketed = sizes.withColumn("_h", F.xxhash64("_key", F.lit(20260101))).withColumn("_bucket", F.pmod("_h", F.lit(buckets)))
-    sums = bucketed.groupBy("_src", "_bucket").agg(F.sum("_size").alias("n"))
-    sums = sums.select("_src", "_bucket", (F.sum("n").over(Window.partitionBy("_src").orderBy("_bucket")) - F.col("n")).alias("before"))
-    sums = sums.join(sources.drop("source", "place"), "_src")
-    inner = Window.partitionBy("_src", "_bucket").orderBy("_h", "_key", "_size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = bucketed.join(sums, ["_src", "_bucket"]).select("_key", "_src", F.col("_size").alias("size"), "source_size", "target", (F.col("before") + F.sum("_size").over(inner) - F.col("_size")).alias("start"))
-    return Mix(materialize(placed), sources, ranked, block)
+    ordered = sizes.drop("source").withColumn("_h", F.xxhash64("_key", F.lit(20260101)))
+    placed = materialize(running(ordered, "_size", ["_src", "_h", "_key", "_size", "_row"]))
+    begins = placed.groupBy("_src").agg(F.min("before").alias("_begin")).join(sources.drop("source", "place"), "_src")
+    documents = placed.join(begins, "_src").select("_row", "_key", "_src", F.col("_size").alias("size"), "source_size", "target", (F.col("before") - F.col("_begin")).alias("start"))
+    mix = Mix(materialize(documents), sources, ranked, block)
+    discard(sizes, placed)
+    return mix
 
 
 def schedule(mix: Mix, epochs: int = EPOCHS) -> DataFrame:
-    """(slot, key, start, words): the documents' pieces in each slot.
+    """(slot, _row, _key, _src, start, size, epoch, from_word, words): the documents' pieces in each slot.
 
     A document stands in the blocks that its words fall into, once for each epoch; blocks and
-    slots meet on (source, rank).
+    slots meet on (source, rank).  Documents without words are in no slot; an empty mix has none.
     """
     t = mix.block
     epoch = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")
@@ -145,36 +167,33 @@ def schedule(mix: Mix, epochs: int = EPOCHS) -> DataFrame:
     blocks = stood.select("*", F.explode(F.sequence(F.floor(F.col("a") / t), F.floor((F.col("b") - 1) / t))).alias("rank"))
     from_word = F.greatest("a", F.col("rank") * t) - F.col("a")
     words = F.least("b", F.col("rank") * t + F.col("length")) - F.greatest("a", F.col("rank") * t)
-    return blocks.join(mix.slots, ["_src", "rank"]).select("slot", "_key", "_src", "start", "size", "epoch", from_word.alias("from_word"), words.alias("words")).where("words > 0")
+    return blocks.join(mix.slots, ["_src", "rank"]).select("slot", "_row", "_key", "_src", "start", "size", "epoch", from_word.alias("from_word"), words.alias("words")).where("words > 0")
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix as rows of ``docs``: one for each document and epoch in which the schedule takes words of it.
 
     A document is taken whole but for the one that a source's last block ends in: of that, the
-    words taken are joined by one space.  Rows that agree in key, source and size are taken in
-    order of their texts.  Documents not taken, or without words, are left out.
+    words taken are joined by one space.  Every row is a document of its own, whatever its key;
+    documents not taken, or without words, are left out; all columns come back under their names.
+    The rows are written once with a number each, and meet what is taken of them on it.
     """
-    mix = plan(docs, key, source, text)
-    name = lambda k, s, n: F.concat_ws("|", F.coalesce(k.cast("string"), F.lit("")), n.cast("string"), s)
-    taken = schedule(mix).groupBy("_src", "start", "_key", "size", "epoch").agg(F.min("from_word").alias("from"), F.sum("words").alias("words"))
-    taken = taken.withColumn("_name", name(F.col("_key"), F.col("_src"), F.col("size")))
-    nth = F.dense_rank().over(Window.partitionBy("_name").orderBy("start"))
-    taken = materialize(taken.withColumn("nth", nth).groupBy("_name").agg(F.collect_list(F.struct("nth", "epoch", "from", "words", "size")).alias("_taken")))
-    named = docs.withColumn("_name", name(F.col(f"`{key}`"), source_key(source), word_count(F.col(f"`{text}`"))))
-    joined = named.join(taken, "_name").withColumn("_nth", F.row_number().over(Window.partitionBy("_name").orderBy(text)))
-    each = joined.withColumn("_piece", F.explode(F.filter("_taken", lambda x: x["nth"] == F.col("_nth"))))
-    words = F.slice(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0)), (F.col("_piece.from") + 1).cast("int"), F.col("_piece.words").cast("int"))
-    left = F.when(F.col("_piece.words") == F.col("_piece.size"), F.col(f"`{text}`")).otherwise(F.array_join(words, " "))
-    return each.select(*[left.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    columns = docs.columns
+    at = {c: f"c{i}" for i, c in enumerate(columns)}
+    own = materialize(docs.toDF(*at.values()).withColumn("row", F.monotonically_increasing_id()))
+    mix = plan(own, at[key], at[source], at[text], row="row")
+    taken = schedule(mix).groupBy("_row", "size", "epoch").agg(F.min("from_word").alias("from"), F.sum("words").alias("words"))
+    taken = materialize(taken)
+    discard(mix.documents, mix.slots)
+    each = own.join(taken, own["row"] == taken["_row"])
+    words = F.slice(F.regexp_extract_all(F.col(at[text]), F.lit(WORD), F.lit(0)), (F.col("from") + 1).cast("int"), F.col("words").cast("int"))
+    left = F.when(F.col("words") == F.col("size"), F.col(at[text])).otherwise(F.array_join(words, " "))
+    return each.select(*[(left if c == text else F.col(at[c])).alias(c) for c in columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: size, source_size, target and the words that the schedule takes."""
     mix = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    taken = schedule(mix).groupBy("_src", "start", "_key").agg(F.sum("words").alias("taken"))
-    # with words, a document is the only one of its source at its start
-    with_words = mix.documents.where("size > 0").join(taken.drop("_key"), ["_src", "start"], "left")
-    rest = mix.documents.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    out = with_words.unionByName(rest, allowMissingColumns=True)
+    taken = schedule(mix).groupBy("_row").agg(F.sum("words").alias("taken"))
+    out = mix.documents.join(taken, "_row", "left")
     return out.select(F.col("_key").alias("doc_id"), F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

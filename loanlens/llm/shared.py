@@ -11,7 +11,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,11 @@ def discard(*written: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once: a lambda's variable is not computed again wherever it stands."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each Spark application."""
     sc = spark.sparkContext

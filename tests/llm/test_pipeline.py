@@ -64,8 +64,25 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     before, after = map(rows, stages[2])
-    group = {k: c for k, _, c in brute([(k, t) for k, t, _ in before], 5, 80)}
-    assert sorted(after, key=str) == sorted((x for x in before if x[0] is None or group[x[0]] == x[0]), key=str)
+    assert sorted(after, key=str) == one_of_each_group(before)
+
+
+def one_of_each_group(before):
+    """Rows that stay: every row is a document, the one with the smallest doc_id stands for its group."""
+    before = sorted(before, key=lambda r: (r[0] is None, r[0] or 0))
+    group = {k: c for k, _, c in brute([(k, r[1]) for k, r in enumerate(before)], 5, 80)}
+    return sorted((r for k, r in enumerate(before) if group[k] == k), key=str)
+
+
+def test_rows_that_repeat_a_key_or_have_none(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    a, b, c = words(80), words(80), words(80)
+    table = [(1, a)] * 3 + [(None, a)] * 2 + [(2, b), (2, c), (None, c), (None, c + " more"), (None, words(60)), (None, None), (None, None), (3, ""), (0, b + " end")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in table], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = rows(corpus_pipeline.near_stage(spark, docs, SF))
+    assert sorted(got, key=str) == one_of_each_group([(k, t, "s") for k, t in table])
+    assert len(got) == 1 + 1 + 1 + 1 + 3  # of a, of b, of c, the other text, the three without words
 
 
 def test_mix(stages):
