@@ -34,15 +34,21 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
+    """One row of each group of near duplicates: the one with the smallest doc_id (null ones last).
 
-    Five-word shingles, similarity 0.8.  Documents without words, and rows with a null doc_id,
-    are in no group and stay.
+    Five-word shingles, similarity 0.8.  Every row is a document of its own, so of rows that
+    repeat a doc_id or have none, and are alike, one stays too.  Rows without words are in no
+    group and stay.
     """
     ship(spark)
-    groups = ngram_join.join(docs)
-    gone = materialize(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    columns = docs.columns
+    own = materialize(docs.toDF(*[f"c{i}" for i in range(len(columns))]).withColumn("row", F.monotonically_increasing_id()))
+    key, text = (F.col(f"c{columns.index(c)}") for c in ("doc_id", "text"))
+    groups = ngram_join.join(own.select("row", text.alias("text")), "row").join(own.select("row", key.alias("key")), "row")
+    # of groups with several rows only; minima are combined before the shuffle
+    first = groups.groupBy("component_id").agg(F.count("*").alias("c"), F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first")).where("c > 1")
+    gone = materialize(groups.join(first, "component_id").where(F.col("row") != F.col("first.row")).select("row"))
+    return own.join(gone, "row", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
