@@ -15,19 +15,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from loanlens.llm.shared import Bits, materialize
+from loanlens.llm.shared import Bits, discard, materialize
 from loanlens.llm.text import Hasher, Words, binaries, pieces, signed
 
 #: Words in a run that must not repeat.
 LENGTH = 50
 #: The shortest length compared: halving stops above it.
 SHORTEST = 12
-#: A short window is hot if more than one in so many documents holds it; runs around hot ones are counted before they are shuffled.
-HOT_SHARE = 64
 
 _ONE, _TWO = Hasher(31), Hasher(37)
 
@@ -91,23 +89,41 @@ def short_windows(docs: DataFrame, length: int, shorter: list[int], passed: list
     return docs.mapInArrow(run, "h long, doc long")
 
 
-def long_windows(docs: DataFrame, length: int, shorter: list[int], passed: list, hot: frozenset, want_hot: bool) -> DataFrame:
-    """(a, b, doc, at) of candidate runs: two hashes of the run, and its place (fingerprint of the text, first word)."""
-    hot_list = np.array(sorted(hot), np.int64).view(np.uint64)
+def long_hashes(docs: DataFrame, length: int, shorter: list[int], passed: list) -> DataFrame:
+    """(a, doc) of runs that passed all levels: the run's hash, once for each document and stretch of equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                runs = Runs.of(part.column("text"), length, shorter)
-                alive, is_hot = np.ones(len(runs.start), bool), np.zeros(len(runs.start), bool)
-                for low, bits in zip(runs.low, passed):
-                    alive &= bits.value.test(low)
-                    is_hot |= np.isin(low, hot_list)
-                keep = np.flatnonzero(alive & (is_hot == want_hot))
-                start, doc = runs.start[keep], runs.doc[keep]
-                words = runs.words
+                runs, keep = survivors(part.column("text"), length, shorter, passed)
+                a = _ONE.sequence(runs.one, runs.start[keep], runs.start[keep] + length)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(a)), part.column("doc").take(pa.array(runs.doc[keep]))], ["a", "doc"])
+
+    return docs.mapInArrow(run, "a long, doc long")
+
+
+def survivors(column: pa.Array, length: int, shorter: list[int], passed: list) -> tuple[Runs, np.ndarray]:
+    """All runs of the texts, and which of them passed all levels."""
+    runs = Runs.of(column, length, shorter)
+    alive = np.ones(len(runs.start), bool)
+    for low, bits in zip(runs.low, passed):
+        alive &= bits.value.test(low)
+    return runs, np.flatnonzero(alive)
+
+
+def long_windows(docs: DataFrame, length: int, shorter: list[int], passed: list, twice) -> DataFrame:
+    """(a, b, doc, at) of runs whose hash is among those ``twice`` met: two hashes of the run, and its place (fingerprint of the text, first word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                runs, keep = survivors(part.column("text"), length, shorter, passed)
+                a = _ONE.sequence(runs.one, runs.start[keep], runs.start[keep] + length)
+                met = twice.value.test(a)
+                keep, a = keep[met], a[met]
+                start, doc, words = runs.start[keep], runs.doc[keep], runs.words
                 two = _TWO.word(words.data, words.start, words.end) if len(keep) else runs.one
-                a, b = _ONE.sequence(runs.one, start, start + length), _TWO.sequence(two, start, start + length)
+                b = _TWO.sequence(two, start, start + length)
                 at = fingerprints(words, runs.one)[doc] << 32 | (start - words.first[doc])
                 yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(b)), part.column("doc").take(pa.array(doc)), pa.array(at)], ["a", "b", "doc", "at"])
 
@@ -120,27 +136,35 @@ def fingerprints(words: Words, hashes: np.ndarray) -> np.ndarray:
 
 
 def repeated(docs: DataFrame, length: int) -> DataFrame:
-    """(doc, fingerprint, places): first words of runs that also stand in a document with a smaller key."""
+    """(doc, fingerprint, places): first words of runs that also stand in a document with a smaller key.
+
+    Every step counts before it shuffles: a hash becomes one row a task with its smallest and
+    largest document, however often it stands.  Only runs whose 64-bit hash stands in two documents
+    are then told apart by 128 bits and joined with the first document that has them; of that join
+    one side has a row a run, so AQE can split a run that many documents share.
+    """
     spark = docs.sparkSession
     known = docs.where("doc IS NOT NULL")
-    n_docs = known.count()
     *shorter, _ = levels(length)
-    passed, hot = [], set()
-    for _ in shorter:
-        counts = short_windows(known, length, shorter, passed).groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
-        twice = materialize(counts.where("low < high").select("h", "n"))
-        bits = Bits.build(twice, "h")
-        # so few by construction: each takes a 64th of the documents
-        hot |= {r.h for r in twice.where(F.col("n") > max(1000, n_docs // HOT_SHARE)).select("h").collect()}
+    passed = []
+
+    def met_twice(hashes: DataFrame, column: str):
+        counts = hashes.groupBy(column).agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+        found = materialize(counts.where("low < high").select(column))
+        bits = Bits.build(found, column)
+        discard(found)
+        return bits
+
+    for step in [*shorter, None]:
+        bits = met_twice(long_hashes(known, length, shorter, passed), "a") if step is None else met_twice(short_windows(known, length, shorter, passed), "h")
         passed.append(spark.sparkContext.broadcast(bits))
         if not bits.table.any():
             return spark.createDataFrame([], "doc long, fingerprint long, places array<int>")
-    cold = long_windows(known, length, shorter, passed, frozenset(hot), False)
-    later = cold.withColumn("first", F.min("doc").over(Window.partitionBy("a", "b"))).where("doc > first").select("doc", "at")
-    if hot:
-        rows = long_windows(known, length, shorter, passed, frozenset(hot), True)
-        firsts = materialize(rows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"))
-        later = later.unionByName(rows.join(firsts, ["a", "b"]).where("doc > first").select("doc", "at"))
+    rows = materialize(long_windows(known, length, shorter, passed[:-1], passed[-1]))
+    for b in passed:
+        b.destroy()
+    firsts = rows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+    later = rows.join(firsts, ["a", "b"]).where("doc > first").select("doc", "at")
     return later.groupBy("doc", F.shiftright("at", 32).alias("fingerprint")).agg(F.collect_set(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("places"))
 
 
