@@ -17,8 +17,8 @@ from loanlens.llm.text import LOWER, pieces, utf8
 
 #: The rules of the url query (host, path prefix).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Where no rule fits: names in the host that mark link farms and pharmacies; else allow.
-HOST_GLOBS = ("*spam*/**", "*pills*/**", "*casino*/**")
+#: Where no rule fits: an example list of names in the host that mark link farms and pharmacies, for callers to replace; else allow.
+HOST_NAMES = ("spam", "pills", "casino")
 DEFAULT = "allow"
 
 _U = np.uint64
@@ -29,6 +29,11 @@ def domain_globs(rule: str) -> tuple[str, str]:
     return f"{rule}**", f"*.{rule}**"
 
 
+def host_globs(names: Sequence[str]) -> list[str]:
+    """Globs for hosts that hold one of the names, without a path and with any."""
+    return [g for n in names for g in (f"*{n}*", f"*{n}*/**")]
+
+
 @dataclass
 class Automaton:
     """Glob patterns over bytes: ``*`` is any run without ``/``, ``**`` any run at all.
@@ -117,17 +122,18 @@ def canonical(column: pa.Array) -> tuple[list[bytes], list[bytes]]:
     return hosts, paths
 
 
-def url_filter(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES, host_globs: Sequence[str] = HOST_GLOBS, default: str = DEFAULT) -> DataFrame:
+def url_filter(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES, globs: Sequence[str] | None = None, default: str = DEFAULT) -> DataFrame:
     """One row for each row of ``pages``: key, host, path, rule, verdict.
 
     ``rules`` are (verdict, host/path); a rule fits its host and all subdomains if the path
     starts with the rule's, and the longest fitting rule decides (of equally long ones the
     first by name).  Else rule is null and the method's own globs decide: block if one of
-    ``host_globs`` matches host and path or the URL has no host, else ``default``.  Null, empty
+    ``globs`` (by default those of HOST_NAMES) matches host and path or the URL has no host, else
+    ``default``.  Null, empty
     and malformed URLs have empty host and path; repeated rows are judged each; a null key stays.
     """
     order = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
-    automaton = Automaton.compile([g for _, r in order for g in domain_globs(r)] + list(host_globs))
+    automaton = Automaton.compile([g for _, r in order for g in domain_globs(r)] + list(host_globs(HOST_NAMES) if globs is None else globs))
     names, verdicts = np.array([r for _, r in order] + [None], object), np.array([v for v, _ in order], object)
     k = len(order)
 
@@ -165,6 +171,6 @@ hits AS (
   SELECT p.page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(r.verdict, length(rhost || rpath)) AS verdict
   FROM p JOIN r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath) GROUP BY p.page_id)
 SELECT p.page_id, p.host, p.path, h.rule,
-  coalesce(h.verdict, CASE WHEN p.host = '' OR (p.path LIKE '/%' AND (p.host LIKE '%spam%' OR p.host LIKE '%pills%' OR p.host LIKE '%casino%')) THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(h.verdict, CASE WHEN p.host = '' OR p.host LIKE '%spam%' OR p.host LIKE '%pills%' OR p.host LIKE '%casino%' THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN hits h USING (page_id)
 """

@@ -5,7 +5,7 @@ import re
 from loanlens.llm import line_dedup, mixing, url_filter
 
 URLS = [None, "", "no scheme", "://", "http://", "http://a.net", "http://a.net/es/", "HTTP://A.NET/es/x?y=/fr/", "https://net/fr/1", "https://xnet/fr/1", "https://www.Example.com/en/a#b", "https://b.www.example.com/en/",
-        "https://example.com/en", "https://example.com/en/", "ftp://example.com/other", "http://foo.org/a.net/es/x", "http://spam.org/x", "http://x.org/spam/", "http://é.com/ü", "http://e.com:80/en/", "http://a://b.net/es/", "http://" + "l" * 300 + ".net/es/" + "p" * 500]
+        "https://example.com/en", "https://example.com/en/", "ftp://example.com/other", "http://foo.org/a.net/es/x", "http://spam.org/x", "http://SPAM.org", "http://my-casino.org?x=1", "http://pills.org#top", "http://x.org/spam/", "http://é.com/ü", "http://e.com:80/en/", "http://a://b.net/es/", "http://" + "l" * 300 + ".net/es/" + "p" * 500]
 
 
 def judged(url):
@@ -19,7 +19,7 @@ def judged(url):
     if fits:
         rule, verdict = max(fits, key=lambda x: len(x[0]))
         return host, path, rule, verdict
-    bad = not host or path.startswith("/") and re.search("spam|pills|casino", host)
+    bad = not host or re.search("spam|pills|casino", host)
     return host, path, None, "block" if bad else "allow"
 
 
@@ -29,6 +29,8 @@ def test_urls(spark):
     got = [tuple(r) for r in url_filter.url_filter(frame).collect()]
     assert sorted(got, key=str) == sorted(((k, *judged(u)) for k, u, _ in rows), key=str)
     assert url_filter.url_filter(frame.limit(0)).count() == 0
+    other = {(r.host, r.verdict) for r in url_filter.url_filter(frame, globs=["foo.*/**"]).collect() if r.rule is None and r.host}
+    assert ("foo.org", "block") in other and ("spam.org", "allow") in other
 
 
 def test_automaton_over_several_words():
