@@ -96,24 +96,31 @@ def _preview(table: str, *keys: str) -> Query:
     return run
 
 
+def _database(spark: SparkSession, name: str) -> str:
+    """A database whose tables lie in this application's own scratch folder: a folder that an earlier application
+    left under the warehouse, unknown to this one's catalog, is not in the way."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}` LOCATION '{sinks.scratch_path(spark, name)}'")
+    return name
+
+
 def save_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sink round trip: the five cleaned tables and the wide table are written as tables
     (overwriting those of the last run), read back from the catalog, and profiled, with a checksum
     of each column's contents."""
-    names = gold.build_tables(ctx_for(spark, sf_dir), "loanlens_gold")
+    names = gold.build_tables(ctx_for(spark, sf_dir), _database(spark, "loanlens_gold"))
     return catalog.column_profile({k: spark.table(v) for k, v in names.items()}, keys=CHECKSUM_KEYS).drop("POSITION", "DATA_TYPE")
 
 
 def risk_wide_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide table joined from the saved application and the saved roll-ups, all bucketed by the join key."""
-    gold.build_tables(ctx_for(spark, sf_dir), "loanlens_bucketed", buckets=4, rollups=True, include_master=False)
+    gold.build_tables(ctx_for(spark, sf_dir), _database(spark, "loanlens_bucketed"), buckets=4, rollups=True, include_master=False)
     saved = gold.from_tables(spark, "loanlens_bucketed")
     return _rounded(risk.risk_wide(saved.application, saved.bureau_features, saved.previous_features, saved.payment_features), WIDE_DOUBLES)
 
 
 def rebuild_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables built, and built again from themselves into the same database by staging and swapping: rows and columns of each."""
-    gold.build_tables(ctx_for(spark, sf_dir), "loanlens_rebuilt", staged=True)
+    gold.build_tables(ctx_for(spark, sf_dir), _database(spark, "loanlens_rebuilt"), staged=True)
     names = gold.build_tables(gold.from_tables(spark, "loanlens_rebuilt"), "loanlens_rebuilt", staged=True)
     return catalog.profile({k: spark.table(v) for k, v in names.items()})
 
