@@ -99,16 +99,20 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of undirected edges (longs): (node, component = smallest node reachable).
 
-    Tasks first contract the edges they hold; then large-star / small-star rounds go on until
-    the edge set is one star for each component.  Only minima are aggregated (combined before
+    Tasks first contract the edges they hold, _EDGES each, whatever the number of partitions that
+    the edges come in.  Where one task holds them all they are stars then; else large-star /
+    small-star rounds go on until the edge set is one star for each component.  Only minima are aggregated (combined before
     the shuffle), never neighbour lists, and the minima are written before they are joined, so
     that AQE can split the edges of a hot node.  Every node of ``edges`` has one row; no edges
     give no rows.
     """
     own = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = materialize(own.mapInArrow(_contract, "u long, v long"))
+    own = materialize(own)
+    tasks = -(-own.count() // _EDGES)
+    edges = materialize(own.coalesce(max(1, tasks)).mapInArrow(_contract, "u long, v long"))
+    discard(own)
     last = None
-    while True:
+    while tasks > 1:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             break

@@ -114,7 +114,9 @@ def test_tokens(stages):
         assert any(ids == library.encode(t, add_special_tokens=False).ids and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for t in texts[r.doc_id])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_a_task", [1 << 18, 20])
+def test_components(spark, monkeypatch, in_a_task):
+    monkeypatch.setattr(shared, "_EDGES", in_a_task)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(100, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
     root = {}
