@@ -238,7 +238,9 @@ def similar(known: DataFrame, reps, sketches: DataFrame, size: int, percent: int
     every = materialize(_each(known, size, "doc long, entry long", entries, reps))
     for b in (*often, twice, more):
         b.destroy()
-    shared = materialize(every.groupBy("entry").agg(F.count("*").alias("c")).where("c > 1").select("entry"))
+    # of entries with the same documents (told by their number and two sums of hashes) one is enough
+    same = [F.count("*").alias("c"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("total"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("odd")]
+    shared = materialize(every.groupBy("entry").agg(*same).where("c > 1").groupBy("c", "total", "odd").agg(F.min("entry").alias("entry")).select("entry"))
     index = materialize(every.join(shared, "entry", "left_semi"))
     discard(every, shared)
 
