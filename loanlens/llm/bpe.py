@@ -27,8 +27,8 @@ from loanlens.llm.text import SPACE, Hasher, Words, pieces
 
 #: White space beyond ASCII right before ASCII white space: there a chunk would end inside what the pattern matches.
 _WIDE_SPACE = re.compile(rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f])[ \t-\r]")
-#: Distinct chunks and fragments that a worker keeps, about 50 bytes each; beyond that it starts afresh.
-KEEP = 1 << 19
+#: Distinct chunks and fragments that a task keeps, about 50 bytes each; beyond that it starts afresh.
+KEEP = 1 << 18
 KEEP_FRAGMENTS = 1 << 18
 
 
@@ -159,6 +159,10 @@ class Encoder:
         self.vocabulary = vocabulary
         self.hash = Hasher(4)
         self.starts = [t.encode() for t in vocabulary.specials]
+        self.forget()
+
+    def forget(self) -> None:
+        """Give back what chunks and fragments take up."""
         self.chunks, self.fragments = Table(), Table()
 
     def learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
@@ -264,6 +268,7 @@ def bpe(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | No
                 decoded = [back[a:z].tobytes().decode("utf-8", "replace").encode() for a, z in zip(total[:-1].tolist(), total[1:].tolist())]
                 columns = [part.column("key"), pa.array(np.diff(at), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in blobs], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(blobs, pa.binary())] * with_ids, [key, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        own.forget()  # the worker lives on, for other tasks and stages
 
     schema = f"`{key}` {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return docs.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInArrow(run, schema)

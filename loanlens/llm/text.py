@@ -22,8 +22,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
 _U = np.uint64
-#: Text bytes handled at once; a longer document is handled alone, whole.
-CHUNK_BYTES = 1 << 20
+#: Text bytes handled at once; a longer document is handled alone, whole.  Temporary arrays take about 60 times as much.
+CHUNK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,7 +47,8 @@ class Roller:
     """Hash of any span of a sequence in constant time, modulo 2**64.
 
     ``h[a:b] = sum(v[j] * base**(j - a))``; equal content gives equal hashes wherever it
-    stands.  ``base`` is odd and so has an inverse.
+    stands.  ``base`` is odd and so has an inverse.  Powers are kept for sequences of up to
+    CHUNK_BYTES (16 bytes for each value); those of a longer one go with it.
     """
 
     def __init__(self, seed: int):
@@ -55,16 +56,21 @@ class Roller:
         self.inverse = pow(self.base, -1, 1 << 64)
         self.up = self.down = np.ones(1, _U)
 
-    def _reserve(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            self.up, self.down = _powers(self.base, n), _powers(self.inverse, n)
+    def _reserve(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base and of its inverse for ``n`` values."""
+        if len(self.up) >= n:
+            return self.up, self.down
+        size = min(max(n, 2 * len(self.up)), CHUNK_BYTES + 1) if n <= CHUNK_BYTES + 1 else n
+        up, down = _powers(self.base, size), _powers(self.inverse, size)
+        if n <= CHUNK_BYTES + 1:
+            self.up, self.down = up, down
+        return up, down
 
     def spans(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        self._reserve(len(values) + 1)
+        up, down = self._reserve(len(values) + 1)
         total = np.zeros(len(values) + 1, _U)
-        np.cumsum(values * self.up[: len(values)], out=total[1:])
-        return mix((total[end] - total[start]) * self.down[start])
+        np.cumsum(values * up[: len(values)], out=total[1:])
+        return mix((total[end] - total[start]) * down[start])
 
 
 class Hasher:
