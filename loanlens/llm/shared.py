@@ -155,7 +155,7 @@ class Bits:
 
         blocks = hashes.select(bit.alias("bit"), F.shiftright(bit, cls.BLOCK).alias("block")).groupBy("block").applyInPandas(pack, "block long, bytes binary")
         table = np.zeros(1 << (bits - 3), np.uint8)
-        for row in blocks.toLocalIterator():
+        for row in blocks.collect():  # 128 MB at most, in one job: an iterator would run one for each partition
             at = row.block << (cls.BLOCK - 3)
             table[at: at + (1 << (cls.BLOCK - 3))] = np.frombuffer(row.bytes, np.uint8)
         return cls(bits, table)
