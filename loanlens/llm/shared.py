@@ -52,9 +52,18 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: Bytes of an Arrow batch on its way to a Python task; Spark's own 64 MB would lie in the JVM and in the worker at once.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark application."""
+    """Send this package to the executors, once for each Spark application.
+
+    Where the session doesn't set the size of Arrow batches, it gets BATCH_BYTES.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(sc, "_loanlens_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
