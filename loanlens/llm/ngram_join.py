@@ -38,7 +38,9 @@ COUNTS = 5
 #: Longs of parity bits that a document is sketched with, at least.
 SKETCH = 16
 #: A shorter sketch that the last round's join looks at: one long each.
-FOLDS = ("f0", "f1", "f2", "f3")
+FOLDS = tuple(f"f{i}" for i in range(8))
+#: Entries of a document that its rows in that join carry, to tell a pair that an earlier entry makes; results don't depend on it.
+SEEN = 64
 #: Rounds in which the documents of an entry meet some of them, and with how many.
 ROUNDS, CENTERS = 2, 2
 #: Tokens that a verifying task holds of one side, about; larger groups are split.
@@ -258,13 +260,9 @@ def similar(known: DataFrame, reps, sketches: DataFrame, size: int, percent: int
             used = [open_]
         else:  # all pairs of different groups: those outside an entry's main one with all others
             open_ = materialize(now.groupBy("entry").agg(*spread).where("p < q").select("entry"))
-            now = materialize(now.join(open_, "entry", "left_semi").join(folds(sketches), "doc"))
+            now = materialize(numbered(now.join(open_, "entry", "left_semi")).join(folds(sketches), "doc"))
             mains = materialize(now.groupBy("entry", "part").agg(F.count("*").alias("c")).groupBy("entry").agg(F.max_by("part", F.struct("c", "part")).alias("main")))
-            main = now.join(mains, "entry")
-            minor = main.where("part <> main").select("entry", *[F.col(c).alias(f"y_{c}" if c != "doc" else "y") for c in ("doc", "part", "n", *FOLDS)])
-            bits = reduce(lambda a, b: a + b, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"y_{c}"))) for c in FOLDS])
-            fits = allowed(F.col("n"), F.col("y_n"), bits, percent) & (F.col("part") != F.col("y_part"))
-            pairs = main.join(minor, "entry").where(fits & ((F.col("part") == F.col("main")) | (F.col("doc") < F.col("y"))))
+            pairs = across(now, mains, percent)
             used = [open_, now, mains]
         pairs = pairs.where(F.col("part") != F.col("y_part")).select(F.least("doc", "y").alias("x"), F.greatest("doc", "y").alias("y")).distinct()
         more = materialize(edges.unionByName(possible(pairs, sketches, percent)))
@@ -277,6 +275,28 @@ def similar(known: DataFrame, reps, sketches: DataFrame, size: int, percent: int
     return links
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """(entry, doc, part) once each, with the smaller ones (``before``) of the document's SEEN smallest entries."""
+    own = rows.groupBy("doc", "part").agg(F.array_sort(F.collect_set("entry")).alias("every"))
+    own = own.select("doc", "part", F.slice("every", 1, SEEN).alias("seen"), F.explode("every").alias("entry"))
+    return own.select("entry", "doc", "part", F.filter("seen", lambda x: x < F.col("entry")).alias("before"))
+
+
+def across(rows: DataFrame, mains: DataFrame, percent: int) -> DataFrame:
+    """Pairs (doc, part, y, y_part) of documents of different groups that share an entry and whose short sketches allow the similarity.
+
+    ``rows``: those of ``numbered`` with the columns of ``folds``; ``mains``: each entry's largest
+    group, outside which every document meets all others.  A pair comes from the first of the entries that its
+    documents share (from some more if that is beyond SEEN), however many they are.
+    """
+    main = rows.join(mains, "entry")
+    minor = main.where("part <> main").select("entry", *[F.col(c).alias(f"y_{c}" if c != "doc" else "y") for c in ("doc", "part", "n", "before", *FOLDS)])
+    bits = reduce(lambda a, b: a + b, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"y_{c}"))) for c in FOLDS])
+    fits = allowed(F.col("n"), F.col("y_n"), bits, percent) & (F.col("part") != F.col("y_part"))
+    once = ((F.col("part") == F.col("main")) | (F.col("doc") < F.col("y"))) & ~F.arrays_overlap("before", "y_before")
+    return main.join(minor, "entry").where(fits & once).select("doc", "part", "y", "y_part")
+
+
 def folds(sketches: DataFrame) -> DataFrame:
     """(doc, n, the longs of FOLDS): sketches of as many buckets as FOLDS has bits, for a first look inside the join.
 

@@ -105,3 +105,20 @@ def test_nothing_is_left_but_what_the_result_reads(spark, tmp_path, monkeypatch)
     out = j.join(spark.createDataFrame(corpus(3, 60), "doc_id long, text string"), size=3, percent=90)
     assert len(list(tmp_path.iterdir())) <= 2 + 1 + j.ROUNDS  # the list of rows, the last stars; one star table a round
     assert out.count() == 69
+
+
+def test_a_pair_comes_from_the_first_entry_it_shares(spark, monkeypatch):
+    """Documents of different groups that share many entries: the last round's join makes each pair once, and misses none."""
+    folds = dict.fromkeys(j.FOLDS, 0)
+    rng = random.Random(4)
+    held = {d: {0, *rng.sample(range(1, 90), 40)} if d < 30 else set(rng.sample(range(1, 90), 3)) for d in range(60)}
+    rows = spark.createDataFrame([(e - 45, d, d // 3 if d < 12 else d) for d, es in held.items() for e in es] * 2, "entry long, doc long, part long")
+    own = rows.select("doc").distinct().select("doc", j.F.lit(100).alias("n"), *[j.F.lit(v).cast("long").alias(c) for c, v in folds.items()])
+    want = {(a, b) for a in held for b in held if a < b and held[a] & held[b] and not (b < 12 and a // 3 == b // 3)}
+    for seen in (j.SEEN, 2):  # with a short list of entries some pairs come twice
+        monkeypatch.setattr(j, "SEEN", seen)
+        now = j.numbered(rows).join(own, "doc").cache()
+        mains = now.groupBy("entry", "part").agg(j.F.count("*").alias("c")).groupBy("entry").agg(j.F.max_by("part", j.F.struct("c", "part")).alias("main"))
+        got = [tuple(sorted((r.doc, r.y))) for r in j.across(now, mains, 90).collect()]
+        assert set(got) == want and (seen == 2 or len(got) == len(want))
+        now.unpersist()
