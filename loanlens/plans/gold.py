@@ -33,6 +33,13 @@ MASTER_TABLE = "master_dataset"
 ROLLUP_TABLES = {"bureau_features": "bureau_features", "prev_app_features": "previous_features",
                  "payment_features": "payment_features"}
 ONE_ROW_PER_APPLICANT = {"application_train", MASTER_TABLE, *ROLLUP_TABLES}
+#: Applicants in a bucket, about: one task sorts and joins a bucket of the application and of every roll-up.
+ROWS_PER_BUCKET, FEWEST_BUCKETS = 1 << 18, 4
+
+
+def buckets_for(application: DataFrame) -> int:
+    """Number of buckets that gives a task about ROWS_PER_BUCKET applicants, however many there are."""
+    return max(FEWEST_BUCKETS, -(-application.count() // ROWS_PER_BUCKET))
 
 
 def build_tables(ctx: LendingData, database: str, fmt: str = "parquet", buckets: int | None = None,

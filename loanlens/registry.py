@@ -112,8 +112,10 @@ def save_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_wide_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide table joined from the saved application and the saved roll-ups, all bucketed by the join key."""
-    gold.build_tables(ctx_for(spark, sf_dir), _database(spark, "loanlens_bucketed"), buckets=4, rollups=True, include_master=False)
+    """The wide table joined from the saved application and the saved roll-ups, all bucketed by the join key, in buckets
+    that grow in number with the applicants, not in size."""
+    ctx = ctx_for(spark, sf_dir)
+    gold.build_tables(ctx, _database(spark, "loanlens_bucketed"), buckets=gold.buckets_for(ctx.application), rollups=True, include_master=False)
     saved = gold.from_tables(spark, "loanlens_bucketed")
     return _rounded(risk.risk_wide(saved.application, saved.bureau_features, saved.previous_features, saved.payment_features), WIDE_DOUBLES)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loanlens import LendingData
+from loanlens import LendingData, registry
 from loanlens.operators import approx_median, exact_median, median, rank_within
 from loanlens.plans import dashboard, gold, quality, reports, risk
 from loanlens.sources import catalog, sinks
@@ -205,6 +205,19 @@ def test_bucketed_roll_ups_join_without_exchange(spark):
     assert rounded(wide()) == rounded(ctx.wide)
 
 
+def test_buckets_grow_in_number_with_the_applicants(spark, monkeypatch):
+    ctx = lending(spark, app=[dict(SK_ID_CURR=k) for k in [*range(1, 23), None, 7]], bureau=[dict(SK_ID_CURR=k % 9) for k in range(30)])
+    monkeypatch.setattr(registry, "ctx_for", lambda spark, sf_dir: ctx)
+    monkeypatch.setattr(gold, "ROWS_PER_BUCKET", 2)
+    got = registry.risk_wide_bucketed(spark, "")
+    assert _rows(got) == _rows(registry.QUERIES["risk_wide"](spark, ""))
+    for table in ("application_train", *gold.ROLLUP_TABLES):
+        told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE FORMATTED loanlens_bucketed.{table}").collect()}
+        assert told["Num Buckets"] == str(-(-ctx.application.count() // 2)) == "12"
+    monkeypatch.undo()
+    assert gold.buckets_for(ctx.application) == gold.FEWEST_BUCKETS
+
+
 # ---- saved scorecard -------------------------------------------------------------------------------
 
 def test_scored_rows_are_read_from_their_own_copy(spark):
@@ -231,6 +244,17 @@ def test_refresh_of_the_tables_that_it_reads(spark):
     assert not any(sinks.STAGED in t or sinks.REPLACED in t for t in left)
 
 
+def test_saved_tables_are_compressed_by_the_stronger_codec(spark):
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([(k, float(k)) for k in range(50)], "a int, b double")
+    for codec, more in (("ZSTD", {}), ("SNAPPY", {"codec": "snappy"})):
+        folder = sinks.location(spark, sinks.save(df, "t", database="loanlens_codec_t", **more)).removeprefix("file:")
+        files = [f for f in os.listdir(folder) if f.endswith(".parquet")]
+        kinds = {pq.ParquetFile(f"{folder}/{f}").metadata.row_group(0).column(i).compression for f in files for i in (0, 1) if pq.ParquetFile(f"{folder}/{f}").metadata.num_rows}
+        assert kinds == {codec} and _rows(spark.table("loanlens_codec_t.t")) == _rows(df)
+
+
 def test_a_build_that_fails_leaves_the_old_tables(spark, monkeypatch):
     db = "loanlens_abort_t"
     ctx = lending(spark, app=[dict(SK_ID_CURR=k) for k in (1, 2, 3)], bureau=[dict(SK_ID_CURR=1)])
